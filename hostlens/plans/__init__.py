@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["extraction"]
+FAMILIES = ["extraction", "splitting"]
 
 
 def load_all():

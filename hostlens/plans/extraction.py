@@ -9,6 +9,7 @@ from hostlens import schemas as S
 from hostlens.operators import clean, cumulative, process, sequence
 from hostlens.plans import views as V
 from hostlens.plans.catalogue import query
+from hostlens.session import cut_lineage
 from hostlens.sources import audit
 
 # --- audit text, written from the events table and parsed back -----------------------------------------
@@ -99,7 +100,8 @@ def stamped(spark, sf_dir) -> DataFrame:
 
 
 def processes(spark, sf_dir) -> DataFrame:
-    return audit.label_processes(stamped(spark, sf_dir), ["scenario"])
+    """Checkpointed: every later step reads the process table several times and must not parse again."""
+    return cut_lineage(audit.label_processes(stamped(spark, sf_dir), ["scenario"]))
 
 
 @query("audit_parse", V.sql(LINES, "SELECT *, 'feed' AS source FROM parsed"))
@@ -127,7 +129,7 @@ def process_label(spark, sf_dir):
 @query("labeled_records", V.sql(PROCS, """SELECT s.file, s.line_no, s.pid, p.label, p.technique FROM stamped2 s
   JOIN procs p ON s.file = p.file AND s.pid = p.pid WHERE p.n_events >= 3"""))
 def labeled_records(spark, sf_dir):
-    rec = stamped(spark, sf_dir)
+    rec = cut_lineage(stamped(spark, sf_dir))
     procs = audit.label_processes(rec).filter(F.col("n_events") >= 3)
     return audit.label_records(rec, procs).select("file", "line_no", "pid", "label", "technique")
 
@@ -210,7 +212,7 @@ def syscall_vocab(spark, sf_dir):
     CAST(syscall_name = 'connect' AS INT)) AS tok FROM ranked WHERE n_events >= 2
 )
 SELECT source, scenario, host, pid, max(n_events) AS n_events, repeat('0,0,0,0,0,0,0;', (50 - least(max(n_events), 50))::INT)
-  || string_agg(tok, ';' ORDER BY pos DESC) FILTER (pos <= 50) AS tokens FROM toks GROUP BY source, scenario, host, pid""".replace("SELECT source, scenario, host, pid, max", "SELECT source, scenario, host, pid, max")).replace(") , ranked", "), ranked"))
+  || string_agg(tok, ';' ORDER BY pos DESC) FILTER (pos <= 50) AS tokens FROM toks GROUP BY source, scenario, host, pid"""))
 def sequence_tokens(spark, sf_dir):
     """Token arrays as text; names seen fewer than 451 times play the unknown ones."""
     events = V.labeled_events(spark, sf_dir)

@@ -11,6 +11,10 @@ from hostlens.operators.joins import join_groups
 
 ID_FIELDS = ["pid", "ppid", "uid", "euid", "auid", "gid"]
 TEXT_FIELDS = ["comm", "exe", "name", "acct", "res"]
+ID_PAIR = r"\b(" + "|".join(ID_FIELDS) + r")=(\d+)"
+STAMP = r"msg=audit\((\d+\.?\d*|\.\d+):(\d{1,18})\)"
+# one cheap test decides whether a line is a record at all: a wanted type, then a message stamp
+RECORD_LINE = r"^\s*type=(?!(?:" + "|".join(S.SKIP_RECORD_TYPES) + r")(?:\s|$))\S.*" + STAMP
 
 
 def scan_audit_logs(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,29 +71,37 @@ def parse_lines(lines: DataFrame, syscall_only: bool = False) -> DataFrame:
     Only the two success marks make a record successful, so companion records count as failed; with
     `syscall_only` they count as not failed instead.
     """
-    line = F.trim(F.translate("value", "�", ""), F.lit(" \t\r\n\f\x0b"))
+    kept = lines.filter(F.col("value").rlike(RECORD_LINE))
+    # the line and the id pairs are materialised by their own projections, so each pattern runs once per line
+    line = F.trim(F.replace("value", F.lit("\ufffd"), F.lit("")), F.lit(" \t\r\n\f\x0b"))
+    carried = [c for c in lines.columns if c != "value"]
+    rec = kept.select(*carried, line.alias("_line")).select(
+        "*",
+        F.regexp_extract_all("_line", F.lit(ID_PAIR), F.lit(1)).alias("_names"),
+        F.regexp_extract_all("_line", F.lit(ID_PAIR), F.lit(2)).alias("_ids"),
+        F.regexp_extract("_line", r"^type=(\S+)", 1).alias("record_type"),
+        (F.col("_line").contains("success=yes") | F.col("_line").contains("res=success")).alias("success"),
+    )
 
-    def found(pattern: str, group: int = 1) -> Column:
-        return blank_to_null(F.regexp_extract(F.col("_line"), pattern, group))
+    def first(pattern: str) -> Column:
+        return F.get(F.regexp_extract_all("_line", F.lit(pattern), F.lit(1)), F.lit(0))
 
-    stamp = r"msg=audit\(([\d.]+):(\d+)\)"
-    rec = lines.withColumn("_line", line).withColumn("record_type", found(r"^type=(\S+)"))
-    rec = rec.filter(F.col("record_type").isNotNull() & ~F.col("record_type").isin(S.SKIP_RECORD_TYPES))
-    success = F.col("_line").contains("success=yes") | F.col("_line").contains("res=success")
-    failed = ~success & (F.col("record_type") == "SYSCALL") if syscall_only else ~success
-    carried = [c for c in lines.columns if c != "value"]
+    def id_of(name: str) -> Column:
+        return F.get("_ids", F.array_position("_names", F.lit(name)).cast("int") - 1).try_cast("bigint")
+
+    failed = ~F.col("success") & (F.col("record_type") == "SYSCALL") if syscall_only else ~F.col("success")
     return rec.select(
         *carried,
         "record_type",
-        found(stamp, 1).try_cast("double").alias("timestamp"),
-        found(stamp, 2).try_cast("bigint").alias("seq_id"),
-        *[found(rf"\b{f}=(\d+)").try_cast("bigint").alias(f) for f in ID_FIELDS],
-        *[found(rf'\b{f}="([^"]*)"').alias(f) for f in TEXT_FIELDS],
-        F.coalesce(found(r"SYSCALL=(\w+)"), F.col("record_type")).alias("syscall_name"),
-        found(r'key="?([^"\s]+)"?').alias("key_tag"),
-        success.alias("success"),
+        F.regexp_extract("_line", STAMP, 1).cast("double").alias("timestamp"),
+        F.regexp_extract("_line", STAMP, 2).cast("bigint").alias("seq_id"),
+        *[id_of(f).alias(f) for f in ID_FIELDS],
+        *[first(rf'\b{f}="([^"]+)"').alias(f) for f in TEXT_FIELDS],
+        F.coalesce(first(r"SYSCALL=(\w+)"), F.col("record_type")).alias("syscall_name"),
+        first(r'key="?([^"\s]+)"?').alias("key_tag"),
+        "success",
         flag(failed).alias("failed"),
-    ).filter(F.col("timestamp").isNotNull() & F.col("seq_id").isNotNull())
+    )
 
 
 def tag_origin(records: DataFrame, source: str, file: str = "file") -> DataFrame:
