@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hostlens import schemas as S
 from hostlens.functions.columns import any_of, basename, flag, nan_to_null
-from hostlens.operators.joins import join_lookup
+from hostlens.operators.joins import as_small, join_groups
 
 
 def clean_events(events: DataFrame, missing_uid_is_root: bool = True, core: list[str] | None = None) -> DataFrame:
@@ -151,16 +151,22 @@ def masked_arms(df: DataFrame, hidden: list[str], masked: Column, name: str = "f
     }
 
 
-def relative_z(train: DataFrame, apply_to: DataFrame, features: list[str], name_col: str = "proc_name",
-               row_key: list[str] | None = None, min_support: int = 30) -> DataFrame:
+def relative_z(train: DataFrame, apply_to: DataFrame, features: list[str], row_key: list[str], name_col: str = "proc_name",
+               min_support: int = 30) -> DataFrame:
     """z-score of each feature against rows of the same name in `train`.
 
     Names with fewer than `min_support` training rows, and constant ones, fall back to the global figures.
     """
     aggs = [F.avg(f).alias(f"_m_{f}") for f in features] + [F.stddev_samp(f).alias(f"_s_{f}") for f in features]
     overall = train.agg(*aggs).first()
-    names = train.groupBy(name_col).agg(F.count(F.lit(1)).alias("_support"), *aggs).filter(F.col("_support") >= min_support)
-    joined = join_lookup(apply_to, names, [name_col], "_support", row_key)
+    names = train.groupBy(name_col).agg(F.count(F.lit(1)).alias("_support"), *aggs)
+    supported = as_small(names.filter(F.col("_support") >= min_support))
+    if supported is not None:
+        joined = apply_to.join(F.broadcast(supported), name_col, "left")
+    else:
+        usable = names.filter(F.col("_support") >= min_support)
+        sizes = apply_to.groupBy(name_col).agg(F.count(F.lit(1)).alias("_support"))
+        joined = join_groups(apply_to, usable, [name_col], "_support", row_key, sizes=sizes)
     out = {}
     for f in features:
         spread = overall[f"_s_{f}"] or 1.0

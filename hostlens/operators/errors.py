@@ -82,7 +82,8 @@ def name_support(train: DataFrame, name: str = "proc_name", label: str = "label"
 def explain_misses(misses: DataFrame, train: DataFrame, row_key: list[str], name: str = "proc_name", label: str = "label") -> DataFrame:
     """Training support and attack rate of the process name of each newly missed row."""
     support = name_support(train, name, label)
-    out = join_groups(misses, support, [name], "train_support", row_key)
+    sizes = misses.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    out = join_groups(misses, support.withColumn("_n", F.lit(0)), [name], "_n", row_key, sizes=sizes).drop("_n")
     return out.withColumn("train_support", F.coalesce("train_support", F.lit(0)))
 
 
@@ -91,6 +92,7 @@ def mixed_group_names(test: DataFrame, train: DataFrame, group: str, name: str =
     g = test.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"), (F.min(label) != F.max(label)).alias("_mixed")).filter("_mixed").drop("_mixed")
     names = test.groupBy(group, name).agg(F.count(F.lit(1)).alias("n_rows"))
     inside = names.join(g, group)
-    support = name_support(train, name, label).select(name, "train_support")
-    out = join_groups(inside, support, [name], "train_support", [group])
+    support = name_support(train, name, label).select(name, "train_support", F.lit(0).alias("_n"))
+    sizes = inside.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    out = join_groups(inside, support, [name], "_n", [group], sizes=sizes).drop("_n")
     return out.withColumn("train_support", F.coalesce("train_support", F.lit(0)))

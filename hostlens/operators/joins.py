@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 10_000  # the most rows ever broadcast by these helpers
@@ -24,9 +24,14 @@ def join_groups(
     spread_by: list[str],
     how: str = "left",
     hot_rows: int = SMALL_ROWS,
+    sizes: DataFrame | None = None,
+    unmatched: Column | None = None,
 ) -> DataFrame:
     """Attach one row per key of `groups` to `big` without sending a hot key to one task.
 
+    `size_col` bounds the rows of `big` per key. Where `groups` lacks some keys of `big`, give `sizes`
+    (keys, size_col) for all of them, or `unmatched`, a test for rows that cannot match.
+
     Keys that hold more than 1/hot_rows of all rows (so fewer than `hot_rows` of them can exist) travel by
     broadcast. Rows already served that way are spread over the second join by a hash of their own
     identity, so only the thin keys are ever gathered.
@@ -34,17 +39,23 @@ def join_groups(
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join type {how!r}")
     payload = [c for c in groups.columns if c not in keys]
+    if sizes is not None:
+        wanted = groups.drop(size_col).withColumn("_found", F.lit(True))
+        groups = sizes.select(*keys, size_col).join(wanted, keys, "left")
+    else:
+        groups = groups.withColumn("_found", F.lit(True))
     total = groups.agg(F.sum(size_col).alias("t"))
-    packed = groups.select(*keys, F.struct(*payload).alias("_p"), F.col(size_col).alias("_n"))
+    packed = groups.select(*keys, F.struct(*payload, "_found").alias("_p"), F.col(size_col).alias("_n"))
     is_hot = F.col("_n") * F.lit(hot_rows) > total.scalar()
     hot = packed.filter(is_hot).select(*keys, F.col("_p").alias("_hot"))
     cold = packed.filter(~is_hot).select(*keys, F.col("_p").alias("_cold"), F.lit(0).alias("_salt"))
+    gather = F.col("_hot").isNull() if unmatched is None else F.col("_hot").isNull() & ~unmatched
     served = big.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.hash(*spread_by)).cast("int")
+        "_salt", F.when(gather, 0).otherwise(F.hash(*spread_by)).cast("int")
     )
     out = served.join(cold, [*keys, "_salt"], "left").withColumn("_p", F.coalesce("_hot", "_cold"))
     if how == "inner":
-        out = out.filter(F.col("_p").isNotNull())
+        out = out.filter(F.col("_p._found"))
     return out.select(*big.columns, *[F.col(f"_p.{c}").alias(c) for c in payload])
 
 

@@ -71,9 +71,9 @@ def auroc(df: DataFrame, by: list[str], label: str, proba: str) -> DataFrame:
     return sums.select(*by, div(F.col("_won"), F.col("_p").cast("double") * F.col("_n")).alias("auroc"))
 
 
-def operating_points(df: DataFrame, by: list[str], label: str, proba: str) -> DataFrame:
-    """One row per distinct score t with the counts and rates of the rule score >= t."""
-    axis = prefix_sums(score_axis(df, by, label, proba), by, "score", ["pos", "neg"])
+def operating_points(axis: DataFrame, by: list[str]) -> DataFrame:
+    """`axis` is (by, score, pos, neg). One row per score t with the counts and rates of the rule score >= t."""
+    axis = prefix_sums(axis, by, "score", ["pos", "neg"])
     key = list(by)
     if not key:
         axis, key = axis.withColumn("_all", F.lit(0)), ["_all"]
@@ -86,20 +86,19 @@ def operating_points(df: DataFrame, by: list[str], label: str, proba: str) -> Da
                       r["f1"].alias("f1"), r["fpr"].alias("fpr"))
 
 
-def best_thresholds(df: DataFrame, by: list[str], label: str, proba: str, caps: list[float | None]) -> DataFrame:
-    """F1-best cutoff under each false-positive cap, from one pass over the score axis.
+def pick_thresholds(points: DataFrame, by: list[str], caps: list[float | None]) -> DataFrame:
+    """F1-best cutoff under each false-positive cap, from one pass over the operating points.
 
     Among scores whose FPR meets the cap the highest F1 wins, then the highest score; if none meets it, the
     lowest FPR, which is the highest score. With one class only the cutoff is 0.5. Cutoffs are whole tie
     blocks, since `score >= t` cannot split equal scores.
     """
-    pts = operating_points(df, by, label, proba)
-    point = F.struct("f1", "score", "precision", "recall", "fpr")
+    fields = ["f1", "score", "precision", "recall", "fpr"]
     aggs = [F.max(F.struct("score", "f1", "precision", "recall", "fpr")).alias("_top"), F.max("n_pos").alias("_p"), F.max("n_neg").alias("_n")]
     for i, cap in enumerate(caps):
         allowed = F.lit(True) if cap is None else F.col("fpr") <= cap
-        aggs.append(F.max(F.when(allowed, point)).alias(f"_c{i}"))
-    best = pts.groupBy(*by).agg(*aggs) if by else pts.agg(*aggs)
+        aggs.append(F.max(F.when(allowed, F.struct(*fields))).alias(f"_c{i}"))
+    best = points.groupBy(*by).agg(*aggs) if by else points.agg(*aggs)
     two = (F.col("_p") > 0) & (F.col("_n") > 0)
 
     def pick(i: int, field: str) -> Column:
@@ -116,6 +115,22 @@ def best_thresholds(df: DataFrame, by: list[str], label: str, proba: str, caps:
     return best.select(*by, F.inline(F.array(*rows)))
 
 
+def best_thresholds(df: DataFrame, by: list[str], label: str, proba: str, caps: list[float | None]) -> DataFrame:
+    return pick_thresholds(operating_points(score_axis(df, by, label, proba), by), by, caps)
+
+
+def fold_thresholds(df: DataFrame, label: str, proba: str, caps: list[float | None], folds: int, fold: str = "fold") -> DataFrame:
+    """Cutoff for each fold from the rows of all other folds.
+
+    Scores are counted per fold first, so what is copied to the other folds is a score axis, not rows.
+    """
+    axis = score_axis(df, [fold], label, proba)
+    others = F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col(fold))
+    train = axis.select(F.explode(others).alias("_to"), "score", "pos", "neg").groupBy(F.col("_to").alias(fold), "score").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return pick_thresholds(operating_points(train, [fold]), [fold], caps)
+
+
 def best_cut(df: DataFrame, label: str, proba: str, max_fpr: float | None) -> float:
     """The same as a number, for a model loop on the driver."""
     row = best_thresholds(df, [], label, proba, [max_fpr]).first()

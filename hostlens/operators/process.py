@@ -114,7 +114,8 @@ def with_rarity(processes: DataFrame, pairs: DataFrame) -> DataFrame:
         "child": F.col("proc_name"),
     })
     # a process opens with an event of its own pair, so `pairs` bounds the processes per key
-    joined = join_groups(keyed, pairs.withColumn("_size", F.col("pairs")), ["parent", "child"], "_size", PROCESS_KEY)
+    joined = join_groups(keyed, pairs.withColumn("_size", F.col("pairs")), ["parent", "child"], "_size", PROCESS_KEY,
+                         unmatched=F.col("child") == "")
     rarity = F.round(1.0 - F.coalesce("pairs", F.lit(0)) / F.greatest(total, F.lit(1)), 6)
     return joined.withColumn("parent_child_rarity", rarity).drop("parent", "child", "pairs", "_size", "ppid")
 

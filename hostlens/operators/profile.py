@@ -210,7 +210,7 @@ def scaling_remedies(melted: DataFrame, is_first: Column) -> DataFrame:
     """Standardised mean gap between two datasets under four scalings, and the one that closes it most.
 
     The gap divides by the pooled spread, so centring and scaling by shared constants cannot move it; those two
-    are reported for the record and lose every tie to "none".
+    are reported for the record and lose every tie to "none". Gaps equal to 9 decimals count as tied.
     """
     v = F.col("value")
     lg = F.log1p(F.greatest(v, F.lit(0.0)))
@@ -225,7 +225,7 @@ def scaling_remedies(melted: DataFrame, is_first: Column) -> DataFrame:
     out = enough(gaps, "a_n", "b_n").join(F.broadcast(spread), "feature").withColumns({
         "gap_zscore": F.col("gap_none"), "gap_robust": F.col("gap_none"), "iqr": F.col("q3") - F.col("q1"),
     })
-    ranked = F.array_sort(F.array(*[F.struct(F.col(f"gap_{r}").alias("gap"), F.lit(i).alias("i"), F.lit(r).alias("name")) for i, r in enumerate(REMEDIES)]))
+    ranked = F.array_sort(F.array(*[F.struct(F.round(f"gap_{r}", 9).alias("near"), F.lit(i).alias("i"), F.lit(r).alias("name"), F.col(f"gap_{r}").alias("gap")) for i, r in enumerate(REMEDIES)]))
     best = ranked[0]
     return out.select(
         "feature", *[f"gap_{r}" for r in REMEDIES], "median", "iqr", best["name"].alias("best_remedy"), best["gap"].alias("gap_after_best"),
@@ -241,15 +241,15 @@ def remedy_vote(remedies: DataFrame) -> DataFrame:
 
 def histogram(melted: DataFrame, by: str, bins: int = 40, clip_percent: int | None = 99) -> DataFrame:
     """Density per bin of each feature and side, values clipped to [0, p99] when `clip_percent` is set."""
+    melted = melted.filter(F.col("value").isNotNull())
     if clip_percent is not None:
         top = wide_quantiles(value_counts(melted, ["feature"], "value"), ["feature"], "value", {"_top": clip_percent})
         melted = melted.join(F.broadcast(top), "feature").withColumn("value", F.least(F.greatest("value", F.lit(0.0)), "_top")).drop("_top")
-    some = melted.filter(F.col("value").isNotNull())
-    edges = some.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    sides = some.groupBy("feature", by).agg(F.count(F.lit(1)).alias("side_n"))
+    edges = melted.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    sides = melted.groupBy("feature", by).agg(F.count(F.lit(1)).alias("side_n"))
     width = (F.col("hi") - F.col("lo")) / bins
     bin_no = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
-    counts = some.join(F.broadcast(edges), "feature").groupBy("feature", by, bin_no.cast("int").alias("bin")).agg(
+    counts = melted.join(F.broadcast(edges), "feature").groupBy("feature", by, bin_no.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.max(width).alias("width"))
     return counts.join(F.broadcast(sides), ["feature", by]).withColumn("density", div(F.col("n") / F.col("side_n"), F.col("width"))).drop("side_n")
 

@@ -50,20 +50,18 @@ def group_split(df: DataFrame, key: str, share: float, seed: int, out: str = "in
     return df.withColumn(out, (hash_fraction(seed, key) < share).cast("int"))
 
 
-def row_budget_groups(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """Groups in hash order until they hold `share` of the rows: (key, n, rows_before)."""
+def row_budget_groups(df: DataFrame, key: str, share: float, seed: int, out: str = "in_calibration") -> DataFrame:
+    """(key, n, out): groups are taken in hash order until they hold `share` of the rows."""
     groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     placed = groups.withColumn("_pos", hex_prefix(hash_hex(seed, key), 12))
     axis = prefix_sums(placed.groupBy("_pos").agg(F.sum("n").alias("n")), [], "_pos", ["n"]).select("_pos", "n_below")
     total = groups.agg(F.sum("n").alias("t")).scalar()
     budget = F.rint(F.lit(float(share)) * total)
-    return placed.join(axis, "_pos").filter(F.col("n_below") < budget).select(key, "n", F.col("n_below").alias("rows_before"))
+    return placed.join(axis, "_pos").select(key, "n", (F.col("n_below") < budget).cast("int").alias(out))
 
 
 def row_budget_split(df: DataFrame, key: str, share: float, seed: int, row_key: list[str], out: str = "in_calibration") -> DataFrame:
-    chosen = row_budget_groups(df, key, share, seed).select(key, "n", F.lit(1).alias(out))
-    joined = join_groups(df, chosen, [key], "n", row_key).drop("n")
-    return joined.withColumn(out, F.coalesce(out, F.lit(0)))
+    return join_groups(df, row_budget_groups(df, key, share, seed, out), [key], "n", row_key).drop("n")
 
 
 def fold_leaks(df: DataFrame, key: str, fold: str = "fold", by: list[str] | None = None) -> DataFrame:

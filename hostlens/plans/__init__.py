@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["extraction", "splitting"]
+FAMILIES = ["extraction", "splitting", "profiling"]
 
 
 def load_all():

@@ -139,4 +139,5 @@ def label_processes(stamped: DataFrame, keep: list[str] | None = None) -> DataFr
 def label_records(stamped: DataFrame, processes: DataFrame) -> DataFrame:
     """Records of the given processes with the label and technique of their process."""
     picked = processes.select("file", "pid", "n_events", "label", "technique")
-    return join_groups(stamped, picked, ["file", "pid"], "n_events", ["line_no"], "inner").drop("n_events")
+    sizes = stamped.groupBy("file", "pid").agg(F.count(F.lit(1)).alias("n_events"))
+    return join_groups(stamped, picked, ["file", "pid"], "n_events", ["line_no"], "inner", sizes=sizes).drop("n_events")
