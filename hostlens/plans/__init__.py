@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["extraction", "splitting", "profiling"]
+FAMILIES = ["extraction", "splitting", "profiling", "scoring"]
 
 
 def load_all():

@@ -199,8 +199,8 @@ def oof_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = wide_table(spark, sf_dir)
     base = wide.withColumnRenamed("label", "true_label").withColumns({
         "fold": F.floor(hash_fraction(7, "row_id") * 5).cast("int"),
-        "proba_xgb": F.round(hash_fraction(1, "row_id") * 0.65 + F.col("label") * 0.3, 2),
-        "proba_cnn": F.round(hash_fraction(2, "row_id") * 0.8 + F.col("label") * 0.15, 3),
+        "proba_xgb": F.round(hash_fraction(1, "row_id") * 0.65 + F.col("true_label") * 0.3, 2),
+        "proba_cnn": F.round(hash_fraction(2, "row_id") * 0.8 + F.col("true_label") * 0.15, 3),
     })
     unseen = hash_fraction(3, "row_id") < 0.01
     return base.withColumns({
