@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["extraction", "splitting", "profiling", "scoring"]
+FAMILIES = ["extraction", "splitting", "profiling", "scoring", "triaging", "modeling"]
 
 
 def load_all():
