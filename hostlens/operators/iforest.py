@@ -119,7 +119,7 @@ def fit(df: DataFrame, features: list[str], row_key: list[str], trees: int = 400
     dealt = dealt.withColumn("tree", (F.col("_round") * sets + slot).cast("int")).filter(F.col("tree") < trees)
     cols = list(features)
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(row_key)[cols].to_numpy(dtype=float)
         return pd.DataFrame(grow(int(key[0]), x, seed), columns=["tree", "node", "feature", "cut", "left", "right", "size", "depth"])
 

@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hostlens.functions.columns import div, flag
 from hostlens.operators.cumulative import prefix_sums, value_counts, wide_quantiles
@@ -87,7 +88,7 @@ def two_sided_counts(melted: DataFrame, is_first: Column) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided_normal(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else min(1.0, math.erfc(v / math.sqrt(2.0))))
 

@@ -100,12 +100,12 @@ CONTEXT = CASES + ", melted AS (" + V.melted_sql("cases", "row_id", FEATS) + f""
 
 @query("context_text", V.sql(CONTEXT, f"""SELECT row_id, '=== RECORD UNDER REVIEW ===' || chr(10)
   || printf('Model votes:  XGBoost -> %s (p_malicious=%.2f)   |   CNN -> %s (p_malicious=%.2f)', CASE pred_xgb WHEN 1 THEN 'MALICIOUS' ELSE 'BENIGN' END, proba_xgb,
-     CASE pred_cnn WHEN 1 THEN 'MALICIOUS' ELSE 'BENIGN' END, round(proba_cnn, 2)) || chr(10) || chr(10)
+     CASE pred_cnn WHEN 1 THEN 'MALICIOUS' ELSE 'BENIGN' END, floor(proba_cnn * 100) / 100) || chr(10) || chr(10)
   || 'Behavioural features, top 4 most unusual vs benign (value | pctile vs benign pop | pctile vs attack pop | meaning)' || chr(10) || lines || chr(10) || chr(10)
   || 'Most-deviating features, in order (first = most extreme):' || chr(10) || '  ' || names || chr(10) || chr(10) || '{NOTES}' AS context FROM cases JOIN body USING (row_id)"""))
 def context_text(spark, sf_dir):
     """Scores have two decimals here, so the printed probabilities do not depend on rounding modes."""
-    rows = oof(spark, sf_dir).withColumn("proba_cnn", F.round("proba_cnn", 2))
+    rows = oof(spark, sf_dir).withColumn("proba_cnn", F.floor(F.col("proba_cnn") * 100) / 100)
     cases = triage.triage_cases(rows, MAX_CASES)
     tables = _tables(rows, FEATS, "true_label")
     return triage.context_text(cases, FEATS, tables, NOTES, GLOSS).select("row_id", "context")
