@@ -96,7 +96,7 @@ def parsed(spark, sf_dir) -> DataFrame:
 
 
 def stamped(spark, sf_dir) -> DataFrame:
-    return audit.stamp_event_pid(parsed(spark, sf_dir))
+    return audit.stamp_event_pid(V.stored(spark, sf_dir, "records", parsed))
 
 
 def processes(spark, sf_dir) -> DataFrame:
@@ -168,7 +168,7 @@ def core_null_audit(spark, sf_dir):
 
 @query("process_features", V.sql(V.FEATURES, "SELECT * FROM features"))
 def features(spark, sf_dir):
-    return V.feature_table(spark, sf_dir)
+    return V.build_features(spark, sf_dir)
 
 
 @query("pair_rarity", V.sql(V.FEATURES, """SELECT parent, child, pairs,

@@ -26,10 +26,14 @@ FOLDS = 3
 
 
 def prepared(spark, sf_dir):
+    return V.stored(spark, sf_dir, "prepared", build_prepared)
+
+
+def build_prepared(spark, sf_dir):
     """All processes, ready to fit: row id, group key, scaled features."""
     table = V.feature_table(spark, sf_dir)
     keyed = table.withColumn("row_id", F.concat_ws("_", "source", "scenario", "host", F.col("pid").cast("string")))
-    return cut_lineage(models.prepare(keyed, FEATS))
+    return models.prepare(keyed, FEATS)
 
 
 @query("rf_cv")

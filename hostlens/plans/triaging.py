@@ -12,7 +12,6 @@ from hostlens.plans.catalogue import query
 from hostlens.plans.profiling import features, melted
 from hostlens.plans.scoring import oof, ratio
 from hostlens.plans.splitting import rounded
-from hostlens.session import cut_lineage
 from hostlens.sources.tables import pending, resolve_alias
 
 FEATS = V.WIDE_FEATURES
@@ -170,9 +169,12 @@ REPLIES = CONTRA + f""", kinds AS (SELECT row_id, floor({V.hash_fraction_sql(11,
 
 
 def arbitration(spark, sf_dir):
-    """Stored once: the report reads it several times."""
+    return V.stored(spark, sf_dir, "arbitration", build_arbitration)
+
+
+def build_arbitration(spark, sf_dir):
     resolved = triage.resolve_replies(raw_replies(spark, sf_dir), FEATS)
-    return cut_lineage(triage.arbitration_table(triage.contradictions(oof(spark, sf_dir)), resolved))
+    return triage.arbitration_table(triage.contradictions(oof(spark, sf_dir)), resolved)
 
 
 @query("reply_parse", V.sql(REPLIES, "SELECT row_id, parse_status, json_extract_string(js, '$.verdict') AS verdict, json_extract_string(js, '$.confidence')::DOUBLE AS confidence, raw FROM resolved"))
@@ -183,7 +185,7 @@ def reply_parse(spark, sf_dir):
 
 @query("arbitration_table", V.sql(REPLIES, "SELECT * FROM arb"))
 def arbitration_table(spark, sf_dir):
-    return arbitration(spark, sf_dir)
+    return build_arbitration(spark, sf_dir)
 
 
 @query("resume_antijoin", V.sql(CONTRA, f"SELECT row_id FROM contra WHERE NOT {V.hash_fraction_sql(14, 'row_id')} < 0.6"))

@@ -6,16 +6,28 @@ deterministic scores, the out-of-fold table of two detectors.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.functions.columns import hash_fraction
 from hostlens.operators.clean import clean_events
 from hostlens.operators.process import process_features
+from hostlens.session import ensure_checkpoint_dir
+from hostlens.sources.tables import reuse_or_build
 
 DAY_US = 86_400_000_000
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """An intermediate of the pipeline, written once per application to the shared folder and read by every later job."""
+    key = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hostlens-{spark.sparkContext.applicationId}/{key}-{name}"
+    return reuse_or_build(spark, path, lambda: build(spark, sf_dir))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -105,10 +117,14 @@ CLEAN = RAW + """, clean AS (
 )"""
 
 
-def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process_features(labeled_events(spark, sf_dir))
 
 
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "features", build_features)
+
+
 FEATURES = CLEAN + """, pairs AS (
   SELECT CASE WHEN ppid = 0 THEN '__root__' ELSE child END AS parent, child, count(*) AS pairs FROM clean WHERE child <> '' GROUP BY ALL
 ), grouped AS (
@@ -195,6 +211,10 @@ def hash_order_sql(seed: int | str, *keys: str) -> str:
 
 
 def oof_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "oof", build_oof)
+
+
+def build_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two detectors' out-of-fold scores with a planted signal, ties, folds and a few rows never predicted."""
     wide = wide_table(spark, sf_dir)
     base = wide.withColumnRenamed("label", "true_label").withColumns({
