@@ -19,7 +19,7 @@ def stratum_sizes(df: DataFrame, strata: list[str]) -> DataFrame:
     return df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
 
 
-def take_lowest(
+def mark_lowest(
     df: DataFrame,
     strata: list[str],
     key: list[str],
@@ -27,8 +27,9 @@ def take_lowest(
     quota: int | Column | None = None,
     quotas: DataFrame | None = None,
     digits: int = PREFIX_DIGITS,
+    out: str = "taken",
 ) -> DataFrame:
-    """Keep exactly min(quota, size) rows of each stratum, the ones with the lowest md5(seed|key).
+    """Flag exactly min(quota, size) rows of each stratum, the ones with the lowest md5(seed|key).
 
     `quota` is one number (or a column over the stratum columns) for all; `quotas` is a table
     (strata, quota). `key` must identify a row.
@@ -56,21 +57,23 @@ def take_lowest(
     else:
         work = join_groups(work, edge, part, "_size", ["_hex"], "inner")
     below = F.col("_edge").isNull() | (F.col("_cell") < F.col("_edge._cell"))
-    on_edge = (F.col("_cell") == F.col("_edge._cell")) & (F.col("_edge._free") > 0)
-    taken = work.filter(below).select(*cols)
-    ranked = work.filter(~below & on_edge).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*part).orderBy("_hex", *key))
-    )
-    return taken.unionByName(ranked.filter(F.col("_rank") <= F.col("_edge._free")).select(*cols))
+    on_edge = F.col("_cell") == F.col("_edge._cell")
+    settled = work.filter(~F.coalesce(on_edge, F.lit(False))).select(*cols, below.cast("int").alias(out))
+    rank = F.row_number().over(Window.partitionBy(*part).orderBy("_hex", *key))
+    ranked = work.filter(on_edge).withColumn("_rank", rank)
+    return settled.unionByName(ranked.select(*cols, (F.col("_rank") <= F.col("_edge._free")).cast("int").alias(out)))
+
+
+def take_lowest(df: DataFrame, strata: list[str], key: list[str], seed: int, quota: int | Column | None = None, quotas: DataFrame | None = None,
+                digits: int = PREFIX_DIGITS) -> DataFrame:
+    """Keep exactly min(quota, size) rows of each stratum."""
+    return mark_lowest(df, strata, key, seed, quota, quotas, digits, "_taken").filter("_taken = 1").drop("_taken")
 
 
 def split_lowest(df: DataFrame, strata: list[str], key: list[str], seed: int, share: float) -> DataFrame:
     """Stratified row split: `in_test` = 1 for exactly rint(share * size) rows of each stratum."""
     quotas = stratum_sizes(df, strata).select(*strata, F.rint(F.col("n") * F.lit(float(share))).cast("bigint").alias("quota"))
-    test = take_lowest(df, strata, key, seed, quotas=quotas)
-    return df.join(test.select(*key, F.lit(1).alias("in_test")), key, "left").withColumn(
-        "in_test", F.coalesce("in_test", F.lit(0))
-    )
+    return mark_lowest(df, strata, key, seed, quotas=quotas, out="in_test")
 
 
 def proportional_quotas(sizes: DataFrame, stratum: str, target: int) -> DataFrame:

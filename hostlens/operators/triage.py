@@ -90,7 +90,10 @@ def four_digits(v: Column) -> Column:
     size = F.abs(v)
     exp = F.floor(F.log10(size)).cast("int")
     unit = F.pow(F.lit(10.0), (exp - 3).cast("double"))
-    near = F.rint(v / unit) * unit
+    # dropping the whole part first is exact, so a value just off a tie is not mistaken for one
+    steps = F.pow(F.lit(10.0), (3 - exp).cast("double"))
+    split = F.signum(v) * (F.floor(size) + F.rint((size - F.floor(size)) * steps) / steps)
+    near = F.when(exp.between(0, 3), split).otherwise(F.rint(v / unit) * unit)
     shifted = F.abs(near) >= F.pow(F.lit(10.0), (exp + 1).cast("double"))
     exp = F.when(shifted, exp + 1).otherwise(exp)
 
@@ -139,32 +142,34 @@ def context_text(df: DataFrame, features: list[str], tables: DataFrame, notes: s
 # --- replies --------------------------------------------------------------------------------------------
 
 
-def parse_reply(raw: Column, features: list[str]) -> Column:
-    """The reply struct when the outermost {...} of the text is a valid reply, else NULL."""
-    js = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    doc = F.try_parse_json(js)
-    r = F.from_json(js, S.REPLY_JSON)
+def parse_replies(replies: DataFrame, features: list[str], out: str = "reply") -> DataFrame:
+    """Adds the reply struct where the outermost {...} of `raw` is a valid reply, else NULL.
 
-    def kind(path: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
-
-    steps, keys = r["rationale_steps"], r["key_features"]
+    Text, document and struct are separate projections, so each reply is parsed once, not once per rule.
+    """
+    staged = replies.withColumn("_js", F.regexp_extract("raw", r"(?s)\{.*\}", 0)).withColumns({
+        "_doc": F.try_parse_json("_js"), "_rep": F.from_json("_js", S.REPLY_JSON), "_keys": F.json_object_keys("_js"),
+    }).withColumns({
+        f"_kind_{f}": F.schema_of_variant(F.try_variant_get("_doc", f"$.{f}", "variant")) for f in ("confidence", "rationale_steps", "key_features")
+    })
+    r = F.col("_rep")
     known = F.array(*[F.lit(f) for f in features])
     valid = (
-        (F.array_sort(F.json_object_keys(js)) == F.array(*[F.lit(k) for k in sorted(S.REPLY_KEYS)]))
+        F.col("_doc").isNotNull()
+        & (F.array_sort("_keys") == F.array(*[F.lit(k) for k in sorted(S.REPLY_KEYS)]))
         & r["verdict"].isin("MALICIOUS", "BENIGN")
-        & kind("$.confidence").rlike("^(BIGINT|DOUBLE|DECIMAL.*)$") & r["confidence"].between(0.0, 1.0)
-        & (kind("$.rationale_steps") == "ARRAY<STRING>") & F.size(steps).between(3, 6)
-        & kind("$.key_features").isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.size(keys) <= 5)
-        & F.forall(keys, lambda k: F.array_contains(known, k))
+        & F.col("_kind_confidence").rlike("^(BIGINT|DOUBLE|DECIMAL.*)$") & r["confidence"].between(0.0, 1.0)
+        & (F.col("_kind_rationale_steps") == "ARRAY<STRING>") & F.size(r["rationale_steps"]).between(3, 6)
+        & F.col("_kind_key_features").isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.size(r["key_features"]) <= 5)
+        & F.forall(r["key_features"], lambda k: F.array_contains(known, k))
         & r["agrees_with"].isin("xgb", "cnn", "neither")
     )
-    return F.when(F.coalesce(doc.isNotNull() & valid, F.lit(False)), r)
+    return staged.select(*replies.columns, F.when(F.coalesce(valid, F.lit(False)), r).alias(out))
 
 
 def resolve_replies(replies: DataFrame, features: list[str]) -> DataFrame:
     """One row per case from up to two attempts: ok, repaired by the second, or parse_error."""
-    parsed = replies.withColumn("_r", parse_reply(F.col("raw"), features))
+    parsed = parse_replies(replies, features, "_r")
     first, second = F.col("attempt") == 1, F.col("attempt") == 2
     both = parsed.groupBy("row_id").agg(
         F.max(F.when(first, F.struct(F.col("_r"), F.col("raw")))).alias("a"), F.max(F.when(second, F.struct(F.col("_r"), F.col("raw")))).alias("b"))

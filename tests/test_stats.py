@@ -216,7 +216,7 @@ def test_percentile_labels(spark):
 
 
 def test_four_digits(spark):
-    vals = [0.0, 3.0, -2.0, 0.5, 12.345678, 1234.5678, 12345.678, 0.00012345, 0.000012345, 99999.5, 9.99996, 123456789.25, 0.1, 1e-7 * 3]
+    vals = [0.0, 3.0, -2.0, 0.5, 12.345678, 1234.5678, 12345.678, 0.00012345, 0.000012345, 99999.5, 9.99996, 123456789.25, 0.1, 1e-7 * 3, 911.85, 911.75, -911.85, 10.005]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [r["t"] for r in df.select(triage.four_digits(F.col("v")).alias("t")).collect()]
     assert got == [str(int(v)) if v == int(v) else f"{v:.4g}" for v in vals]
@@ -234,7 +234,7 @@ GOOD = '{"verdict": "BENIGN", "confidence": 0.5, "rationale_steps": ["a", "b", "
     (GOOD.replace('["x"]', '["x", "x", "x", "x", "x", "x"]'), False),
 ])
 def test_reply_rules(spark, raw, ok):
-    got = spark.createDataFrame([(raw,)], "raw string").select(triage.parse_reply(F.col("raw"), ["x", "y"]).alias("r")).first()["r"]
+    got = triage.parse_replies(spark.createDataFrame([(raw,)], "raw string"), ["x", "y"]).first()["reply"]
     assert (got is not None) == ok
 
 
