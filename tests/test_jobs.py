@@ -76,7 +76,7 @@ def planted(spark):
     base = spark.range(750).select(
         F.col("id"), (F.md5(F.col("id").cast("string"))).alias("h")).select(
         "id", (F.conv(F.substring("h", 1, 6), 16, 10).cast("double") / 16777216).alias("x"), (F.conv(F.substring("h", 7, 6), 16, 10).cast("double") / 16777216).alias("z"))
-    rows = base.crossJoin(spark.range(2).toDF("copy")).select(
+    rows = base.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         F.concat_ws("-", "id", "copy").alias("row_id"), "x", "z", (F.col("x") + F.col("z") * 0.3 > 0.75).cast("int").alias("label"),
         F.lit("T1").alias("technique"), F.concat(F.lit("p"), (F.col("id") % 4).cast("string")).alias("proc_name"))
     return cut_lineage(models.prepare(rows, ["x", "z"]))
