@@ -14,7 +14,7 @@ from hostlens.operators import cascade, errors, evaluate, metrics, models, summa
 from hostlens.operators.models import Detector
 from hostlens.plans import views as V
 from hostlens.plans.catalogue import query
-from hostlens.session import cut_lineage, ensure_checkpoint_dir
+from hostlens.session import application_dir, cut_lineage
 
 RF = Detector("rf", {"numTrees": 12, "maxDepth": 6})
 GBT = Detector("gbt", {"maxIter": 6, "maxDepth": 4, "stepSize": 0.3})
@@ -193,7 +193,7 @@ def missingness_cv(spark, sf_dir):
 def model_roundtrip(spark, sf_dir):
     """Models fitted on everything, saved, loaded and compared with the ones in memory."""
     rows = prepared(spark, sf_dir)
-    folder = ensure_checkpoint_dir(spark).rstrip("/")
+    folder = application_dir(spark)
     outs = []
     for det in (RF, GBT):
         fitted = det.fit(rows, FEATS)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hostlens.functions.columns import hash_fraction
 from hostlens.operators.clean import clean_events
 from hostlens.operators.process import process_features
-from hostlens.session import ensure_checkpoint_dir
+from hostlens.session import application_dir
 from hostlens.sources.tables import reuse_or_build
 
 DAY_US = 86_400_000_000
@@ -24,7 +24,7 @@ DAY_US = 86_400_000_000
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """An intermediate of the pipeline, written once per application to the shared folder and read by every later job."""
     key = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hostlens-{spark.sparkContext.applicationId}/{key}-{name}"
+    path = f"{application_dir(spark)}/{key}-{name}"
     return reuse_or_build(spark, path, lambda: build(spark, sf_dir))
 
 
