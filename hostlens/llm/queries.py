@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, chat, language, licenses, sharding, tokens
+from hostlens.llm import ann, bpe, chat, language, licenses, sharding, tokens
 from hostlens.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -33,9 +33,13 @@ def op8_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_graph_search(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_token_counts, op5_chat_format, op7_language_id, op8_license_scan, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_bpe, op4_token_counts, op5_chat_format, op7_language_id, op8_license_scan, op9_graph_search, op10_sharding)}
 ORACLES = {"op5_chat_format": chat.ORACLE, "op10_sharding": sharding.oracle()}
