@@ -152,7 +152,7 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Dat
     sizes = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
     dealt = nodes.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("embedding"), "shards").cast("int"))
 
-    def build(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ids", key=lambda c: c.map(lambda x: x[0]))
         vec = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
         if len(vec) > QUERY_BEAM:
@@ -180,10 +180,10 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = QUERY_BEAM)
     asked = queries.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", "embedding").distinct()
     asked = asked.withColumn("dim", F.size("embedding"))
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    shards = index.select("dim", "shard")
+    shards = index.select(F.col("dim").alias("_d"), F.col("shard").alias("_s")).toDF("dim", "shard")
     sent = asked.join(shards, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
 
-    def visit(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def visit(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "node": [], "ids": [], "score": []})
         dim, shard = key[0], right.iloc[0]
@@ -205,7 +205,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = QUERY_BEAM)
         row, node, s = row[keep], node[keep], score[row, best.ravel()][keep]
         return pd.DataFrame({"query_id": left["vec_id"].to_numpy()[row], "node": ids[node, 0], "ids": [ids[i, : held[i]] for i in node], "score": s})
 
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    copies = index.toDF(*index.columns).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = ["dim", "shard", "block"]
     hits = sent.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(visit, "query_id bigint, node bigint, ids array<bigint>, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
