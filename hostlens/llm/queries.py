@@ -5,12 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hostlens.llm import ann, bpe, chat, language, licenses, sharding, tokens
+from hostlens.llm import ann, bpe, chat, jaccard, language, licenses, sharding, suffix, tokens
 from hostlens.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -41,5 +49,5 @@ def op10_sharding(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_token_counts, op5_chat_format, op7_language_id, op8_license_scan, op9_graph_search, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_bpe, op4_token_counts, op5_chat_format, op7_language_id, op8_license_scan, op9_graph_search, op10_sharding)}
 ORACLES = {"op5_chat_format": chat.ORACLE, "op10_sharding": sharding.oracle()}
