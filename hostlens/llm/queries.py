@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hostlens.llm import ann, bpe, chat, jaccard, language, licenses, sharding, suffix, tokens
+from hostlens.llm import ann, bpe, chat, decontaminate, jaccard, language, licenses, sharding, suffix, tokens
 from hostlens.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,6 +31,10 @@ def op5_chat_format(spark, sf_dir):
     return chat.digest(chat.format_pairs(chat.neighbours(table(spark, sf_dir, "conversations"))))
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = language.held_out().alias("held_out")
@@ -49,5 +53,5 @@ def op10_sharding(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_bpe, op4_token_counts, op5_chat_format, op7_language_id, op8_license_scan, op9_graph_search, op10_sharding)}
-ORACLES = {"op5_chat_format": chat.ORACLE, "op10_sharding": sharding.oracle()}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_bpe, op4_token_counts, op5_chat_format, op6_decontaminate, op7_language_id, op8_license_scan, op9_graph_search, op10_sharding)}
+ORACLES = {"op5_chat_format": chat.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op10_sharding": sharding.oracle()}
