@@ -25,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import RollingHash, mix, record_batch, slices, utf8
+from hostlens.llm.common import slices, utf8
 
-GRAM_BYTES = (3, 5)
-SAMPLE_ROWS = 2_000  # per language
+SAMPLE_ROWS = 1_000  # per language
 MAX_GRAMS = 16_384  # per language
 MIN_SHARE = 0.02  # of a language's sampled documents that must have an n-gram
 RELATIVE = 0.3  # of the highest such share among the languages
-SLOTS = 1 << 19
-HASHES = 3
+SLOT_BITS = 19
+FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)  # one hash function each
+SLICE = 1 << 20
 UNKNOWN = "und"
+MIN_SCORE = 0.1  # a text below is rejected
 
 SEPARATOR = 0x20
 CLASSES = np.array([c if 0x61 <= c <= 0x7A or c >= 0x80 else SEPARATOR for c in range(256)], np.uint8)
@@ -43,64 +44,66 @@ CLASSES = np.array([c if 0x61 <= c <= 0x7A or c >= 0x80 else SEPARATOR for c in
 @dataclass
 class Model:
     languages: list[str]
-    slots: np.ndarray  # uint64 bitmask per slot
+    slots: np.ndarray  # bitmask per slot, as wide as needed
     false_rate: np.ndarray  # per language
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, row) of every n-gram that does not start or end outside its text.
+    """All n-grams as 32-bit numbers, and where each text's begin (one more entry than texts).
 
-    Runs of other characters than letters count as one blank, so layout does not matter.
+    Runs of other characters than letters count as one blank, also before and after a text.
     """
-    data = CLASSES[np.frombuffer(b" \0 ".join(texts), np.uint8)] if texts else np.zeros(0, np.uint8)
-    raw = np.frombuffer(b" \0 ".join(texts), np.uint8) if texts else data
-    edge = raw == 0  # a NUL inside a text also ends up as an edge, which only loses the n-grams across it
-    keep = np.ones(len(data), bool)
-    keep[1:] = (data[1:] != SEPARATOR) | (data[:-1] != SEPARATOR) | edge[1:]
-    ends = np.cumsum([0] + [len(t) + 3 for t in texts])
-    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))[: len(data)]
-    data, row = data[keep], row[keep]
-    hashed = RollingHash(data)
-    prints, rows = [], []
-    for n in GRAM_BYTES:
-        at = np.arange(max(0, len(data) - n + 1))
-        inside = row[at] == row[at + n - 1]
-        at = at[inside]
-        prints.append(hashed(at, at + n) + np.uint64(n))
-        rows.append(row[at])
-    return np.concatenate(prints), np.concatenate(rows)
-
-
-def places(prints: np.ndarray, slots: int, hashes: int) -> Iterator[np.ndarray]:
-    second = mix(prints) | np.uint64(1)
-    for i in range(hashes):
-        yield ((prints + np.uint64(i) * second) >> np.uint64(13)) % np.uint64(slots)
+    raw = np.frombuffer(b" " + b"\0 ".join(texts) + b"\0", np.uint8)
+    close = raw == 0
+    data = CLASSES[raw]
+    blank = data == SEPARATOR
+    keep = ~blank
+    keep[0] = True
+    keep[1:] |= ~blank[:-1]  # the first blank of a run stays
+    ends = np.cumsum(keep)[np.cumsum([len(t) + 2 for t in texts]) - 1]
+    data = data[keep]
+    n = max(0, len(data) - 3)
+    code = data[:n].astype(np.uint32)
+    for i in (1, 2, 3):
+        code |= data[i : n + i].astype(np.uint32) << np.uint32(8 * i)
+    begin = np.concatenate([[0], ends[:-1]])
+    return code, np.minimum(np.append(begin, ends[-1]), n)
+
+
+def places(codes: np.ndarray) -> Iterator[np.ndarray]:
+    spread = codes ^ (codes >> np.uint32(15))
+    for factor in FACTORS:
+        yield (spread * factor) >> np.uint32(32 - SLOT_BITS)
 
 
 def sample(docs: DataFrame, rows: int) -> DataFrame:
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
-    return docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows)
+    """The first `rows` documents of each language by a hash of the id; only ids and languages are sorted."""
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = labelled.select("lang", "doc_id").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows)
+    keys = picked.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id")).distinct()  # `rows` per language at most
+    return labelled.join(F.broadcast(keys), (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fit on (doc_id, text, lang); `doc_id` only picks the sample."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            prints, row = grams(utf8(batch.column("text")))
-            names = batch.column("lang").to_pylist()
+        for batch in slices(batches, limit=SLICE):
+            codes, begin = grams(utf8(batch.column("text")))
+            names = np.array(batch.column("lang").to_pylist(), object)
             for lang in dict.fromkeys(names):
-                mine = np.isin(row, [i for i, x in enumerate(names) if x == lang])
-                once = np.unique(np.stack([prints[mine], row[mine].astype(np.uint64)]), axis=1)[0]
-                gram, n = np.unique(once, return_counts=True)
-                yield pa.record_batch({"lang": pa.array([lang] * len(gram), pa.string()), "gram": gram.view(np.int64), "n": n.astype(np.int64)})
+                once = [np.unique(codes[begin[i] : begin[i + 1]]) for i in np.flatnonzero(names == lang)]
+                gram, n = np.unique(np.concatenate(once), return_counts=True)
+                yield pa.record_batch({"lang": pa.array([lang] * len(gram), pa.string()), "gram": gram.astype(np.int64), "n": n.astype(np.int64)})
 
     picked = sample(labelled.select("doc_id", "text", "lang"), rows)
     sizes = {r["lang"]: r["n"] for r in picked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if len(languages) > 64:
         raise ValueError("a mask holds at most 64 languages")
-    slots, false_rate = np.zeros(SLOTS, np.uint64), np.zeros(len(languages))
+    width = next(np.dtype(f"u{n}") for n in (1, 2, 4, 8) if 8 * n >= len(languages))
+    slots, false_rate = np.zeros(1 << SLOT_BITS, width), np.zeros(len(languages))
     if languages:
         found = picked.select("text", F.lower("text").alias("_l"), "lang").select(F.col("_l").alias("text"), "lang").mapInArrow(count, "lang string, gram bigint, n bigint")
         size = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, float(n))])
@@ -109,27 +112,31 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         kept = per_gram.select("gram", "top", F.inline("s")).filter(F.col("share") >= RELATIVE * F.col("top"))
         best = Window.partitionBy("lang").orderBy(F.desc("share"), "gram")
         kept = kept.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= MAX_GRAMS)
-        for lang, gram in kept.select("lang", "gram").collect():  # at most MAX_GRAMS rows per language
-            for at in places(np.array([gram], np.int64).view(np.uint64), SLOTS, HASHES):
-                slots[at] |= np.uint64(1 << languages.index(lang))
-        fill = np.array([np.mean(slots >> np.uint64(i) & np.uint64(1)) for i in range(len(languages))])
-        false_rate = fill**HASHES
+        held = kept.select("lang", "gram").collect()  # at most MAX_GRAMS rows per language
+        for i, lang in enumerate(languages):
+            mine = np.array([r["gram"] for r in held if r["lang"] == lang], np.uint32)
+            for at in places(mine):
+                slots[np.unique(at)] |= width.type(1 << i)
+        fill = np.array([np.mean(slots >> width.type(i) & width.type(1)) for i in range(len(languages))])
+        false_rate = fill ** len(FACTORS)
     return Model(languages, slots, false_rate)
 
 
 def shares(model: Model, texts: list[bytes]) -> np.ndarray:
     """Per text and language, the corrected share of n-grams that the language contains."""
     hits, total = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
-    part = 2 << 20  # a longer text is read in pieces
-    for start in range(0, max([len(t) for t in texts], default=0) or 1, part):
-        pieces = [t[start : start + part] for t in texts]
-        prints, row = grams(pieces)
-        masks = np.full(len(prints), np.uint64(2**64 - 1))
-        for at in places(prints, len(model.slots), HASHES):
-            masks &= model.slots[at]
-        total += np.bincount(row, minlength=len(texts))
+    one = model.slots.dtype.type(1)
+    for start in range(0, max([len(t) for t in texts], default=0) or 1, SLICE):  # a longer text is read in pieces
+        codes, begin = grams([t[start : start + SLICE] for t in texts])
+        if not len(codes):
+            continue
+        masks = model.slots[next(at := places(codes))]
+        for more in at:
+            masks &= model.slots[more]
+        total += np.diff(begin)
+        some = np.flatnonzero(np.diff(begin))
         for i in range(len(model.languages)):
-            hits[:, i] += np.bincount(row, masks >> np.uint64(i) & np.uint64(1), len(texts))
+            hits[some, i] += np.add.reduceat((masks >> model.slots.dtype.type(i)) & one, begin[some], dtype=np.int64)
     rate = hits / np.maximum(total, 1)[:, None]
     return np.clip((rate - model.false_rate) / np.maximum(1 - model.false_rate, 1e-9), 0, 1)
 
@@ -137,7 +144,7 @@ def shares(model: Model, texts: list[bytes]) -> np.ndarray:
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """`keep` columns (default: doc_id) with lang_pred and score; only the text decides."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # SLOTS * 8 bytes
+    shared = spark.sparkContext.broadcast(model)  # 4 MB at most
     keep = ["doc_id"] if keep is None else keep
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(*keep, F.when(has_letter, F.lower("text")).alias("_lower"))
@@ -145,7 +152,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, "_lower"):
+        for batch in slices(batches, "_lower", SLICE):
             known = np.array(batch.column("_lower").is_valid()) & bool(m.languages)
             lang, score = np.full(len(known), UNKNOWN, object), np.zeros(len(known))
             if known.any():
@@ -167,3 +174,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Fit on the documents outside the held-out fold, predict all."""
     return predict(docs, fit(docs.filter(~held_out())), keep)
+
+
+def rejected(lang_pred: str = "lang_pred", score: str = "score") -> Column:
+    """Texts in no learned language: nothing to read, or hardly an n-gram that any language contains."""
+    return (F.col(lang_pred) == UNKNOWN) | (F.col(score) < MIN_SCORE)

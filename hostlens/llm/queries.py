@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hostlens.llm import ann, bpe, chat, decontaminate, jaccard, language, licenses, sharding, suffix, tokens
 from hostlens.llm.common import table
 
@@ -53,5 +54,9 @@ def op10_sharding(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_bpe, op4_token_counts, op5_chat_format, op6_decontaminate, op7_language_id, op8_license_scan, op9_graph_search, op10_sharding)}
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_bpe, op4_token_counts, op5_chat_format, op6_decontaminate, op7_language_id, op8_license_scan, op9_graph_search, op10_sharding, pipeline)}
 ORACLES = {"op5_chat_format": chat.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op10_sharding": sharding.oracle()}
