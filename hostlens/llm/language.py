@@ -66,8 +66,10 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     code = data[:n].astype(np.uint32)
     for i in (1, 2, 3):
         code |= data[i : n + i].astype(np.uint32) << np.uint32(8 * i)
-    begin = np.concatenate([[0], ends[:-1]])
-    return code, np.minimum(np.append(begin, ends[-1]), n)
+    first = np.concatenate([[1], ends[:-1]]) - 1  # the blank before a text is its own, and so is the one behind it
+    count = np.maximum(ends - first - 3, 0)
+    begin = np.concatenate([[0], np.cumsum(count)])
+    return code[np.arange(begin[-1]) + np.repeat(first - begin[:-1], count)], begin
 
 
 def places(codes: np.ndarray) -> Iterator[np.ndarray]:
