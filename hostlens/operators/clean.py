@@ -16,8 +16,9 @@ def clean_events(events: DataFrame, missing_uid_is_root: bool = True, core: list
     A missing uid becomes 0, that is root, as the published tables have it; pass
     `missing_uid_is_root=False` to leave such events without a uid instead.
     """
-    if "host" not in events.columns:
-        events = events.withColumn("host", F.lit(None).cast("string"))
+    for c in ("host", "scenario", "source"):
+        if c not in events.columns:
+            events = events.withColumn(c, F.lit(None).cast("string"))
     uid = F.coalesce("uid", F.lit(0)) if missing_uid_is_root else F.col("uid")
     exe = F.coalesce("exe", F.lit("unknown"))
     out = events.select(
@@ -35,6 +36,8 @@ def clean_events(events: DataFrame, missing_uid_is_root: bool = True, core: list
         "syscall_name": F.coalesce("syscall_name", "record_type", F.lit("unknown")),
         "failed": F.coalesce("failed", F.lit(0)),
         "host": F.coalesce("host", F.lit("unknown_host")),
+        "scenario": F.coalesce("scenario", F.lit("unknown")),
+        "source": F.coalesce("source", F.lit("unknown")),
     })
     return zero_fill(out, core or ["timestamp", "pid", "uid", "euid", "failed", "label"])
 

@@ -2,19 +2,38 @@
 
 A window without partitions would put the whole axis into one task. Here every caller first reduces to one
 row per distinct value, the axis is cut into ranges of about equal size, each range is summed on its own,
-and the totals of the ranges below are added.
+and the totals of the ranges below are added. A NULL part is a part like any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 256
+from hostlens.session import cut_lineage
 
+PART = "_part"
 
-def _ranges(df: DataFrame) -> int:
-    return max(2, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+RANGE_ROWS = 1_000_000  # distinct values that one task should sort
+
+
+def _ranges(counts: DataFrame) -> int:
+    """As many ranges as keep a range near RANGE_ROWS, and at least one per shuffle partition."""
+    return max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // RANGE_ROWS))
+
+
+def _range_of(keyed: DataFrame, order: str, n: int) -> Column:
+    """Number of the range that holds a row, by binary search in n - 1 cuts that all parts share."""
+    cuts = keyed.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"]  # n - 1 values
+    cuts = sorted(set(cuts or []))
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(order) <= F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(cuts))
 
 
 def prefix_sums(counts: DataFrame, by: list[str], order: str, measures: list[str], ranges: int | None = None) -> DataFrame:
@@ -23,25 +42,18 @@ def prefix_sums(counts: DataFrame, by: list[str], order: str, measures: list[str
     `counts` holds one row per (by, order). `by` names parts of a report (features, models, repeats), so it
     has few values; `order` may have any number.
     """
+    names = counts.columns
+    counts = cut_lineage(counts)  # it is read for the cuts, the totals and the rows
     n = ranges or _ranges(counts)
-    cuts = [i / n for i in range(1, n)]
-    part = list(by)
-    if not part:
-        counts, part = counts.withColumn("_all", F.lit(0)), ["_all"]
-    bounds = counts.groupBy(*part).agg(F.percentile_approx(order, cuts, 20 * n).alias("_cuts"))
-    placed = counts.join(F.broadcast(bounds), part).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda b: b < F.col(order)))
-    ).drop("_cuts")
-    below = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(*part, "_range")
-        .agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-        .select(*part, "_range", *[F.coalesce(F.sum(f"_t_{m}").over(below), F.lit(0)).alias(f"_o_{m}") for m in measures])
-    )
-    inside = Window.partitionBy(*part, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    keyed = counts.withColumn(PART, F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
+    placed = keyed.withColumn("_range", _range_of(keyed, order, n))
+    below = Window.partitionBy(PART).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(PART, "_range").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+    offsets = totals.select(PART, "_range", *[F.coalesce(F.sum(f"_t_{m}").over(below), F.lit(0)).alias(f"_o_{m}") for m in measures])
+    inside = Window.partitionBy(PART, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.select("*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_i_{m}") for m in measures])
-    out = out.join(F.broadcast(offsets), [*part, "_range"])
-    return out.select(*counts.columns, *[(F.col(f"_i_{m}") + F.col(f"_o_{m}")).alias(f"{m}_below") for m in measures]).drop("_all")
+    out = out.join(offsets, [PART, "_range"])
+    return out.select(*names, *[(F.col(f"_i_{m}") + F.col(f"_o_{m}")).alias(f"{m}_below") for m in measures])
 
 
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -56,14 +68,12 @@ def quantile_points(counts: DataFrame, by: list[str], value: str, percents: list
     value row claims the percentiles whose lower or upper rank falls inside its own block of ranks.
     """
     axis = prefix_sums(counts, by, value, [n])
-    part = list(by)
-    if not part:
-        axis, part = axis.withColumn("_all", F.lit(0)), ["_all"]
-    totals = axis.groupBy(*part).agg(F.sum(n).alias("_total"))
+    axis = axis.withColumn(PART, F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
+    totals = axis.groupBy(PART).agg(F.sum(n).alias("_total"))
     wanted = F.array(*[F.lit(p) for p in percents])
     lo_rank = F.floor(F.col("pct") * (F.col("_total") - 1) / 100)
     rows = (
-        axis.join(F.broadcast(totals), part)
+        axis.join(totals, PART)
         .withColumn("_first", F.col(f"{n}_below") - 1)
         .withColumn("_last", F.col(f"{n}_below") + F.col(n))
         # ranks p(N-1)/100 in [first, last) are the only ones this block can serve
@@ -75,13 +85,13 @@ def quantile_points(counts: DataFrame, by: list[str], value: str, percents: list
     )
     hi_rank = F.least(F.col("_lo") + 1, F.col("_total") - 1)
     holds = lambda r: (r >= F.col(f"{n}_below")) & (r < F.col("_last"))
-    out = rows.groupBy(*part, "pct").agg(
+    out = rows.groupBy(PART, "pct").agg(
         F.max(F.when(holds(F.col("_lo")), F.col(value))).alias("_vlo"),
         F.max(F.when(holds(hi_rank), F.col(value))).alias("_vhi"),
         F.max("_total").alias("_total"),
     )
     frac = (F.col("pct") * (F.col("_total") - 1) % 100) / 100.0
-    return out.select(*by, "pct", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("q"))
+    return out.select(*[F.col(f"{PART}.{c}").alias(c) for c in by], "pct", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("q"))
 
 
 def wide_quantiles(counts: DataFrame, by: list[str], value: str, names: dict[str, int], n: str = "n") -> DataFrame:

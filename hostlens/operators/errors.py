@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.functions.columns import div, melt
+from hostlens.functions.columns import div, flag, melt
 from hostlens.operators.joins import join_groups
 from hostlens.operators.metrics import outcome
 
@@ -75,24 +75,38 @@ def newly_missed(df: DataFrame, baseline: str, augmented: str, label: str = "tru
     return df.filter((F.col(label) == 1) & (F.col(baseline) == 1) & (F.col(augmented) == 0))
 
 
-def name_support(train: DataFrame, name: str = "proc_name", label: str = "label") -> DataFrame:
-    return train.groupBy(name).agg(F.count(F.lit(1)).alias("train_support"), F.avg(F.col(label).cast("double")).alias("train_attack_rate"))
+def name_support(df: DataFrame, name: str = "proc_name", label: str = "label", fold: str = "fold") -> DataFrame:
+    """Rows and attack rate of each name in the training part of each fold, which is every other fold; NULL is no name."""
+    per = df.filter(F.col(name).isNotNull()).groupBy(name, fold).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_n1"))
+    folds = df.select(fold).distinct().groupBy().agg(F.collect_set(fold).alias("_folds"))  # one small row
+    held = per.groupBy(name).agg(F.sum("_n").alias("_all"), F.sum("_n1").alias("_all1"), F.map_from_entries(F.collect_list(F.struct(fold, F.struct("_n", "_n1")))).alias("_own"))
+    each = held.withColumn(fold, F.explode(folds.scalar()))
+    own = F.try_element_at("_own", F.col(fold))
+    n = F.col("_all") - F.coalesce(own["_n"], F.lit(0))
+    n1 = F.col("_all1") - F.coalesce(own["_n1"], F.lit(0))
+    return each.select(name, fold, n.alias("train_support"), F.when(n > 0, n1 / n).alias("train_attack_rate"))
 
 
-def explain_misses(misses: DataFrame, train: DataFrame, row_key: list[str], name: str = "proc_name", label: str = "label") -> DataFrame:
-    """Training support and attack rate of the process name of each newly missed row."""
-    support = name_support(train, name, label)
-    sizes = misses.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
-    out = join_groups(misses, support.withColumn("_n", F.lit(0)), [name], "_n", row_key, sizes=sizes).drop("_n")
-    return out.withColumn("train_support", F.coalesce("train_support", F.lit(0)))
+def explain_misses(misses: DataFrame, df: DataFrame, row_key: list[str], name: str = "proc_name", label: str = "label", fold: str = "fold") -> DataFrame:
+    """Training support and attack rate of the process name of each newly missed row, fold by fold."""
+    return _with_support(misses, name_support(df, name, label, fold), [name, fold], row_key)
 
 
-def mixed_group_names(test: DataFrame, train: DataFrame, group: str, name: str = "proc_name", label: str = "label") -> DataFrame:
-    """Process names inside test groups that carry both labels, with their training support."""
-    g = test.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"), (F.min(label) != F.max(label)).alias("_mixed")).filter("_mixed").drop("_mixed")
-    names = test.groupBy(group, name).agg(F.count(F.lit(1)).alias("n_rows"))
-    inside = names.join(g, group)
-    support = name_support(train, name, label).select(name, "train_support", F.lit(0).alias("_n"))
-    sizes = inside.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
-    out = join_groups(inside, support, [name], "_n", [group], sizes=sizes).drop("_n")
+def _with_support(rows: DataFrame, support: DataFrame, keys: list[str], row_key: list[str]) -> DataFrame:
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    out = join_groups(rows, support.withColumn("_n", F.lit(0)), keys, "_n", row_key, sizes=sizes).drop("_n")
     return out.withColumn("train_support", F.coalesce("train_support", F.lit(0)))
+
+
+def mixed_group_names(df: DataFrame, group: str, name: str = "proc_name", label: str = "label", fold: str = "fold", min_size: int = 100, min_support: int = 30) -> DataFrame:
+    """Process names inside large groups that carry both labels, for each fold that tests some of the group.
+
+    `group_size` and `n_rows` count the whole group, `train_support` the name's rows in the other folds.
+    """
+    mixed = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"), (F.min(label) != F.max(label)).alias("_mixed"))
+    mixed = mixed.filter(F.col("_mixed") & (F.col("group_size") >= min_size)).drop("_mixed")
+    names = df.groupBy(group, name).agg(F.count(F.lit(1)).alias("n_rows")).join(mixed, group)
+    tested = df.select(group, fold).distinct()
+    inside = names.join(tested, group)
+    out = _with_support(inside, name_support(df, name, label, fold).drop("train_attack_rate"), [name, fold], [group])
+    return out.withColumn("above_min_support", flag(F.col("train_support") >= min_support))

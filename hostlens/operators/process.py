@@ -96,13 +96,14 @@ def pair_counts(events: DataFrame) -> DataFrame:
 
 
 def true_pair_counts(events: DataFrame) -> DataFrame:
-    """Corrected variant: the parent is the executable of the process with that pid on the same host."""
+    """Corrected variant: the parent is the executable of the process with that pid on the same host of the same scenario."""
     child = exe_basename(F.col("exe"))
-    ev = events.select("host", "pid", "ppid", "timestamp", child.alias("child")).filter(F.col("child") != "")
-    names = ev.groupBy("host", F.col("pid").alias("ppid")).agg(
+    place = ["source", "scenario", "host"]
+    ev = events.select(*place, "pid", "ppid", "timestamp", child.alias("child")).filter(F.col("child") != "")
+    names = ev.groupBy(*place, F.col("pid").alias("ppid")).agg(
         F.min(F.struct("timestamp", "child"))["child"].alias("parent"), F.count(F.lit(1)).alias("_n"))
-    need = ev.groupBy("host", "ppid", "child").agg(F.count(F.lit(1)).alias("pairs"))
-    joined = join_groups(need, names, ["host", "ppid"], "_n", ["child"]).withColumn("parent", F.coalesce("parent", F.lit(ROOT)))
+    need = ev.groupBy(*place, "ppid", "child").agg(F.count(F.lit(1)).alias("pairs"))
+    joined = join_groups(need, names, [*place, "ppid"], "_n", ["child"]).withColumn("parent", F.coalesce("parent", F.lit(ROOT)))
     return joined.groupBy("parent", "child").agg(F.sum("pairs").alias("pairs"))
 
 

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,30 +112,25 @@ def label_correlation(melted: DataFrame, label: str = "label") -> DataFrame:
     """Point-biserial r of each feature with the label; missing values take the feature's median."""
     med = wide_quantiles(value_counts(melted, ["feature"], "value"), ["feature"], "value", {"_median": 50})
     filled = melted.join(F.broadcast(med), "feature").withColumn("value", F.coalesce("value", "_median"))
-    return filled.groupBy("feature").agg(F.corr("value", label).alias("label_corr_r"))
+    return filled.groupBy("feature").agg(pearson("value", label).alias("label_corr_r"))
 
 
-def correlation_pairs(df: DataFrame, features: list[str], strong: float = 0.7) -> DataFrame:
-    """Pearson r of every feature pair (a before b): one distributed Gram matrix over complete rows."""
-    vec = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(df.select(*features)).select("_v")
-    m = Correlation.corr(vec, "_v").first()[0].toArray()
-    rows = []
-    for i, a in enumerate(features):
-        for j in range(i + 1, len(features)):
-            r = float(m[i, j])
-            rows.append((a, features[j], None if math.isnan(r) else r))
-    pairs = df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
-    return pairs.withColumn("strong", flag(F.abs("r") > strong))
+def pearson(x: str, y: str) -> Column:
+    """Pearson r of rows in which both are present; NULL where a side is constant."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
 
 
-def correlation_pairs_nullable(df: DataFrame, features: list[str], strong: float = 0.7) -> DataFrame:
-    """The same with pairwise deletion of missing values: one aggregate per first feature."""
-    outs = []
-    for i, a in enumerate(features[:-1]):
-        rest = features[i + 1:]
-        row = df.agg(*[F.corr(a, b).alias(b) for b in rest])
-        outs.append(row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(b).alias("r")) for b in rest]))))
-    pairs = reduce(DataFrame.unionByName, outs)
+def correlation_pairs(df: DataFrame, features: list[str], strong: float = 0.7) -> DataFrame:
+    """Pearson r of every feature pair (a before b), rows with a missing side left out pair by pair; one pass."""
+    each = [
+        F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.col(features[i]).cast("double").alias("x"), F.col(features[j]).cast("double").alias("y"))
+        for i in range(len(features)) for j in range(i + 1, len(features))
+    ]
+    both = df.select(F.inline(F.array(*each))).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    names = F.array(*map(F.lit, features))
+    pairs = both.groupBy("a", "b").agg(pearson("x", "y").alias("r"))
+    pairs = pairs.select(F.get(names, F.col("a")).alias("feature_a"), F.get(names, F.col("b")).alias("feature_b"), "r")
     return pairs.withColumn("strong", flag(F.abs("r") > strong))
 
 

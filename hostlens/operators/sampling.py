@@ -1,18 +1,23 @@
 """Exact seeded draws. Every draw orders rows by md5(seed|key), so it does not depend on the data layout.
 
 Taking the q lowest hashes of a stratum never sorts the stratum: a histogram over hash prefixes tells which
-prefix holds the q-th row, everything below it is taken as is, and only that one prefix is ranked.
+prefix holds the q-th row, everything below it is taken as is, and only that one prefix is ranked. Where it still
+holds too many rows, it is split by a longer prefix first. Rows of a NULL stratum are a stratum like any other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlens.functions.columns import hash_hex, hex_prefix
-from hostlens.operators.joins import as_small, join_groups
+from hostlens.operators.joins import KEY, as_small, join_groups, together
+from hostlens.session import cut_lineage
 
-PREFIX_DIGITS = 4  # 65,536 histogram cells per stratum
+PREFIX_DIGITS = 4  # 65,536 histogram cells per stratum and step
+RANK_ROWS = 1_000_000  # rows of a cell that one task ranks
 
 
 def stratum_sizes(df: DataFrame, strata: list[str]) -> DataFrame:
@@ -28,40 +33,55 @@ def mark_lowest(
     quotas: DataFrame | None = None,
     digits: int = PREFIX_DIGITS,
     out: str = "taken",
+    rank_rows: int = RANK_ROWS,
 ) -> DataFrame:
     """Flag exactly min(quota, size) rows of each stratum, the ones with the lowest md5(seed|key).
 
     `quota` is one number (or a column over the stratum columns) for all; `quotas` is a table
     (strata, quota). `key` must identify a row.
     """
-    cols = df.columns
-    part = list(strata)
-    hexed = hash_hex(seed, *key)
-    work = df.withColumn("_hex", hexed).withColumn("_cell", hex_prefix(F.col("_hex"), digits))
-    if not part:
-        work, part = work.withColumn("_all", F.lit(0)), ["_all"]
-    cells = work.groupBy(*part, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*part).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("_upto", F.sum("_n").over(upto))
+    work = df.withColumn(KEY, F.struct(*strata) if strata else F.struct(F.lit(0).alias("all"))).withColumn("_hex", hash_hex(seed, *key))
     if quotas is not None:
-        quotas_small = as_small(quotas)
-        cells = cells.join(quotas if quotas_small is None else F.broadcast(quotas_small), part)
+        small = as_small(quotas)
+        limits = (quotas if small is None else small).select(together(strata), "quota")
+        limits = limits if small is None else F.broadcast(limits)
+        limit = lambda cells: cells.join(limits, KEY)
     else:
-        cells = cells.withColumn("quota", quota if isinstance(quota, Column) else F.lit(quota))
+        fields = [F.col(f"{KEY}.{c}").alias(c) for c in strata]
+        limit = lambda cells: cells.select("*", *fields).withColumn("quota", quota if isinstance(quota, Column) else F.lit(quota))
+    return _settle(work, limit, df.columns, key, 0, digits, out, rank_rows)
+
+
+def _settle(work: DataFrame, limit: Callable[[DataFrame], DataFrame], cols: list[str], key: list[str], start: int, digits: int, out: str,
+            rank_rows: int) -> DataFrame:
+    """Decide all rows by the `digits` hex digits from `start` on; the cell in which a quota ends is ranked, or split again."""
+    work = work.withColumn("_cell", hex_prefix(F.substring("_hex", start + 1, digits), digits))
+    cells = work.groupBy(KEY, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(KEY).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = limit(cells.withColumn("_upto", F.sum("_n").over(upto)))
     # one row per stratum: the first cell that overruns the quota, and what is still free when it starts
-    overrun = F.when(F.col("_upto") > F.col("quota"), F.struct("_cell", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_free")))
-    edge = cells.groupBy(*part).agg(F.min(overrun).alias("_edge"), F.sum("_n").alias("_size"))
-    edge_small = as_small(edge)
-    if edge_small is not None:
-        work = work.join(F.broadcast(edge_small), part)
+    overrun = F.struct("_cell", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_free"), F.col("_n").alias("_rows"))
+    edge = cells.groupBy(KEY).agg(F.min(F.when(F.col("_upto") > F.col("quota"), overrun)).alias("_edge"), F.sum("_n").alias("_size"))
+    small = as_small(edge)
+    if small is not None:
+        placed = work.join(F.broadcast(small), KEY)
+        crowded = max([r["_edge"]["_rows"] for r in small.collect() if r["_edge"]], default=0)
     else:
-        work = join_groups(work, edge, part, "_size", ["_hex"], "inner")
+        edge = cut_lineage(edge)
+        placed = join_groups(work, edge, [KEY], "_size", ["_hex"], "inner")
+        crowded = edge.agg(F.max("_edge._rows")).first()[0] or 0
     below = F.col("_edge").isNull() | (F.col("_cell") < F.col("_edge._cell"))
-    on_edge = F.col("_cell") == F.col("_edge._cell")
-    settled = work.filter(~F.coalesce(on_edge, F.lit(False))).select(*cols, below.cast("int").alias(out))
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy("_hex", *key))
-    ranked = work.filter(on_edge).withColumn("_rank", rank)
-    return settled.unionByName(ranked.select(*cols, (F.col("_rank") <= F.col("_edge._free")).cast("int").alias(out)))
+    on_edge = F.coalesce(F.col("_cell") == F.col("_edge._cell"), F.lit(False))
+    settled = placed.filter(~on_edge).select(*cols, below.cast("int").alias(out))
+    open_ = placed.filter(on_edge)
+    if crowded > rank_rows and start + 2 * digits <= 32:
+        free = (edge if small is None else small).filter("_edge is not null").select(KEY, F.col("_edge._free").alias("quota"))
+        free = free if small is None else F.broadcast(free)
+        rest = _settle(open_.select(*cols, KEY, "_hex"), lambda c: c.join(free, KEY), cols, key, start + digits, digits, out, rank_rows)
+    else:
+        rank = F.row_number().over(Window.partitionBy(KEY).orderBy("_hex", *key))
+        rest = open_.withColumn("_rank", rank).select(*cols, (F.col("_rank") <= F.col("_edge._free")).cast("int").alias(out))
+    return settled.unionByName(rest)
 
 
 def take_lowest(df: DataFrame, strata: list[str], key: list[str], seed: int, quota: int | Column | None = None, quotas: DataFrame | None = None,
@@ -79,17 +99,16 @@ def split_lowest(df: DataFrame, strata: list[str], key: list[str], seed: int, sh
 def proportional_quotas(sizes: DataFrame, stratum: str, target: int) -> DataFrame:
     """Share of `target` per stratum: rint(target * share), the last stratum by name takes the rest.
 
-    `sizes` is (stratum, n), one row per stratum name.
+    `sizes` is (stratum, n), one row per stratum name; NULL is the last name.
     """
-    named = sizes.withColumn("_all", F.lit(0))
-    everything = Window.partitionBy("_all")
-    share = F.rint(F.lit(float(target)) * F.col("n") / F.sum("n").over(everything)).cast("bigint")
-    is_last = F.col(stratum) == F.max(stratum).over(everything)
-    sized = named.withColumn("_share", share).withColumn("_last", is_last)
-    given = F.sum(F.when(F.col("_last"), F.lit(0)).otherwise(F.least("_share", "n"))).over(everything)
+    last = F.max(F.struct(F.col(stratum).isNull().alias("no"), F.col(stratum).alias("name")))
+    whole = sizes.agg(F.struct(F.sum("n").alias("total"), last["name"].alias("last")).alias("w")).scalar()
+    share = F.rint(F.lit(float(target)) * F.col("n") / whole["total"]).cast("bigint")
+    sized = sizes.select(stratum, "n", whole["total"].alias("total"), F.col(stratum).eqNullSafe(whole["last"]).alias("_last"), F.least(share, "n").alias("_share"))
+    given = sized.agg(F.coalesce(F.sum(F.when(~F.col("_last"), F.col("_share"))), F.lit(0)).alias("g")).scalar()
     rest = F.greatest(F.lit(target) - given, F.lit(0))
-    want = F.when(F.sum("n").over(everything) <= target, F.col("n")).when(F.col("_last"), rest).otherwise(F.col("_share"))
-    return sized.withColumn("quota", F.least(want, F.col("n")).cast("bigint")).select(stratum, "n", "quota")
+    want = F.when(F.col("total") <= target, F.col("n")).when(F.col("_last"), F.least(rest, "n")).otherwise(F.col("_share"))
+    return sized.select(stratum, "n", want.cast("bigint").alias("quota"))
 
 
 def cap_per_stratum(df: DataFrame, strata: list[str], key: list[str], cap: int, seed: int) -> DataFrame:

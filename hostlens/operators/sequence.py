@@ -9,7 +9,7 @@ from hostlens import schemas as S
 from hostlens.functions.columns import flag
 from hostlens.operators.clean import call_flags, uid_class
 from hostlens.operators.cumulative import prefix_sums
-from hostlens.operators.joins import join_lookup
+from hostlens.operators.joins import KEY, join_lookup, together
 from hostlens.operators.process import PROCESS_KEY
 
 PAD, UNK, FIRST_ID = 0, 1, 2
@@ -66,6 +66,7 @@ def encode_sequences(events: DataFrame, vocabulary: DataFrame, max_len: int = S.
     arrays = kept.groupBy(*PROCESS_KEY).agg(F.collect_list(F.struct((-F.col("_pos")).alias("p"), token.alias("t"))).alias("_toks"))
     toks = F.transform(F.array_sort("_toks"), lambda s: s["t"])
     pad = F.array_repeat(F.array(*[F.lit(0)] * S.TOKEN_WIDTH), F.lit(max_len) - F.size("_toks"))
-    return meta.join(arrays, PROCESS_KEY).select(
+    packed = arrays.select(together(PROCESS_KEY), "_toks")
+    return meta.withColumn(KEY, F.struct(*PROCESS_KEY)).join(packed, KEY).select(
         *PROCESS_KEY, "label", F.coalesce("_attack", "_first").alias("technique"), "n_events", F.concat(pad, toks).alias("tokens")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hostlens.functions.columns import fixed_text, hash_fraction, hash_hex, hex_prefix
 from hostlens.operators.cumulative import prefix_sums
 from hostlens.operators.joins import join_groups
+from hostlens.session import cut_lineage
 
 
 def vector_key(df: DataFrame, columns: list[str], out: str = "vector") -> DataFrame:
@@ -27,18 +28,18 @@ def hash_folds(df: DataFrame, key: str, k: int, seed: int, repeats: int = 1) ->
     return with_repeats(df, repeats).withColumn("fold", (hex_prefix(hexed, 8) % k).cast("int"))
 
 
-def balanced_folds(df: DataFrame, key: str, label: str, k: int, seed: int, row_key: list[str], cell_groups: int = 50_000) -> DataFrame:
+def balanced_folds(df: DataFrame, key: str, label: str, k: int, seed: int, row_key: list[str]) -> DataFrame:
     """Folds with about equal rows per class: groups are dealt out by falling size, back and forth.
 
-    The deal runs per (dominant label, hash cell), with as many cells as keep a cell at `cell_groups` groups.
+    All groups of a dominant label form one deal. Its order is (size, hash); the place of a group is the number of
+    groups of larger size, plus those of its size with a smaller hash prefix, plus its rank in its own prefix.
     """
     groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_n1"))
-    cells = max(1, -(-groups.count() // cell_groups))
-    hexed = hash_hex(seed, key)
-    dealt = groups.withColumns({
-        "_major": (F.col("_n1") * 2 > F.col("_n")).cast("int"), "_cell": hex_prefix(hexed, 8) % cells, "_hex": hexed,
-    })
-    turn = F.row_number().over(Window.partitionBy("_major", "_cell").orderBy(F.col("_n").desc(), "_hex")) - 1
+    groups = cut_lineage(groups.withColumns({"_major": (F.col("_n1") * 2 > F.col("_n")).cast("int"), "_hex": hash_hex(seed, key)}))
+    groups = groups.withColumn("_at", F.lit(-1) * F.col("_n") * F.lit(1 << 20) + hex_prefix(F.col("_hex"), 5))
+    axis = prefix_sums(groups.groupBy("_major", "_at").agg(F.count(F.lit(1)).alias("_g")), ["_major"], "_at", ["_g"])
+    dealt = groups.join(axis.select("_major", "_at", "_g_below"), ["_major", "_at"])
+    turn = F.col("_g_below") + F.row_number().over(Window.partitionBy("_major", "_at").orderBy("_hex", key)) - 1
     lap = turn % (2 * k)
     fold = F.when(lap < k, lap).otherwise(2 * k - 1 - lap)
     folds = dealt.withColumn("fold", fold.cast("int")).select(key, "_n", "fold")

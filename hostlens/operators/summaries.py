@@ -14,9 +14,9 @@ from hostlens.operators.triage import to_label
 def curve_summary(curves: DataFrame, reference_cap: float = S.MAX_FPR, by: tuple[str, ...] = ("dataset", "model")) -> DataFrame:
     """Best cap per curve, the score at the reference cap, and whether the reference holds.
 
-    `curves` has max_fpr_cap, f1_mean, actual_fpr_mean, auroc_mean. Ties go to the smaller cap.
+    `curves` has max_fpr_cap, f1_mean, actual_fpr_mean, auroc_mean. Ties (to 9 digits) go to the smaller cap.
     """
-    best = F.max(F.struct("f1_mean", (-F.col("max_fpr_cap")).alias("neg_cap"), "actual_fpr_mean", "auroc_mean"))
+    best = F.max(F.struct(F.round("f1_mean", 9).alias("key"), (-F.col("max_fpr_cap")).alias("neg_cap"), "f1_mean", "actual_fpr_mean", "auroc_mean"))
     near = F.min(F.struct(F.abs(F.col("max_fpr_cap") - reference_cap).alias("d"), "max_fpr_cap", "f1_mean"))
     out = curves.groupBy(*by).agg(best.alias("b"), near.alias("r"))
     gap = F.col("b.f1_mean") - F.col("r.f1_mean")
@@ -72,8 +72,8 @@ def with_domain_rank(df: DataFrame) -> DataFrame:
 
 
 def rank_gaps(importance: DataFrame, limit: int = 5) -> DataFrame:
-    """Model rank against analyst rank; one row per feature, so one small window."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("importance").desc(), "feature")
+    """Model rank against analyst rank; one row per feature, so one small window. Importances are ranked to 9 digits."""
+    order = Window.partitionBy(F.lit(0)).orderBy(F.round("importance", 9).desc(), "feature")
     out = with_domain_rank(importance).withColumn("model_rank", F.row_number().over(order))
     out = out.withColumn("rank_diff", F.abs(F.col("model_rank") - F.col("domain_rank")))
     return out.withColumn("discrepant", flag(F.col("rank_diff") > limit))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostlens import schemas as S
+from hostlens.functions.columns import hash_fraction
 from hostlens.operators import clean, cumulative, process, sequence
 from hostlens.plans import views as V
 from hostlens.plans.catalogue import query
@@ -179,12 +180,12 @@ def pair_rarity(spark, sf_dir):
     return pairs.withColumn("rarity", F.round(1.0 - F.col("pairs") / F.greatest(total, F.lit(1)), 6))
 
 
-_PARENTS = """named AS (SELECT host, pid, ppid, "timestamp", child FROM clean WHERE child <> ''),
-  owners AS (SELECT host, pid, first(child ORDER BY "timestamp", child) AS parent FROM named GROUP BY host, pid)"""
+_PARENTS = """named AS (SELECT source, scenario, host, pid, ppid, "timestamp", child FROM clean WHERE child <> ''),
+  owners AS (SELECT source, scenario, host, pid, first(child ORDER BY "timestamp", child) AS parent FROM named GROUP BY source, scenario, host, pid)"""
 
 
 @query("pair_rarity_true_parent", V.sql(V.CLEAN + ", " + _PARENTS, """SELECT coalesce(o.parent, '__root__') AS parent, n.child, count(*) AS pairs
-  FROM named n LEFT JOIN owners o ON o.host = n.host AND o.pid = n.ppid GROUP BY ALL"""))
+  FROM named n LEFT JOIN owners o ON o.source = n.source AND o.scenario = n.scenario AND o.host = n.host AND o.pid = n.ppid GROUP BY ALL"""))
 def pair_rarity_true_parent(spark, sf_dir):
     """Corrected mode; in this feed parent ids name pids of the same user's first day."""
     return process.true_pair_counts(V.labeled_events(spark, sf_dir))
@@ -202,10 +203,15 @@ def syscall_vocab(spark, sf_dir):
     return sequence.build_vocabulary(V.labeled_events(spark, sf_dir))
 
 
-@query("sequence_tokens", V.sql(VOCAB, """, ranked AS (
+_HALF = """, half_vocab AS (
+  SELECT syscall_name, row_number() OVER (ORDER BY count(*) DESC, syscall_name) + 1 AS id FROM clean WHERE """ + V.hash_fraction_sql(5, "pid::VARCHAR", "syscall_name") + """ < 0.5 GROUP BY syscall_name
+)"""
+
+
+@query("sequence_tokens", V.sql(V.CLEAN + _HALF, """, ranked AS (
   SELECT c.*, v.id, row_number() OVER (PARTITION BY source, scenario, host, pid ORDER BY "timestamp" DESC, seq_id DESC, line_no DESC) AS pos,
     count(*) OVER (PARTITION BY source, scenario, host, pid) AS n_events
-  FROM clean c LEFT JOIN (SELECT * FROM vocab WHERE n > 450) v USING (syscall_name)
+  FROM clean c LEFT JOIN half_vocab v USING (syscall_name)
 ), toks AS (
   SELECT *, concat_ws(',', coalesce(id, 1), CASE WHEN uid = 0 THEN 0 WHEN uid < 1000 THEN 1 ELSE 2 END, failed,
     CAST(syscall_name = 'setuid' AS INT), CAST(syscall_name = 'execve' AS INT), CAST(syscall_name = 'openat' AS INT),
@@ -214,9 +220,9 @@ def syscall_vocab(spark, sf_dir):
 SELECT source, scenario, host, pid, max(n_events) AS n_events, repeat('0,0,0,0,0,0,0;', (50 - least(max(n_events), 50))::INT)
   || string_agg(tok, ';' ORDER BY pos DESC) FILTER (pos <= 50) AS tokens FROM toks GROUP BY source, scenario, host, pid"""))
 def sequence_tokens(spark, sf_dir):
-    """Token arrays as text; names seen fewer than 451 times play the unknown ones."""
+    """Token arrays as text; the vocabulary comes from half of the (process, call) pairs, names outside it are unknown."""
     events = V.labeled_events(spark, sf_dir)
-    vocabulary = sequence.build_vocabulary(events).filter(F.col("n") > 450)
+    vocabulary = sequence.build_vocabulary(events.filter(hash_fraction(5, "pid", "syscall_name") < 0.5))
     seqs = sequence.encode_sequences(events, vocabulary)
     text = F.array_join(F.transform("tokens", lambda t: F.array_join(F.transform(t, lambda x: x.cast("string")), ",")), ";")
     return seqs.select(*process.PROCESS_KEY, "n_events", text.alias("tokens"))

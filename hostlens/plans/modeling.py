@@ -177,9 +177,9 @@ def augmented_misses(spark, sf_dir):
         tests, cutoffs, _ = evaluate.cross_validate(rows, FEATS, RF, 1, 2, augment=extra, folds_ready=True)
         votes[name] = evaluate.decide(tests, cutoffs).select("row_id", "fold", "label", F.col("pred").alias(name))
     both = votes["baseline"].join(votes["augmented"].select("row_id", "augmented"), "row_id")
-    named = both.join(rows.select("row_id", "proc_name", "fold_0"), "row_id")
-    lost = errors.newly_missed(named.filter("fold = 0"), "baseline", "augmented", "label").select("row_id", "proc_name")
-    return errors.explain_misses(lost, rows.filter("fold_0 <> 0"), ["row_id"])
+    named = both.join(rows.select("row_id", "proc_name"), "row_id")
+    lost = errors.newly_missed(named, "baseline", "augmented", "label").select("row_id", "fold", "proc_name")
+    return errors.explain_misses(lost, rows.withColumnRenamed("fold_0", "fold"), ["row_id"])
 
 
 @query("missingness_cv")

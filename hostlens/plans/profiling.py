@@ -25,13 +25,21 @@ def melted(spark, sf_dir):
 
 
 def wide_melted(spark, sf_dir):
-    """Two datasets in one: the shipments before and from 1998, some quantities missing."""
-    wide = V.wide_table(spark, sf_dir).withColumn("quantity", F.when(F.col("quantity") <= 48, F.col("quantity")))
-    return melt(wide, ["row_id", "label", "year"], V.WIDE_FEATURES)
+    """Two datasets in one: the shipments before and from 1998."""
+    return melt(V.wide_table(spark, sf_dir), ["row_id", "label", "year"], V.WIDE_FEATURES)
 
 
-WIDE_MELTED = V.WIDE + ", gappy AS (SELECT * REPLACE (CASE WHEN quantity <= 48 THEN quantity END AS quantity) FROM wide), melted AS (" + \
-    V.melted_sql("gappy", 'row_id, label, "year"', V.WIDE_FEATURES) + ")"
+GAPPY_FEATURES = [*V.WIDE_FEATURES, "seen_quantity"]
+
+
+def gappy_table(spark, sf_dir):
+    """The wide table with one more feature that is missing in some rows."""
+    return V.wide_table(spark, sf_dir).withColumn("seen_quantity", F.when(F.col("quantity") <= 48, F.col("quantity")))
+
+
+WIDE_MELTED = V.WIDE + ", melted AS (" + V.melted_sql("wide", 'row_id, label, "year"', V.WIDE_FEATURES) + ")"
+GAPPY = V.WIDE + ", gappy AS (SELECT *, CASE WHEN quantity <= 48 THEN quantity END AS seen_quantity FROM wide)"
+GAPPY_MELTED = GAPPY + ", melted AS (" + V.melted_sql("gappy", 'row_id, label, "year"', GAPPY_FEATURES) + ")"
 EARLY = '"year" < 1998'
 
 
@@ -101,34 +109,33 @@ def mann_whitney_wide(spark, sf_dir):
     return _mann_whitney(wide_melted(spark, sf_dir))
 
 
-@query("label_correlation", V.sql(WIDE_MELTED, """, med AS (SELECT feature, quantile_cont(value, 0.5) AS m FROM melted GROUP BY feature)
+@query("label_correlation", V.sql(GAPPY_MELTED, """, med AS (SELECT feature, quantile_cont(value, 0.5) AS m FROM melted GROUP BY feature)
 SELECT feature, round(corr(coalesce(value, m), label), 6) AS label_corr_r FROM melted JOIN med USING (feature) GROUP BY feature"""))
 def label_correlation(spark, sf_dir):
-    return rounded(profile.label_correlation(wide_melted(spark, sf_dir)), "label_corr_r")
+    return rounded(profile.label_correlation(melt(gappy_table(spark, sf_dir), ["row_id", "label", "year"], GAPPY_FEATURES)), "label_corr_r")
 
 
-CORR_FEATURES = ["lifetime_seconds", "events_per_second", "seq_length", "unique_syscalls", "max_uid_euid_delta", "failed_call_rate", "priv_op_count", "exec_count"]
+CORR_FEATURES = V.PROFILE_FEATURES
 
 
 def _pairs_sql(source, names):
-    return " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS r FROM {source}"
+    return " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, nullif(corr({a}, {b}), 'nan'::DOUBLE) AS r FROM {source}"
                               for i, a in enumerate(names) for b in names[i + 1:])
 
 
-@query("corr_pairs", V.sql(V.FEATURES, ", p AS (" + _pairs_sql("features", CORR_FEATURES) + ") SELECT feature_a, feature_b, round(r, 6) AS r, CAST(abs(r) > 0.7 AS INT) AS strong FROM p"))
+@query("corr_pairs", V.sql(V.FEATURES, ", p AS (" + _pairs_sql("features", CORR_FEATURES) + ") SELECT feature_a, feature_b, round(r, 6) AS r, CAST(coalesce(abs(r) > 0.7, false) AS INT) AS strong FROM p"))
 def corr_pairs(spark, sf_dir):
     return rounded(profile.correlation_pairs(features(spark, sf_dir), CORR_FEATURES), "r")
 
 
-@query("corr_pairs_nullable", V.sql(WIDE_MELTED, ", p AS (" + _pairs_sql("gappy", V.WIDE_FEATURES) + ") SELECT feature_a, feature_b, round(r, 6) AS r, CAST(abs(r) > 0.7 AS INT) AS strong FROM p"))
+@query("corr_pairs_nullable", V.sql(GAPPY, ", p AS (" + _pairs_sql("gappy", GAPPY_FEATURES) + ") SELECT feature_a, feature_b, round(r, 6) AS r, CAST(coalesce(abs(r) > 0.7, false) AS INT) AS strong FROM p"))
 def corr_pairs_nullable(spark, sf_dir):
-    wide = V.wide_table(spark, sf_dir).withColumn("quantity", F.when(F.col("quantity") <= 48, F.col("quantity")))
-    return rounded(profile.correlation_pairs_nullable(wide, V.WIDE_FEATURES), "r")
+    return rounded(profile.correlation_pairs(gappy_table(spark, sf_dir), GAPPY_FEATURES), "r")
 
 
 @query("top_correlate", V.sql(V.FEATURES, ", p AS (" + _pairs_sql("features", CORR_FEATURES) + """), both_ways AS (
   SELECT feature_a AS feature, feature_b AS partner, r FROM p UNION ALL SELECT feature_b, feature_a, r FROM p)
-SELECT feature, partner, round(r, 6) AS r FROM both_ways QUALIFY row_number() OVER (PARTITION BY feature ORDER BY abs(r) DESC, partner) = 1"""))
+SELECT feature, partner, round(r, 6) AS r FROM both_ways WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY feature ORDER BY abs(r) DESC, partner) = 1"""))
 def top_correlate(spark, sf_dir):
     return rounded(profile.top_correlates(profile.correlation_pairs(features(spark, sf_dir), CORR_FEATURES)), "r")
 
@@ -200,10 +207,11 @@ def remedy_vote(spark, sf_dir):
 ), clipped AS (SELECT feature, label, least(greatest(value, 0), top) AS value FROM melted JOIN top USING (feature) WHERE value IS NOT NULL
 ), edges AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM clipped GROUP BY feature
 ), binned AS (SELECT feature, label, CAST(least(floor((value - lo) / ((hi - lo) / 40)), 39) AS INT) AS bin, (hi - lo) / 40 AS width FROM clipped JOIN edges USING (feature))
-SELECT feature, label, bin, count(*) AS n, round(max(width), 6) AS width,
-  round(count(*) / sum(count(*)) OVER (PARTITION BY feature, label)::DOUBLE / max(width), 6) AS density FROM binned GROUP BY feature, label, bin"""))
+SELECT feature, label, bin, count(*) AS n, round(max(width), 9) AS width,
+  round(count(*) / sum(count(*)) OVER (PARTITION BY feature, label)::DOUBLE / max(width), 12) AS density FROM binned GROUP BY feature, label, bin"""))
 def histogram(spark, sf_dir):
-    return rounded(profile.histogram(wide_melted(spark, sf_dir), "label"), "width", "density")
+    out = profile.histogram(wide_melted(spark, sf_dir), "label")
+    return out.withColumns({"width": F.round("width", 9), "density": F.round("density", 12)})
 
 
 @query("binary_rates", V.sql(V.FEATURES, " UNION ALL ".join(f"SELECT label, '{f}' AS feature, round(avg({f}), 6) AS rate FROM features GROUP BY label" for f in S.BINARY_FEATURES)))

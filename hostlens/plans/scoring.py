@@ -183,25 +183,26 @@ def model_disagreement(spark, sf_dir):
     return out.withColumns({c: F.round(c, 5) for c in ("a_wrong_b_right_mean", "a_right_b_wrong_mean")})
 
 
-_MISSES = """, train AS (SELECT * FROM oof WHERE fold <> 0), misses AS (SELECT row_id, proc_name FROM oof WHERE fold = 0 AND true_label = 1 AND pred_xgb = 1 AND pred_cnn = 0),
-  support AS (SELECT proc_name, count(*) AS train_support, avg(true_label) AS rate FROM train GROUP BY proc_name)"""
+_MISSES = """, misses AS (SELECT row_id, fold, proc_name FROM oof WHERE true_label = 1 AND pred_xgb = 1 AND pred_cnn = 0),
+  support AS (SELECT t.fold, proc_name, count(*) AS train_support, avg(true_label) AS rate FROM oof JOIN (SELECT DISTINCT fold FROM oof) t ON t.fold <> oof.fold GROUP BY t.fold, proc_name)"""
 
 
-@query("new_misses", V.sql(V.OOF, _MISSES + " SELECT row_id, proc_name, coalesce(train_support, 0) AS train_support, round(rate, 6) AS train_attack_rate FROM misses LEFT JOIN support USING (proc_name)"))
+@query("new_misses", V.sql(V.OOF, _MISSES + " SELECT row_id, fold, proc_name, coalesce(train_support, 0) AS train_support, round(rate, 6) AS train_attack_rate FROM misses LEFT JOIN support USING (fold, proc_name)"))
 def new_misses(spark, sf_dir):
     rows = oof(spark, sf_dir)
-    misses = errors.newly_missed(rows.filter("fold = 0"), "pred_xgb", "pred_cnn").select("row_id", "proc_name")
-    out = errors.explain_misses(misses, rows.filter("fold <> 0"), ["row_id"], label="true_label")
+    misses = errors.newly_missed(rows, "pred_xgb", "pred_cnn").select("row_id", "fold", "proc_name")
+    out = errors.explain_misses(misses, rows, ["row_id"], label="true_label")
     return rounded(out, "train_attack_rate")
 
 
-@query("mixed_group_names", V.sql(V.OOF, _MISSES + """, test AS (SELECT *, quantity::INT AS grp FROM oof WHERE fold = 0),
-mixed AS (SELECT grp, count(*) AS group_size FROM test GROUP BY grp HAVING count(DISTINCT true_label) > 1)
-SELECT t.grp, t.proc_name, count(*) AS n_rows, any_value(m.group_size) AS group_size, coalesce(any_value(s.train_support), 0) AS train_support
-FROM test t JOIN mixed m ON t.grp = m.grp LEFT JOIN support s ON s.proc_name = t.proc_name GROUP BY t.grp, t.proc_name"""))
+@query("mixed_group_names", V.sql(V.OOF, _MISSES + """, grouped AS (SELECT *, quantity::INT AS grp FROM oof),
+mixed AS (SELECT grp, count(*) AS group_size FROM grouped GROUP BY grp HAVING count(DISTINCT true_label) > 1 AND count(*) >= 100),
+tested AS (SELECT DISTINCT grp, fold FROM grouped), named AS (SELECT grp, proc_name, count(*) AS n_rows FROM grouped GROUP BY grp, proc_name)
+SELECT n.grp, n.proc_name, n.n_rows, m.group_size, t.fold, coalesce(s.train_support, 0) AS train_support, CAST(coalesce(s.train_support, 0) >= 30 AS INT) AS above_min_support
+FROM named n JOIN mixed m USING (grp) JOIN tested t USING (grp) LEFT JOIN support s ON s.proc_name = n.proc_name AND s.fold = t.fold"""))
 def mixed_group_names(spark, sf_dir):
     rows = oof(spark, sf_dir).withColumn("grp", F.col("quantity").cast("int"))
-    return errors.mixed_group_names(rows.filter("fold = 0"), rows.filter("fold <> 0"), "grp", label="true_label")
+    return errors.mixed_group_names(rows, "grp", label="true_label")
 
 
 # --- cascades -------------------------------------------------------------------------------------------
@@ -346,8 +347,7 @@ SELECT dataset, model, b.max_fpr_cap AS best_cap, round(b.f1_mean, 6) AS best_f1
   CASE WHEN b.auroc_mean < 0.6 THEN 'not discriminative' WHEN b.f1_mean - r.f1_mean < 0.01 THEN 'reference holds' ELSE 'reference suboptimal' END AS verdict
 FROM best b JOIN near r USING (dataset, model)"""))
 def curve_summary(spark, sf_dir):
-    rounded_curves = curves(spark, sf_dir).withColumn("f1_mean", F.round("f1_mean", 9))
-    out = summaries.curve_summary(rounded_curves)
+    out = summaries.curve_summary(curves(spark, sf_dir))
     return rounded(out, "best_f1_mean", "best_actual_fpr_mean", "f1_at_reference", "gap_vs_best_f1", "auroc_mean")
 
 
@@ -371,7 +371,7 @@ def stability(spark, sf_dir):
     return rounded(out, "insample_f1_mean", "insample_f1_std", "crossdataset_f1_mean", "crossdataset_f1_std", "f1_drop")
 
 
-_IMP = V.MELTED + """, imp AS (SELECT feature, abs(coalesce(corr(value, label), 0)) AS importance FROM melted GROUP BY feature
+_IMP = V.MELTED + """, imp AS (SELECT feature, abs(coalesce(nullif(corr(value, label), 'nan'::DOUBLE), 0)) AS importance FROM melted GROUP BY feature
 ), dom(feature, domain_rank) AS (VALUES """ + ", ".join(f"('{f}', {i})" for i, f in enumerate(S.DOMAIN_ORDER, 1)) + """)
 , ranked AS (SELECT feature, importance, row_number() OVER (ORDER BY round(importance, 9) DESC, feature) AS model_rank FROM imp)"""
 
@@ -381,7 +381,7 @@ def importance_by_correlation(spark, sf_dir):
     from hostlens.operators.profile import label_correlation
     from hostlens.plans.profiling import melted
 
-    return label_correlation(melted(spark, sf_dir)).select("feature", F.round(F.abs(F.coalesce(F.nanvl("label_corr_r", F.lit(0.0)), F.lit(0.0))), 9).alias("importance"))
+    return label_correlation(melted(spark, sf_dir)).select("feature", F.abs(F.coalesce(F.nanvl("label_corr_r", F.lit(0.0)), F.lit(0.0))).alias("importance"))
 
 
 @query("rank_gap", V.sql(_IMP, """SELECT feature, round(importance, 6) AS importance, coalesce(domain_rank, 99) AS domain_rank, model_rank, abs(model_rank - coalesce(domain_rank, 99)) AS rank_diff,

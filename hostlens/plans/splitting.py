@@ -245,13 +245,13 @@ def masked_arms(spark, sf_dir):
 
 @query("relative_z", V.sql(V.WIDE, f""", fit AS (SELECT * FROM wide WHERE {V.hash_fraction_sql(0, 'row_id')} < 0.5
 ), overall AS (SELECT avg(quantity) AS gm, stddev_samp(quantity) AS gs FROM fit
-), named AS (SELECT proc_name, avg(quantity) AS m, stddev_samp(quantity) AS s FROM fit GROUP BY proc_name HAVING count(*) >= 745)
+), named AS (SELECT proc_name, avg(quantity) AS m, stddev_samp(quantity) AS s FROM fit GROUP BY proc_name HAVING count(*) >= 30)
 SELECT row_id, round((quantity - coalesce(m, gm)) / coalesce(nullif(s, 0), gs), 6) AS quantity_relz
 FROM wide LEFT JOIN named USING (proc_name), overall"""))
 def relative_z(spark, sf_dir):
     wide = V.wide_table(spark, sf_dir)
     fit = splits.group_split(wide, "row_id", 0.5, 0).filter("in_fit = 1")
-    out = clean.relative_z(fit, wide, ["quantity"], row_key=ROW, min_support=745)
+    out = clean.relative_z(fit, wide, ["quantity"], row_key=ROW, min_support=30)
     return rounded(out, "quantity_relz").select("row_id", "quantity_relz")
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostlens import schemas as S
 from hostlens.functions.columns import hash_fraction
 from hostlens.operators.clean import clean_events
 from hostlens.operators.process import process_features
@@ -67,8 +68,8 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 23 != 0, call).alias("syscall_name"),
         tag.alias("key_tag"),
         F.when(k % 29 != 0, (F.col("event_type") == "error").cast("int")).alias("failed"),
-        F.lit("feed").alias("source"),
-        F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("scenario"),
+        F.when(F.col("user_id") % 11 != 5, F.lit("feed")).alias("source"),
+        F.when(F.col("user_id") % 13 != 4, F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string"))).alias("scenario"),
         F.when(F.col("user_id") % 50 != 7, F.concat(F.lit("h"), (F.col("user_id") % 5).cast("string"))).alias("host"),
         F.when(attack, 1).otherwise(0).alias("label"),
         F.when(attack, tag).otherwise(F.lit("benign")).alias("technique"),
@@ -93,7 +94,7 @@ RAW = f"""ev AS (
       WHEN 'view' THEN 'openat' ELSE 'read' END END AS syscall_name,
     CASE WHEN k < 3 THEN 'T1548' WHEN k < 6 THEN 'T1078' WHEN k = 50 THEN 'auditlog' END AS key_tag,
     CASE WHEN k % 29 <> 0 THEN CAST(event_type = 'error' AS INT) END AS failed,
-    'feed' AS source, 's' || (user_id % 7) AS scenario,
+    CASE WHEN user_id % 11 <> 5 THEN 'feed' END AS source, CASE WHEN user_id % 13 <> 4 THEN 's' || (user_id % 7) END AS scenario,
     CASE WHEN user_id % 50 <> 7 THEN 'h' || (user_id % 5) END AS host,
     CASE WHEN k < 6 THEN 1 ELSE 0 END AS label,
     CASE WHEN k < 3 THEN 'T1548' WHEN k < 6 THEN 'T1078' ELSE 'benign' END AS technique,
@@ -110,7 +111,8 @@ CLEAN = RAW + """, clean AS (
   SELECT record_type, "timestamp", seq_id, pid, coalesce(ppid, 0) AS ppid, coalesce(uid, 0) AS uid, coalesce(euid, uid, 0) AS euid,
     coalesce(gid, uid, 0) AS gid, coalesce(auid, 4294967295) AS auid,
     coalesce(comm, CASE WHEN exe IS NULL THEN 'unknown' ELSE split_part(exe, '/', -1) END) AS comm, coalesce(exe, 'unknown') AS exe,
-    coalesce(syscall_name, record_type, 'unknown') AS syscall_name, coalesce(failed, 0) AS failed, source, scenario,
+    coalesce(syscall_name, record_type, 'unknown') AS syscall_name, coalesce(failed, 0) AS failed, coalesce(source, 'unknown') AS source,
+    coalesce(scenario, 'unknown') AS scenario,
     coalesce(host, 'unknown_host') AS host, label, technique, line_no, us, user_id, k, event_type, value,
     CASE WHEN exe IS NULL THEN '' ELSE lower(split_part(exe, '/', -1)) END AS child
   FROM raw_events
@@ -158,11 +160,7 @@ FEATURES = CLEAN + """, pairs AS (
   FROM grouped g LEFT JOIN pairs p ON p.child = g.proc_name AND p.parent = CASE WHEN g.ppid = 0 THEN '__root__' ELSE g.proc_name END
 )"""
 
-# a spread of feature shapes for the per-feature reports: rates, counts, deltas and flags
-PROFILE_FEATURES = [
-    "lifetime_seconds", "events_per_second", "seq_length", "unique_syscalls", "uid_is_root", "max_uid_euid_delta", "is_suid_exec",
-    "failed_call_rate", "priv_op_count", "exec_count", "file_access_count", "network_count", "shell_from_service", "parent_child_rarity",
-]
+PROFILE_FEATURES = S.FEATURES
 
 
 def melted_sql(source: str, ids: str, features: list[str]) -> str:

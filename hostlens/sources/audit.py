@@ -11,8 +11,13 @@ from hostlens.operators.joins import join_groups
 
 ID_FIELDS = ["pid", "ppid", "uid", "euid", "auid", "gid"]
 TEXT_FIELDS = ["comm", "exe", "name", "acct", "res"]
-ID_PAIR = r"\b(" + "|".join(ID_FIELDS) + r")=(\d+)"
 STAMP = r"msg=audit\((\d+\.?\d*|\.\d+):(\d{1,18})\)"
+MARK = "="
+# a field of a line: name=value; quoted values may be empty, ids are digits, the key may lack its quotes
+TOKEN = "|".join([
+    r"^type=\S+", r"msg=audit\((?:\d+\.?\d*|\.\d+):\d{1,18}", r"\b(?:" + "|".join(ID_FIELDS) + r")=\d+",
+    r"\b(?:" + "|".join(TEXT_FIELDS) + r')="[^"]*"', r"SYSCALL=\w+", r'key="?[^"\s]+',
+])
 # one cheap test decides whether a line is a record at all: a wanted type, then a message stamp
 RECORD_LINE = r"^\s*type=(?!(?:" + "|".join(S.SKIP_RECORD_TYPES) + r")(?:\s|$))\S.*" + STAMP
 
@@ -72,34 +77,34 @@ def parse_lines(lines: DataFrame, syscall_only: bool = False) -> DataFrame:
     `syscall_only` they count as not failed instead.
     """
     kept = lines.filter(F.col("value").rlike(RECORD_LINE))
-    # the line and the id pairs are materialised by their own projections, so each pattern runs once per line
     line = F.trim(F.replace("value", F.lit("\ufffd"), F.lit("")), F.lit(" \t\r\n\f\x0b"))
     carried = [c for c in lines.columns if c != "value"]
+    # one pass cuts the line into its fields; every field is then a lookup of its first occurrence
     rec = kept.select(*carried, line.alias("_line")).select(
-        "*",
-        F.regexp_extract_all("_line", F.lit(ID_PAIR), F.lit(1)).alias("_names"),
-        F.regexp_extract_all("_line", F.lit(ID_PAIR), F.lit(2)).alias("_ids"),
-        F.regexp_extract("_line", r"^type=(\S+)", 1).alias("record_type"),
+        *carried,
+        F.regexp_extract_all("_line", F.lit(TOKEN), F.lit(0)).alias("_tokens"),
         (F.col("_line").contains("success=yes") | F.col("_line").contains("res=success")).alias("success"),
-    )
+    ).select("*", F.transform("_tokens", lambda t: F.substring_index(t, MARK, 1)).alias("_names"))
 
-    def first(pattern: str, mark: str) -> Column:
-        # most lines lack most fields, and a byte search for the name is far cheaper than the pattern
-        return F.when(F.col("_line").contains(mark), F.get(F.regexp_extract_all("_line", F.lit(pattern), F.lit(1)), F.lit(0)))
+    def first(name: str) -> Column:
+        token = F.get("_tokens", F.array_position("_names", F.lit(name)).cast("int") - 1)
+        return F.substring(token, len(name) + 2, F.length(token))
 
-    def id_of(name: str) -> Column:
-        return F.get("_ids", F.array_position("_names", F.lit(name)).cast("int") - 1).try_cast("bigint")
+    def unquoted(name: str) -> Column:
+        return blank_to_null(F.trim(first(name), F.lit('"')))
 
-    failed = ~F.col("success") & (F.col("record_type") == "SYSCALL") if syscall_only else ~F.col("success")
+    stamp = F.substring_index(first("msg"), "(", -1)
+    kind = first("type")
+    failed = ~F.col("success") & (kind == "SYSCALL") if syscall_only else ~F.col("success")
     return rec.select(
         *carried,
-        "record_type",
-        F.regexp_extract("_line", STAMP, 1).cast("double").alias("timestamp"),
-        F.regexp_extract("_line", STAMP, 2).cast("bigint").alias("seq_id"),
-        *[id_of(f).alias(f) for f in ID_FIELDS],
-        *[first(rf'\b{f}="([^"]+)"', f'{f}="').alias(f) for f in TEXT_FIELDS],
-        F.coalesce(first(r"SYSCALL=(\w+)", "SYSCALL="), F.col("record_type")).alias("syscall_name"),
-        first(r'key="?([^"\s]+)"?', "key=").alias("key_tag"),
+        kind.alias("record_type"),
+        F.substring_index(stamp, ":", 1).cast("double").alias("timestamp"),
+        F.substring_index(stamp, ":", -1).cast("bigint").alias("seq_id"),
+        *[first(f).try_cast("bigint").alias(f) for f in ID_FIELDS],
+        *[unquoted(f).alias(f) for f in TEXT_FIELDS],
+        F.coalesce(first("SYSCALL"), kind).alias("syscall_name"),
+        unquoted("key").alias("key_tag"),
         "success",
         flag(failed).alias("failed"),
     )
