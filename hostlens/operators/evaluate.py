@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from hostlens import schemas as S
 from hostlens.operators import cascade, clean, metrics, summaries
-from hostlens.operators.joins import join_lookup
+from hostlens.operators.joins import KEY, join_lookup, together
 from hostlens.operators.models import Detector, Fitted
-from hostlens.operators.splits import group_split, hash_folds, row_budget_split
+from hostlens.operators.splits import group_split, row_budget_split, stratified_folds
 from hostlens.session import cut_lineage
 
 INNER_SEED = 0
@@ -39,11 +39,18 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 def assign_folds(df: DataFrame, k: int, seed: int, repeats: int) -> DataFrame:
     """Prepared rows with a `fold_<r>` column per repeat, written once; repeats never copy rows."""
-    out = df
-    for r in range(repeats):
-        one = hash_folds(out, "vector", k, seed + r)
-        out = one.withColumnRenamed("fold", f"fold_{r}").drop("repeat")
-    return cut_lineage(out)
+    return cut_lineage(stratified_folds(df, "vector", "label", k, seed, repeats, ["row_id"]))
+
+
+def fold_facts(ready: DataFrame, repeats: int, k: int) -> DataFrame:
+    """(repeat, fold, n, n_pos, degenerate): one row per fold; degenerate where its training part has one class only."""
+    each = F.array(*[F.struct(F.lit(r).alias("repeat"), F.col(f"fold_{r}").alias("fold")) for r in range(repeats)])
+    part = ready.select("label", F.inline(each)).groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("bigint")).alias("n_pos"))
+    grid = ready.sparkSession.createDataFrame([(r, f) for r in range(repeats) for f in range(k)], "repeat int, fold int")
+    full = grid.join(part, ["repeat", "fold"], "left").fillna(0, ["n", "n_pos"])
+    whole = full.groupBy("repeat").agg(F.sum("n").alias("_n"), F.sum("n_pos").alias("_p"))  # one row per repeat
+    rest, pos = F.col("_n") - F.col("n"), F.col("_p") - F.col("n_pos")
+    return full.join(whole, "repeat").select("repeat", "fold", "n", "n_pos", ((pos == 0) | (pos == rest)).cast("int").alias("degenerate"))
 
 
 def _kept(df: DataFrame) -> list[str]:
@@ -68,6 +75,7 @@ def cross_validate(df: DataFrame, features: list[str], detector: Detector, repea
                    augment: tuple[Augment, list[str]] | None = None, folds_ready: bool = False, workers: int = 4) -> tuple[DataFrame, DataFrame, list]:
     """(test scores, cutoff scores, fitted models) over all (repeat, fold).
 
+    Folds whose training part has one class only, or that test nothing, are left out; `fold_facts` flags them.
     `df` comes from `models.prepare`. `augment` is (function(train, apply) -> table, new columns); it is
     fitted on the training part of each fold.
     """
@@ -84,7 +92,10 @@ def cross_validate(df: DataFrame, features: list[str], detector: Detector, repea
         tag = {"repeat": F.lit(r), "fold": F.lit(f)}
         return fitted.score(test).select(*_kept(test), "proba").withColumns(tag), cutoff.withColumns(tag), fitted
 
-    done = parallel([lambda r=r, f=f: one(r, f) for r in range(repeats) for f in range(k)], workers)
+    usable = [(x["repeat"], x["fold"]) for x in fold_facts(ready, repeats, k).filter("degenerate = 0 and n > 0").sort("repeat", "fold").collect()]
+    if not usable:
+        raise ValueError("every training fold has one class only")
+    done = parallel([lambda r=r, f=f: one(r, f) for r, f in usable], workers)
     tests, cutoffs, fitted = zip(*done)
     return cut_lineage(union(list(tests))), cut_lineage(union(list(cutoffs))), list(fitted)
 
@@ -93,21 +104,26 @@ def decide(tests: DataFrame, cutoffs: DataFrame, caps: list[float | None] = (S.M
     """Test rows with `max_fpr`, `threshold` and `pred`, one copy per cap."""
     by = ["repeat", "fold"]
     found = metrics.best_thresholds(cutoffs, by, "label", "proba", list(caps)).select(*by, "max_fpr", "threshold")
-    return join_lookup(tests, found, by).withColumns({
+    return join_lookup(tests, found, by, how="left").withColumns({
         "threshold": F.coalesce("threshold", F.lit(metrics.DEFAULT_CUT)),
     }).withColumn("pred", (F.col("proba") >= F.col("threshold")).cast("int"))
 
 
 def scores(decided: DataFrame, by: list[str]) -> DataFrame:
     counts = metrics.score(decided, by, "label", "pred").drop("tn", "fp", "fn", "tp", "accuracy", "fnr")
-    return counts.join(metrics.auroc(decided, by, "label", "proba"), by)
+    areas = metrics.auroc(decided, by, "label", "proba").select(together(by), "auroc")
+    return counts.withColumn(KEY, F.struct(*by)).join(areas, KEY).drop(KEY)
 
 
 def repeated_cv(df: DataFrame, features: list[str], detector: Detector, repeats: int = 15, k: int = 5, seed: int = S.CV_SEED,
                 max_fpr: float | None = S.MAX_FPR, pooled: bool = True, augment: tuple[Augment, list[str]] | None = None) -> DataFrame:
     """One row of scores per repeat (all test folds pooled), or per (repeat, fold)."""
-    tests, cutoffs, _ = cross_validate(df, features, detector, repeats, k, seed, augment)
-    return scores(decide(tests, cutoffs, [max_fpr]), ["repeat"] if pooled else ["repeat", "fold"]).withColumn("model", F.lit(detector.kind))
+    ready = assign_folds(df, k, seed, repeats)
+    tests, cutoffs, _ = cross_validate(ready, features, detector, repeats, k, seed, augment, folds_ready=True)
+    out = scores(decide(tests, cutoffs, [max_fpr]), ["repeat"] if pooled else ["repeat", "fold"]).withColumn("model", F.lit(detector.kind))
+    if pooled:
+        return out
+    return fold_facts(ready, repeats, k).select("repeat", "fold", "degenerate").join(out, ["repeat", "fold"], "left")
 
 
 def fixed_cut_cv(df: DataFrame, features: list[str], detector: Detector, repeats: int, k: int, cut: float = 0.5, seed: int = S.CV_SEED) -> DataFrame:
@@ -218,7 +234,8 @@ def stage_scores(df: DataFrame, features: list[str], first: Detector, second: di
         keep = [*_kept(test), "proba_1", *[f"proba_{n}" for n in second]]
         return sure.select(*keep).unionByName(unsure.select(*keep)).withColumns(tag), stage1.score(train).select("label", "proba").withColumns(tag)
 
-    tests, trains = zip(*parallel([lambda r=r, f=f: one(r, f) for r in range(repeats) for f in range(k)]))
+    usable = [(x["repeat"], x["fold"]) for x in fold_facts(ready, repeats, k).filter("degenerate = 0 and n > 0").sort("repeat", "fold").collect()]
+    tests, trains = zip(*parallel([lambda r=r, f=f: one(r, f) for r, f in usable]))
     by = ["repeat", "fold"]
     cuts = metrics.best_thresholds(cut_lineage(union(list(trains))), by, "label", "proba", [S.MAX_FPR]).select(*by, "threshold")
     return cut_lineage(join_lookup(cut_lineage(union(list(tests))), cuts, by))

@@ -6,15 +6,19 @@ the model is at most 2 * trees * sample nodes.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.functions.columns import hash_hex, hex_prefix
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks carry these helpers along, workers need no package
+
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, size long, depth int"
 EULER = 0.5772156649015329
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.functions.columns import div, flag
-from hostlens.operators.cumulative import prefix_sums
+from hostlens.operators.cumulative import PART, prefix_sums
 
 DEFAULT_CUT = 0.5
 
@@ -73,12 +73,9 @@ def auroc(df: DataFrame, by: list[str], label: str, proba: str) -> DataFrame:
 
 def operating_points(axis: DataFrame, by: list[str]) -> DataFrame:
     """`axis` is (by, score, pos, neg). One row per score t with the counts and rates of the rule score >= t."""
-    axis = prefix_sums(axis, by, "score", ["pos", "neg"])
-    key = list(by)
-    if not key:
-        axis, key = axis.withColumn("_all", F.lit(0)), ["_all"]
-    totals = axis.groupBy(*key).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    pts = axis.join(F.broadcast(totals), key).withColumns({
+    axis = prefix_sums(axis, by, "score", ["pos", "neg"]).withColumn(PART, F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
+    totals = axis.groupBy(PART).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    pts = axis.join(totals, PART).withColumns({
         "tp": F.col("n_pos") - F.col("pos_below"), "fp": F.col("n_neg") - F.col("neg_below"),
     })
     r = rates(F.col("tp"), F.col("fp"), F.col("n_pos") - F.col("tp"), F.col("n_neg") - F.col("fp"))

@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens import schemas as S
@@ -74,7 +74,7 @@ class Fitted:
             lo, hi = self.bounds
             raw = self.model.score(df, "_raw")
             return raw.withColumn("proba", (F.col("_raw") - F.lit(lo)) / F.lit(hi - lo + 1e-12)).drop("_raw")
-        out = self.model.transform(df).withColumn("proba", vector_to_array("probability")[1])
+        out = self.model.transform(df).withColumn("proba", F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)))
         return out.drop("rawPrediction", "probability", "prediction", VECTOR, "_raw_features")
 
     def importances(self) -> list[tuple[str, float]]:
@@ -84,11 +84,17 @@ class Fitted:
     def save(self, path: str) -> None:
         if self.kind == "iforest":
             self.model.save(path)
+            bounds = self.model.nodes.sparkSession.createDataFrame([self.bounds], "low double, high double")
+            bounds.write.mode("overwrite").parquet(f"{path}/bounds")
         else:
             self.model.write().overwrite().save(path)
 
 
-def load_classifier(path: str, kind: str, features: list[str]) -> Fitted:
+def load_detector(spark: SparkSession, path: str, kind: str, features: list[str]) -> Fitted:
+    """A model of any family, as `Fitted.save` wrote it."""
+    if kind == "iforest":
+        low, high = spark.read.parquet(f"{path}/bounds").first()
+        return Fitted(kind, iforest.IsolationForestModel.load(spark, path), features, (low, high))
     return Fitted(kind, PipelineModel.load(path), features)
 
 

@@ -28,24 +28,40 @@ def hash_folds(df: DataFrame, key: str, k: int, seed: int, repeats: int = 1) ->
     return with_repeats(df, repeats).withColumn("fold", (hex_prefix(hexed, 8) % k).cast("int"))
 
 
-def balanced_folds(df: DataFrame, key: str, label: str, k: int, seed: int, row_key: list[str]) -> DataFrame:
-    """Folds with about equal rows per class: groups are dealt out by falling size, back and forth.
+def deal_groups(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """(key, _n, major, turn): the place of each group in the deal of its dominant label, by falling size, then hash.
 
-    All groups of a dominant label form one deal. Its order is (size, hash); the place of a group is the number of
-    groups of larger size, plus those of its size with a smaller hash prefix, plus its rank in its own prefix.
+    The place is the number of larger groups, plus those of the same size with a smaller hash prefix, plus the rank
+    among those that share the prefix.
     """
-    groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_n1"))
-    groups = cut_lineage(groups.withColumns({"_major": (F.col("_n1") * 2 > F.col("_n")).cast("int"), "_hex": hash_hex(seed, key)}))
+    groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_n1"))
+    groups = cut_lineage(groups.withColumns({"major": (F.col("_n1") * 2 > F.col("_n")).cast("int"), "_hex": hash_hex(seed, key)}))
     groups = groups.withColumn("_at", F.lit(-1) * F.col("_n") * F.lit(1 << 20) + hex_prefix(F.col("_hex"), 5))
-    axis = prefix_sums(groups.groupBy("_major", "_at").agg(F.count(F.lit(1)).alias("_g")), ["_major"], "_at", ["_g"])
-    dealt = groups.join(axis.select("_major", "_at", "_g_below"), ["_major", "_at"])
-    turn = F.col("_g_below") + F.row_number().over(Window.partitionBy("_major", "_at").orderBy("_hex", key)) - 1
-    lap = turn % (2 * k)
+    axis = prefix_sums(groups.groupBy("major", "_at").agg(F.count(F.lit(1)).alias("_g")), ["major"], "_at", ["_g"])
+    dealt = groups.join(axis.select("major", "_at", "_g_below"), ["major", "_at"])
+    turn = F.col("_g_below") + F.row_number().over(Window.partitionBy("major", "_at").orderBy("_hex", key)) - 1
+    return dealt.select(key, "_n", "major", turn.cast("bigint").alias("turn"))
+
+
+def balanced_folds(df: DataFrame, key: str, label: str, k: int, seed: int, row_key: list[str]) -> DataFrame:
+    """Folds with about equal rows per class: groups are dealt out by falling size, back and forth."""
+    lap = F.col("turn") % (2 * k)
     fold = F.when(lap < k, lap).otherwise(2 * k - 1 - lap)
-    folds = dealt.withColumn("fold", fold.cast("int")).select(key, "_n", "fold")
+    folds = deal_groups(df, key, label, seed).select(key, "_n", fold.cast("int").alias("fold"))
     return join_groups(df, folds, [key], "_n", row_key).drop("_n")
 
 
+def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int, repeats: int, row_key: list[str]) -> DataFrame:
+    """`fold_<r>` per repeat: every k neighbours of the deal go to k different folds, in an order that each repeat rotates."""
+    dealt = join_groups(df, deal_groups(df, key, label, seed), [key], "_n", row_key).drop("_n")
+
+    def fold(r: int):
+        shift = hex_prefix(hash_hex(seed + r, "major", F.floor(F.col("turn") / k).cast("bigint")), 8)
+        return ((F.col("turn") + shift) % k).cast("int")
+
+    return dealt.withColumns({f"fold_{r}": fold(r) for r in range(repeats)}).drop("major", "turn")
+
+
 def group_split(df: DataFrame, key: str, share: float, seed: int, out: str = "in_fit") -> DataFrame:
     """Put about `share` of the groups on one side."""
     return df.withColumn(out, (hash_fraction(seed, key) < share).cast("int"))

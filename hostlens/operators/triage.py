@@ -90,10 +90,10 @@ def four_digits(v: Column) -> Column:
     size = F.abs(v)
     exp = F.floor(F.log10(size)).cast("int")
     unit = F.pow(F.lit(10.0), (exp - 3).cast("double"))
-    # dropping the whole part first is exact, so a value just off a tie is not mistaken for one
+    # dropping the whole part first is exact, so a value just off a tie is not mistaken for one; the last digit decides a tie
     steps = F.pow(F.lit(10.0), (3 - exp).cast("double"))
     split = F.signum(v) * (F.floor(size) + F.rint((size - F.floor(size)) * steps) / steps)
-    near = F.when(exp.between(0, 3), split).otherwise(F.rint(v / unit) * unit)
+    near = F.when(exp == 3, F.signum(v) * F.rint(size)).when(exp.between(0, 2), split).otherwise(F.rint(v / unit) * unit)
     shifted = F.abs(near) >= F.pow(F.lit(10.0), (exp + 1).cast("double"))
     exp = F.when(shifted, exp + 1).otherwise(exp)
 
@@ -108,6 +108,17 @@ def four_digits(v: Column) -> Column:
     return F.when(v == F.rint(v), whole).when((exp < -4) | (exp >= 4), scientific).otherwise(plain)
 
 
+def two_decimals(v: Column) -> Column:
+    """A number from 0 on as `%.2f` prints it: rounded by its exact binary value, real ties to the even digit."""
+    high = v * 134217729.0 - (v * 134217729.0 - v)  # v = high + rest, and each times 200 is exact
+    twice = v * 200.0
+    error = (high * 200.0 - twice) + (v - high) * 200.0
+    low = F.floor(v * 100.0)
+    over = (twice - (low * 2 + 1)) + error
+    cents = F.when(over > 0, low + 1).when(over < 0, low).otherwise(low + low % 2).cast("bigint")
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def _padded(c: Column, width: int) -> Column:
     return F.rpad(c, F.greatest(F.lit(width), F.length(c)), F.lit(" "))
 
@@ -128,8 +139,8 @@ def context_text(df: DataFrame, features: list[str], tables: DataFrame, notes: s
             F.lit(" "), _padded(rank_text(c["attack"]), 6), F.lit(" "), F.element_at(F.col("_gloss"), c["name"]))
 
     header = F.format_string(
-        "Model votes:  XGBoost -> %s (p_malicious=%.2f)   |   CNN -> %s (p_malicious=%.2f)",
-        vote("xgb"), F.col("proba_xgb"), vote("cnn"), F.col("proba_cnn"))
+        "Model votes:  XGBoost -> %s (p_malicious=%s)   |   CNN -> %s (p_malicious=%s)",
+        vote("xgb"), two_decimals(F.col("proba_xgb")), vote("cnn"), two_decimals(F.col("proba_cnn")))
     title = F.concat(F.lit("Behavioural features, top "), F.size("_short").cast("string"),
                      F.lit(" most unusual vs benign (value | pctile vs benign pop | pctile vs attack pop | meaning)"))
     names = F.array_join(F.transform(F.slice("_short", 1, first), lambda c: c["name"]), ", ")

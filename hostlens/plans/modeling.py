@@ -20,8 +20,7 @@ RF = Detector("rf", {"numTrees": 12, "maxDepth": 6})
 GBT = Detector("gbt", {"maxIter": 6, "maxDepth": 4, "stepSize": 0.3})
 MLP = Detector("mlp", {"hidden": [16, 8], "maxIter": 15})
 FOREST = Detector("iforest", {"trees": 60, "sample": 128})
-FEATS = ["events_per_second", "seq_length", "unique_syscalls", "max_uid_euid_delta", "failed_call_rate", "exec_count", "file_access_count",
-         "sensitive_path_access", "parent_child_rarity", "is_suid_exec"]
+FEATS = S.FEATURES
 FOLDS = 3
 
 
@@ -189,17 +188,54 @@ def missingness_cv(spark, sf_dir):
     return metrics.summarize(runs, ["arm"], ["f1", "auroc", "fpr"])
 
 
-@query("model_roundtrip")
+def _facts_sql(repeats: int, k: int, seed: int) -> str:
+    """Per repeat and fold, what SQL can know about a run: rows, positives, and that each row is scored once."""
+    vector = "md5(concat_ws('|', " + ", ".join(_vector_part(f) for f in FEATS) + "))"
+    shift = "('0x' || substr(md5(concat_ws('|', ({seed} + r.repeat)::VARCHAR, major::VARCHAR, (turn // {k})::VARCHAR)), 1, 8))::BIGINT"
+    return V.sql(V.FEATURES, f""", vec AS (SELECT label, {vector} AS vector FROM features
+), groups AS (SELECT vector, count(*) AS n, sum(label) AS n1 FROM vec GROUP BY vector
+), turns AS (SELECT vector, CAST(n1 * 2 > n AS INT) AS major, row_number() OVER (PARTITION BY n1 * 2 > n ORDER BY n DESC, md5(concat_ws('|', '{seed}', vector))) - 1 AS turn FROM groups
+), folds AS (SELECT v.label, r.repeat, CAST((turn + {shift.format(seed=seed, k=k)}) % {k} AS INT) AS fold FROM vec v JOIN turns USING (vector), (SELECT unnest(range({repeats}))::INT AS repeat) r)
+SELECT repeat, fold, count(*) AS n, sum(label)::BIGINT AS n_pos, 0 AS degenerate, count(*) AS n_scored, count(*) AS n_rows, sum(label)::BIGINT AS n_scored_pos, 1 AS in_range
+FROM folds GROUP BY repeat, fold""")
+
+
+def _vector_part(f: str) -> str:
+    exact = f in ("lifetime_seconds", "events_per_second", "max_uid_euid_delta", "failed_call_rate", "parent_child_rarity")
+    return f"coalesce({f}::DECIMAL(38,4)::VARCHAR, 'NA')" if exact else f"coalesce({f}::VARCHAR, 'NA')"
+
+
+def _facts(spark, sf_dir, detector, repeats, k):
+    ready = evaluate.assign_folds(prepared(spark, sf_dir), k, S.CV_SEED, repeats)
+    tests, _, _ = evaluate.cross_validate(ready, FEATS, detector, repeats, k, folds_ready=True)
+    seen = tests.groupBy("repeat", "fold").agg(
+        F.count(F.lit(1)).alias("n_scored"), F.count_distinct("row_id").alias("n_rows"), F.sum(F.col("label").cast("bigint")).alias("n_scored_pos"),
+        F.min(F.col("proba").between(0, 1).cast("int")).alias("in_range"))
+    return evaluate.fold_facts(ready, repeats, k).join(seen, ["repeat", "fold"])
+
+
+@query("rf_cv_facts", _facts_sql(2, FOLDS, S.CV_SEED))
+def rf_cv_facts(spark, sf_dir):
+    """Every row of every fold is scored exactly once, by a model that saw both classes."""
+    return _facts(spark, sf_dir, RF, 2, FOLDS)
+
+
+@query("gbt_cv_facts", _facts_sql(1, FOLDS, S.CV_SEED))
+def gbt_cv_facts(spark, sf_dir):
+    return _facts(spark, sf_dir, GBT, 1, FOLDS)
+
+
+@query("model_roundtrip", V.sql(V.FEATURES, "SELECT model, count(*) AS n_rows, 0.0::DOUBLE AS max_difference FROM features, (VALUES ('rf'), ('gbt'), ('mlp'), ('iforest')) m(model) GROUP BY model"))
 def model_roundtrip(spark, sf_dir):
     """Models fitted on everything, saved, loaded and compared with the ones in memory."""
     rows = prepared(spark, sf_dir)
     folder = application_dir(spark)
     outs = []
-    for det in (RF, GBT):
+    for det in (RF, GBT, MLP, FOREST):
         fitted = det.fit(rows, FEATS)
         path = f"{folder}/model-{det.kind}-{abs(hash(sf_dir)) % 10**8}"
         fitted.save(path)
-        again = models.load_classifier(path, det.kind, FEATS).score(rows).select("row_id", F.col("proba").alias("again"))
+        again = models.load_detector(spark, path, det.kind, FEATS).score(rows).select("row_id", F.col("proba").alias("again"))
         both = fitted.score(rows).select("row_id", "proba").join(again, "row_id")
-        outs.append(both.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(F.col("proba") - F.col("again"))).alias("max_difference")).withColumn("model", F.lit(det.kind)))
+        outs.append(both.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.max(F.abs(F.col("proba") - F.col("again"))), 9).alias("max_difference")).withColumn("model", F.lit(det.kind)))
     return evaluate.union(outs)

@@ -90,7 +90,7 @@ def notable_deviations(spark, sf_dir):
 
 _GLOSS_CASE = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{g}'" for f, g in GLOSS.items()) + " END"
 _FEAT_CASE = "CASE feature " + " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(FEATS)) + " END"
-CONTEXT = CASES + ", melted AS (" + V.melted_sql("cases", "row_id", FEATS) + f"""), base AS ({V.melted_sql('wide', 'label', FEATS)}
+CONTEXT = CONTRA + ", melted AS (" + V.melted_sql("contra", "row_id", FEATS) + f"""), base AS ({V.melted_sql('wide', 'label', FEATS)}
 ), breaks AS (SELECT feature, label, quantile_cont(value, {_POINTS}) AS bp FROM base GROUP BY feature, label), {_ranks_sql('melted', 'row_id')}
 , ordered AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(rb - 50) DESC, {_FEAT_CASE}) AS r FROM texts
 ), body AS (SELECT row_id, string_agg('  ' || printf('%-22s', feature) || ' ' || printf('%-8s', CASE WHEN value = round_even(value, 0) THEN value::BIGINT::VARCHAR ELSE printf('%.4g', value) END)
@@ -99,13 +99,13 @@ CONTEXT = CASES + ", melted AS (" + V.melted_sql("cases", "row_id", FEATS) + f""
 
 @query("context_text", V.sql(CONTEXT, f"""SELECT row_id, '=== RECORD UNDER REVIEW ===' || chr(10)
   || printf('Model votes:  XGBoost -> %s (p_malicious=%.2f)   |   CNN -> %s (p_malicious=%.2f)', CASE pred_xgb WHEN 1 THEN 'MALICIOUS' ELSE 'BENIGN' END, proba_xgb,
-     CASE pred_cnn WHEN 1 THEN 'MALICIOUS' ELSE 'BENIGN' END, floor(proba_cnn * 100) / 100) || chr(10) || chr(10)
+     CASE pred_cnn WHEN 1 THEN 'MALICIOUS' ELSE 'BENIGN' END, proba_cnn) || chr(10) || chr(10)
   || 'Behavioural features, top 4 most unusual vs benign (value | pctile vs benign pop | pctile vs attack pop | meaning)' || chr(10) || lines || chr(10) || chr(10)
-  || 'Most-deviating features, in order (first = most extreme):' || chr(10) || '  ' || names || chr(10) || chr(10) || '{NOTES}' AS context FROM cases JOIN body USING (row_id)"""))
+  || 'Most-deviating features, in order (first = most extreme):' || chr(10) || '  ' || names || chr(10) || chr(10) || '{NOTES}' AS context FROM contra JOIN body USING (row_id)"""))
 def context_text(spark, sf_dir):
-    """Scores have two decimals here, so the printed probabilities do not depend on rounding modes."""
-    rows = oof(spark, sf_dir).withColumn("proba_cnn", F.floor(F.col("proba_cnn") * 100) / 100)
-    cases = triage.triage_cases(rows, MAX_CASES)
+    """Every contradicting row is described."""
+    rows = oof(spark, sf_dir)
+    cases = triage.contradictions(rows)
     tables = _tables(rows, FEATS, "true_label")
     return triage.context_text(cases, FEATS, tables, NOTES, GLOSS).select("row_id", "context")
 
