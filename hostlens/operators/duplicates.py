@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.columns import div
 from hostlens.operators.joins import join_groups
+from hostlens.session import cut_lineage
 
 
 def group_table(df: DataFrame, key: str, label: str = "label") -> DataFrame:
@@ -44,9 +45,9 @@ def mixed_metadata(df: DataFrame, key: str, columns: list[str], label: str = "la
 
     Values are made distinct before anything is collected, and only `sample` of them ever are.
     """
-    mixed = group_table(df, key, label).filter("mixed = 1").select(key, "n", "n_benign", "n_attack")
+    mixed = cut_lineage(group_table(df, key, label).filter("mixed = 1").select(key, "n", "n_benign", "n_attack"))
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    values = df.select(key, F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
+    values = df.join(mixed.select(key), key, "left_semi").select(key, F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
     sizes = values.groupBy(key, "column").agg(F.count(F.lit(1)).alias("n_distinct"))
     first = values.withColumn("_r", F.row_number().over(Window.partitionBy(key, "column").orderBy("value"))).filter(F.col("_r") <= sample)
     first = first.groupBy(key, "column").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("sample"))

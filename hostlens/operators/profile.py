@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from hostlens.functions.columns import div, flag
 from hostlens.operators.cumulative import prefix_sums, value_counts, wide_quantiles
 from hostlens.operators.joins import join_groups
+from hostlens.session import cut_lineage
 
 MIN_PER_SIDE = 5
 
@@ -234,17 +235,17 @@ def remedy_vote(remedies: DataFrame) -> DataFrame:
 
 def histogram(melted: DataFrame, by: str, bins: int = 40, clip_percent: int | None = 99) -> DataFrame:
     """Density per bin of each feature and side, values clipped to [0, p99] when `clip_percent` is set."""
-    melted = melted.filter(F.col("value").isNotNull())
+    values = cut_lineage(value_counts(melted, ["feature", by], "value"))  # everything below reads this one small table
     if clip_percent is not None:
-        top = wide_quantiles(value_counts(melted, ["feature"], "value"), ["feature"], "value", {"_top": clip_percent})
-        melted = melted.join(F.broadcast(top), "feature").withColumn("value", F.least(F.greatest("value", F.lit(0.0)), "_top")).drop("_top")
-    edges = melted.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    sides = melted.groupBy("feature", by).agg(F.count(F.lit(1)).alias("side_n"))
+        both = values.groupBy("feature", "value").agg(F.sum("n").alias("n"))
+        top = wide_quantiles(both, ["feature"], "value", {"_top": clip_percent})
+        values = values.join(top, "feature").withColumn("value", F.least(F.greatest("value", F.lit(0.0)), "_top")).drop("_top")
+    edges = values.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    sides = values.groupBy("feature", by).agg(F.sum("n").alias("side_n"))
     width = (F.col("hi") - F.col("lo")) / bins
     bin_no = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
-    counts = melted.join(F.broadcast(edges), "feature").groupBy("feature", by, bin_no.cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(width).alias("width"))
-    return counts.join(F.broadcast(sides), ["feature", by]).withColumn("density", div(F.col("n") / F.col("side_n"), F.col("width"))).drop("side_n")
+    counts = values.join(edges, "feature").groupBy("feature", by, bin_no.cast("int").alias("bin")).agg(F.sum("n").alias("n"), F.max(width).alias("width"))
+    return counts.join(sides, ["feature", by]).withColumn("density", div(F.col("n") / F.col("side_n"), F.col("width"))).drop("side_n")
 
 
 def binary_rates(df: DataFrame, features: list[str], by: str) -> DataFrame:

@@ -153,25 +153,27 @@ def context_text(df: DataFrame, features: list[str], tables: DataFrame, notes: s
 # --- replies --------------------------------------------------------------------------------------------
 
 
+# the document's keys are sorted in its shape; `confidence` is any number, `key_features` may be empty
+REPLY_KINDS = {"confidence": r"(?:BIGINT|DOUBLE|DECIMAL\([\d,]+\))", "rationale_steps": "ARRAY<STRING>", "key_features": "ARRAY<(?:STRING|VOID)>"}
+REPLY_SHAPE = "^OBJECT<" + ", ".join(f"{k}: {REPLY_KINDS.get(k, 'STRING')}" for k in sorted(S.REPLY_KEYS)) + ">$"
+
+
 def parse_replies(replies: DataFrame, features: list[str], out: str = "reply") -> DataFrame:
     """Adds the reply struct where the outermost {...} of `raw` is a valid reply, else NULL.
 
-    Text, document and struct are separate projections, so each reply is parsed once, not once per rule.
+    Each reply is parsed once; the shape of the whole document tells its keys and their types together.
     """
-    staged = replies.withColumn("_js", F.regexp_extract("raw", r"(?s)\{.*\}", 0)).withColumns({
-        "_doc": F.try_parse_json("_js"), "_rep": F.from_json("_js", S.REPLY_JSON), "_keys": F.json_object_keys("_js"),
-    }).withColumns({
-        f"_kind_{f}": F.schema_of_variant(F.try_variant_get("_doc", f"$.{f}", "variant")) for f in ("confidence", "rationale_steps", "key_features")
+    staged = replies.withColumn("_doc", F.try_parse_json(F.regexp_extract("raw", r"(?s)\{.*\}", 0))).withColumns({
+        "_shape": F.schema_of_variant("_doc"), "_rep": F.try_variant_get("_doc", "$", f"struct<{S.REPLY_JSON}>"),
     })
     r = F.col("_rep")
     known = F.array(*[F.lit(f) for f in features])
     valid = (
-        F.col("_doc").isNotNull()
-        & (F.array_sort("_keys") == F.array(*[F.lit(k) for k in sorted(S.REPLY_KEYS)]))
+        F.col("_shape").rlike(REPLY_SHAPE)
         & r["verdict"].isin("MALICIOUS", "BENIGN")
-        & F.col("_kind_confidence").rlike("^(BIGINT|DOUBLE|DECIMAL.*)$") & r["confidence"].between(0.0, 1.0)
-        & (F.col("_kind_rationale_steps") == "ARRAY<STRING>") & F.size(r["rationale_steps"]).between(3, 6)
-        & F.col("_kind_key_features").isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.size(r["key_features"]) <= 5)
+        & r["confidence"].between(0.0, 1.0)
+        & F.size(r["rationale_steps"]).between(3, 6)
+        & (F.size(r["key_features"]) <= 5)
         & F.forall(r["key_features"], lambda k: F.array_contains(known, k))
         & r["agrees_with"].isin("xgb", "cnn", "neither")
     )

@@ -135,6 +135,19 @@ def labeled_records(spark, sf_dir):
     return audit.label_records(rec, procs).select("file", "line_no", "pid", "label", "technique")
 
 
+@query("extract_sample", V.sql(PROCS, f""", long AS (SELECT * FROM procs WHERE n_events >= 4
+), capped AS (SELECT * FROM long WHERE label = 0 QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY {V.hash_order_sql(42, 'file', 'pid::VARCHAR')}, file, pid) <= 60
+  UNION ALL SELECT * FROM long WHERE label = 1 QUALIFY row_number() OVER (PARTITION BY technique ORDER BY {V.hash_order_sql(42, 'file', 'pid::VARCHAR')}, file, pid) <= 100
+), drawn AS (SELECT * FROM capped WHERE label = 1 UNION ALL SELECT * FROM capped WHERE label = 0
+  QUALIFY row_number() OVER (ORDER BY {V.hash_order_sql(42, 'file', 'pid::VARCHAR')}, file, pid) <= (SELECT floor(count(*) * 1.5) FROM capped WHERE label = 1))
+SELECT s.file, s.line_no, s.pid, s.record_type, s.syscall_name, p.label, p.technique FROM stamped2 s JOIN drawn p ON s.file = p.file AND s.pid = p.pid"""))
+def extract_sample(spark, sf_dir):
+    """The extraction job as one plan: parse, stamp, label, minimum length, caps, ratio, then the records of the drawn processes."""
+    rec = cut_lineage(stamped(spark, sf_dir))
+    drawn = audit.draw_processes(audit.label_processes(rec, ["scenario"]), 4, 60, 100, 1.5, 42)
+    return audit.label_records(rec, drawn).select("file", "line_no", "pid", "record_type", "syscall_name", "label", "technique")
+
+
 @query("process_lengths", V.sql(PROCS, """SELECT label, count(*) AS n, median(n_events)::DOUBLE AS median_events,
   round(avg(n_events), 6) AS mean_events, max(n_events) AS max_events, round(avg(CAST(n_events = 2 AS INT)), 6) AS single_share,
   count(*) FILTER (n_events >= 4) AS n_viable FROM procs GROUP BY label"""))

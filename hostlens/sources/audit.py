@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from hostlens import schemas as S
 from hostlens.functions.columns import blank_to_null, flag
 from hostlens.operators.joins import join_groups
+from hostlens.operators.sampling import cap_per_stratum, ratio_sample
+from hostlens.session import cut_lineage
 
 ID_FIELDS = ["pid", "ppid", "uid", "euid", "auid", "gid"]
 TEXT_FIELDS = ["comm", "exe", "name", "acct", "res"]
@@ -142,6 +144,16 @@ def label_processes(stamped: DataFrame, keep: list[str] | None = None) -> DataFr
     )
 
 
+def draw_processes(processes: DataFrame, min_events: int, benign_cap: int, attack_cap: int, ratio: float | None, seed: int) -> DataFrame:
+    """The processes of an extract: long enough, capped per scenario (benign) or technique (attack), then thinned to `ratio` benign per attack."""
+    key = ["file", "pid"]
+    long = processes.filter(F.col("n_events") >= min_events)
+    benign = cap_per_stratum(long.filter("label = 0"), ["scenario"], key, benign_cap, seed)
+    attack = cap_per_stratum(long.filter("label = 1"), ["technique"], key, attack_cap, seed)
+    drawn = cut_lineage(benign.unionByName(attack))
+    return drawn if ratio is None else ratio_sample(drawn, key, ratio, seed)
+
+
 def label_records(stamped: DataFrame, processes: DataFrame) -> DataFrame:
     """Records of the given processes with the label and technique of their process."""
     picked = processes.select("file", "pid", "n_events", "label", "technique")
