@@ -2,8 +2,9 @@
 
 A text is lower-cased (A-Z only) and reduced to its words, joined by single blanks. A notice of which up to k bytes may
 be inserted, deleted or replaced is split into k + 1 pieces; by the pigeonhole principle one of them must stand in the
-text exactly. Substring search finds these seeds; around each, the regex library's bounded-error matching verifies the
-notice and reports its span and edits. Beside the fuzzy labels, a few exact phrases are counted at every place.
+text exactly. One automaton finds all these seeds in one pass. A region around a seed must also hold as many four-byte
+strings of the notice as k edits leave at least (each edit destroys four at most); the regex library's bounded-error
+matching then verifies the notice and reports its span and edits. Beside the fuzzy labels, a few exact phrases are counted at every place.
 
 Defined cases: null text counts as empty; a text without words has no labels, null spans and score 0; repeated rows
 and ties give equal rows; very long texts are one row each and are scanned in one pass; an empty table gives an empty
@@ -16,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -38,6 +40,7 @@ NOTICES = [
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
 ]
 ERROR_RATE = 0.1  # edits allowed per byte of a notice
+GRAM = 4
 
 WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 SCHEMA = pa.schema([
@@ -53,6 +56,7 @@ class Notice:
     text: bytes
     edits: int
     seeds: tuple[tuple[int, bytes], ...]  # offset in the notice, piece
+    grams: tuple[bytes, ...]
     pattern: regex.Pattern
 
     @classmethod
@@ -61,18 +65,13 @@ class Notice:
         k = int(len(raw) * error_rate)
         cuts = [len(raw) * i // (k + 1) for i in range(k + 2)]
         seeds = tuple((a, raw[a:b]) for a, b in zip(cuts, cuts[1:]))
-        return cls(label, raw, k, seeds, regex.compile(rb"(?b)(?:%s){e<=%d}" % (regex.escape(raw), k)))
+        grams = tuple(raw[i : i + GRAM] for i in range(len(raw) - GRAM + 1))
+        return cls(label, raw, k, seeds, grams, regex.compile(rb"(?b)(?:%s){e<=%d}" % (regex.escape(raw), k)))
 
-    def find(self, words: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, edits) of the best match in each region around the seeds; regions that touch are one."""
+    def find(self, words: bytes, spots: Iterable[int]) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of the matches near the places where a seed says that the notice begins."""
         regions: list[list[int]] = []
-        spots = set()
-        for offset, piece in self.seeds:
-            at = words.find(piece)
-            while at >= 0:
-                spots.add(at - offset)
-                at = words.find(piece, at + 1)
-        for at in sorted(spots):
+        for at in sorted(set(spots)):
             a, b = max(0, at - self.edits), min(len(words), at + len(self.text) + self.edits)
             if regions and a <= regions[-1][1]:
                 regions[-1][1] = max(b, regions[-1][1])
@@ -80,14 +79,43 @@ class Notice:
                 regions.append([a, b])
         found = []
         for a, b in regions:
+            region = words[a:b]
+            if sum(map(region.__contains__, self.grams)) < len(self.grams) - GRAM * self.edits:
+                continue
             for m in self.pattern.finditer(words, a, b):
                 found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
         return found
 
 
+class Scanner:
+    """All notices, and one automaton of their seeds (on bytes written as Latin-1 characters)."""
+
+    def __init__(self, notices: Iterable[tuple[str, str]], error_rate: float):
+        self.notices = [Notice.of(t, label, error_rate) for t, label in notices]
+        places: dict[bytes, list[tuple[int, int]]] = {}
+        for i, notice in enumerate(self.notices):
+            for offset, piece in notice.seeds:
+                places.setdefault(piece, []).append((i, offset + len(piece) - 1))
+        self.seeds = ahocorasick.Automaton()
+        for piece, where in places.items():
+            self.seeds.add_word(piece.decode("latin-1"), where)
+        if places:
+            self.seeds.make_automaton()
+
+    def find(self, words: bytes) -> Iterator[tuple[Notice, int, int, int]]:
+        spots: dict[int, list[int]] = {}
+        if len(self.seeds):
+            for end, where in self.seeds.iter(words.decode("latin-1")):
+                for i, back in where:
+                    spots.setdefault(i, []).append(end - back)
+        for i in sorted(spots):
+            for a, b, edits in self.notices[i].find(words, spots[i]):
+                yield self.notices[i], a, b, edits
+
+
 @lru_cache(4)
-def notices_of(notices: tuple[tuple[str, str], ...], error_rate: float) -> list[Notice]:
-    return [Notice.of(t, label, error_rate) for t, label in notices]
+def scanner(notices: tuple[tuple[str, str], ...], error_rate: float) -> Scanner:
+    return Scanner(notices, error_rate)
 
 
 def normalise(text: bytes) -> bytes:
@@ -109,19 +137,18 @@ def base_places(words: bytes, phrases: list[tuple[str, str]] = PHRASES) -> list[
     return out
 
 
-def scan_text(text: bytes, notices: list[Notice]) -> tuple:
+def scan_text(text: bytes, ready: Scanner) -> tuple:
     words = normalise(text)
     n_words = words.count(b" ") + 1 if words else 0
     word_at = lambda at: words.count(b" ", 0, at)
     base = base_places(words)
     starts = [word_at(at) for at, _ in base]
     spans, score = [], 1.0 if base else 0.0
-    for notice in notices:
-        for a, b, edits in notice.find(words):
-            piece = words[a:b]
-            lead = len(piece) - len(piece.lstrip())
-            spans.append({"label": notice.label, "first_word": word_at(a + lead), "n_words": piece.strip().count(b" ") + 1, "edits": edits})
-            score = max(score, 1 - edits / len(notice.text))
+    for notice, a, b, edits in ready.find(words):
+        piece = words[a:b]
+        lead = len(piece) - len(piece.lstrip())
+        spans.append({"label": notice.label, "first_word": word_at(a + lead), "n_words": piece.strip().count(b" ") + 1, "edits": edits})
+        score = max(score, 1 - edits / len(notice.text))
     base_labels = {label for _, label in base}
     labels = base_labels | {s["label"] for s in spans}
     return n_words, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, spans
@@ -132,7 +159,7 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, error_rate:
     fixed = tuple(tuple(n) for n in notices)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = notices_of(fixed, error_rate)
+        ready = scanner(fixed, error_rate)
         for batch in slices(batches):
             rows = [scan_text(t, ready) for t in utf8(batch.column("text"))]
             yield record_batch(SCHEMA, [batch.column("doc_id"), *zip(*rows)])
