@@ -98,18 +98,18 @@ def select_features(columns: list[str], droppable: list[str], policy: str = "ful
 
 
 def schema_compatibility(a: DataFrame, b: DataFrame, name_a: str, name_b: str, features: list[str] = S.FEATURES) -> DataFrame:
-    """Which features both datasets have; works on the two schemas only."""
-    rows = []
-    for f in features:
-        ina, inb = f in a.columns, f in b.columns
-        status = (
-            "Direct (native to both)" if ina and inb
-            else f"Unavailable in {name_b}" if ina
-            else f"Unavailable in {name_a}" if inb
-            else "Not present in either"
-        )
-        rows.append((f, ina, inb, status))
-    return a.sparkSession.createDataFrame(rows, f"feature string, in_{name_a} boolean, in_{name_b} boolean, status string")
+    """Which features both datasets have: the column exists and some row has a value."""
+    def held(df: DataFrame, out: str) -> DataFrame:
+        cells = [F.struct(F.lit(f).alias("feature"), (F.count(F.col(f)) if f in df.columns else F.lit(0).cast("bigint")).alias(out)) for f in features]
+        return df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+    na, nb = f"n_{name_a}", f"n_{name_b}"
+    both = held(a, na).join(held(b, nb), "feature")
+    ina, inb = F.col(na) > 0, F.col(nb) > 0
+    status = (
+        F.when(ina & inb, "Direct (native to both)").when(ina, f"Unavailable in {name_b}").when(inb, f"Unavailable in {name_a}").otherwise("Not present in either")
+    )
+    return both.select("feature", na, nb, ina.alias(f"in_{name_a}"), inb.alias(f"in_{name_b}"), status.alias("status"))
 
 
 def impute(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -185,11 +185,9 @@ def minmax_from_train(train: DataFrame, apply_to: DataFrame, score: str, out: st
     return apply_to.withColumn(out, (F.col(score) - F.lit(lo)) / F.lit(hi - lo + 1e-12))
 
 
-def identifier_leaks(columns_df: DataFrame, name: str = "feature") -> DataFrame:
-    """Feature names that contain a raw identifier or time token."""
-    tokens = F.split(F.lower(name), "_")
-    return columns_df.withColumn("suspect", flag(F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in S.IDENTIFIER_TOKENS]))))
-
-
-def clip_for_display(df: DataFrame, column: str, upper: Column) -> DataFrame:
-    return df.withColumn(column, F.least(F.greatest(F.col(column), F.lit(0.0)), upper))
+def identifier_leaks(df: DataFrame) -> DataFrame:
+    """(feature, suspect, n_values): columns whose name contains a raw identifier or time token, and how many values they hold."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.count(F.col(c)).alias("n_values")) for c in df.columns])
+    tokens = F.split(F.lower("feature"), "_")
+    suspect = flag(F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in S.IDENTIFIER_TOKENS])))
+    return df.agg(cells.alias("c")).select(F.inline("c")).withColumn("suspect", suspect)

@@ -17,16 +17,19 @@ PART = "_part"
 RANGE_ROWS = 1_000_000  # distinct values that one task should sort
 
 
-def _ranges(counts: DataFrame) -> int:
-    """As many ranges as keep a range near RANGE_ROWS, and at least one per shuffle partition."""
-    return max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // RANGE_ROWS))
-
-
-def _range_of(keyed: DataFrame, order: str, n: int) -> Column:
-    """Number of the range that holds a row, by binary search in n - 1 cuts that all parts share."""
-    cuts = keyed.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"]  # n - 1 values
-    cuts = sorted(set(cuts or []))
-
+def _cuts(counts: DataFrame, order: str, ranges: int | None) -> list:
+    """Bounds between ranges of about equal size: as many as keep a range near RANGE_ROWS, and one per shuffle partition."""
+    least = ranges or max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    points = lambda n: F.percentile_approx(order, [i / n for i in range(1, n)], 20 * n).alias("cuts")
+    row = counts.agg(F.count(F.lit(1)).alias("n"), points(least)).first()
+    wanted = -(-row["n"] // RANGE_ROWS)
+    if ranges is None and wanted > least:
+        row = counts.agg(points(wanted)).first()
+    return sorted(set(row["cuts"] or []))
+
+
+def _range_of(order: str, cuts: list) -> Column:
+    """Number of the range that holds a row, by binary search in the cuts, which all parts share."""
     def search(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
@@ -44,9 +47,8 @@ def prefix_sums(counts: DataFrame, by: list[str], order: str, measures: list[str
     """
     names = counts.columns
     counts = cut_lineage(counts)  # it is read for the cuts, the totals and the rows
-    n = ranges or _ranges(counts)
     keyed = counts.withColumn(PART, F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
-    placed = keyed.withColumn("_range", _range_of(keyed, order, n))
+    placed = keyed.withColumn("_range", _range_of(order, _cuts(counts, order, ranges)))
     below = Window.partitionBy(PART).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(PART, "_range").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     offsets = totals.select(PART, "_range", *[F.coalesce(F.sum(f"_t_{m}").over(below), F.lit(0)).alias(f"_o_{m}") for m in measures])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from hostlens import schemas as S
 from hostlens.operators import cascade, clean, metrics, summaries
 from hostlens.operators.joins import KEY, join_lookup, together
-from hostlens.operators.models import Detector, Fitted
+from hostlens.operators.models import GRIDS, Detector, Fitted
 from hostlens.operators.splits import group_split, row_budget_split, stratified_folds
 from hostlens.session import cut_lineage
 
@@ -153,8 +153,9 @@ def cap_sweep(df: DataFrame, features: list[str], detector: Detector, caps: list
                       F.col("fpr_mean").alias("actual_fpr_mean"), "auroc_mean")
 
 
-def grid_sweep(df: DataFrame, features: list[str], kind: str, grid: dict[str, list], fixed: dict, repeats: int, k: int) -> DataFrame:
-    """Mean and deviation of the scores for every combination of the grid, on one fold table."""
+def grid_sweep(df: DataFrame, features: list[str], kind: str, grid: dict[str, list] | None, fixed: dict, repeats: int, k: int) -> DataFrame:
+    """Mean and deviation of the scores for every combination of the grid (default: the family's own), on one fold table."""
+    grid = GRIDS[kind] if grid is None else grid
     ready = assign_folds(df, k, S.CV_SEED, repeats)
     outs = []
     for combo in itertools.product(*grid.values()):

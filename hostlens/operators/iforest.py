@@ -76,9 +76,10 @@ class IsolationForestModel:
 
     def score(self, df: DataFrame, out: str = "proba") -> DataFrame:
         """Anomaly score 2^(-mean path / expected path): near 1 is odd, below 0.5 is ordinary."""
-        pdf = self.nodes.toPandas()  # at most 2 * trees * sample rows
-        if len(pdf) > 4 * self.trees * max(self.sample, 2):
+        bound = 4 * self.trees * max(self.sample, 2)
+        if self.nodes.count() > bound:
             raise ValueError("more nodes than the forest's own bound")
+        pdf = self.nodes.toPandas()
         forest = []
         for _, t in pdf.sort_values(["tree", "node"]).groupby("tree"):
             leaf_path = t["depth"].to_numpy() + expected_path(t["size"].to_numpy())

@@ -14,12 +14,6 @@ PROCESS_KEY = ["source", "scenario", "host", "pid"]
 ROOT = "__root__"
 
 
-def process_key(df: DataFrame) -> Column:
-    """Readable key of a process."""
-    return F.concat_ws("_", "source", F.coalesce("scenario", F.lit("unknown")), F.coalesce("host", F.lit("unknown_host")),
-                       F.col("pid").cast("string"))
-
-
 def _any(cond: Column) -> Column:
     return F.max(flag(cond))
 

@@ -12,6 +12,7 @@ from hostlens.plans import views as V
 from hostlens.plans.catalogue import query
 from hostlens.session import cut_lineage
 from hostlens.sources import audit
+from hostlens.sources.tables import read_events, write_table
 
 # --- audit text, written from the events table and parsed back -----------------------------------------
 
@@ -174,6 +175,19 @@ def clean_defaults(spark, sf_dir):
     return V.labeled_events(spark, sf_dir).select(*_CLEAN_COLS)
 
 
+_CSV_COLS = [c for c in _CLEAN_COLS if c not in ("timestamp",)]
+
+
+@query("event_csv_scan", V.sql(V.RAW, "SELECT " + ", ".join(f'"{c}"' for c in _CSV_COLS) + " FROM raw_events"))
+def event_csv_scan(spark, sf_dir):
+    """Raw events written as CSV and read back with the declared schema; gaps stay gaps."""
+    raw, wanted = V.raw_events(spark, sf_dir), S.event_schema()
+    whole = raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+    path = V.stored_path(spark, sf_dir, "events-csv")
+    write_table(whole, path, "csv")
+    return read_events(spark, path, "csv").select(*_CSV_COLS)
+
+
 @query("core_null_audit", V.sql(V.RAW, " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS n_null FROM raw_events" for c in ["pid", "uid", "euid", "failed", "label"])))
 def core_null_audit(spark, sf_dir):
@@ -255,19 +269,26 @@ def technique_exclusion(spark, sf_dir):
     return kept.groupBy("technique", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("schema_compat", """WITH ev_cols AS (SELECT column_name AS c FROM (DESCRIBE lineitem)), o_cols AS (SELECT column_name AS c FROM (DESCRIBE orders))
-SELECT f.feature, f.feature IN (SELECT c FROM ev_cols) AS in_a, f.feature IN (SELECT c FROM o_cols) AS in_b,
-  CASE WHEN f.feature IN (SELECT c FROM ev_cols) AND f.feature IN (SELECT c FROM o_cols) THEN 'Direct (native to both)'
-    WHEN f.feature IN (SELECT c FROM ev_cols) THEN 'Unavailable in b' WHEN f.feature IN (SELECT c FROM o_cols) THEN 'Unavailable in a'
-    ELSE 'Not present in either' END AS status
-FROM (VALUES ('l_orderkey'), ('l_quantity'), ('o_totalprice'), ('nowhere')) f(feature)""")
+@query("schema_compat", """WITH n AS (
+  SELECT 'l_orderkey' AS feature, (SELECT count(l_orderkey) FROM lineitem) AS n_a, 0::BIGINT AS n_b UNION ALL
+  SELECT 'l_quantity', (SELECT count(l_quantity) FROM lineitem), 0 UNION ALL SELECT 'o_totalprice', 0, (SELECT count(o_totalprice) FROM orders) UNION ALL
+  SELECT 'nowhere', 0, 0 UNION ALL SELECT 'row_key', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM orders))
+SELECT feature, n_a, n_b, n_a > 0 AS in_a, n_b > 0 AS in_b, CASE WHEN n_a > 0 AND n_b > 0 THEN 'Direct (native to both)'
+  WHEN n_a > 0 THEN 'Unavailable in b' WHEN n_b > 0 THEN 'Unavailable in a' ELSE 'Not present in either' END AS status FROM n""")
 def schema_compat(spark, sf_dir):
-    return clean.schema_compatibility(V.table(spark, sf_dir, "lineitem"), V.table(spark, sf_dir, "orders"), "a", "b",
-                                      ["l_orderkey", "l_quantity", "o_totalprice", "nowhere"])
+    a = V.table(spark, sf_dir, "lineitem").withColumn("row_key", F.col("l_orderkey"))
+    b = V.table(spark, sf_dir, "orders").withColumns({"row_key": F.col("o_orderkey"), "l_quantity": F.lit(None).cast("double")})
+    return clean.schema_compatibility(a, b, "a", "b", ["l_orderkey", "l_quantity", "o_totalprice", "nowhere", "row_key"])
+
+
+_LEAK_COLUMNS = {
+    "events": ["event_id", "user_id", "ts", "event_type", "value", "props"],
+    "lineitem": ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"],
+}
 
 
-@query("identifier_leak", V.sql("names AS (SELECT column_name AS feature FROM (DESCRIBE events) UNION ALL SELECT column_name FROM (DESCRIBE lineitem))",
-    "SELECT feature, CAST(len(list_intersect(string_split(lower(feature), '_'), ['" + "','".join(S.IDENTIFIER_TOKENS) + "'])) > 0 AS INT) AS suspect FROM names"))
+@query("identifier_leak", "WITH n AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n_values FROM {t}" for t, cs in _LEAK_COLUMNS.items() for c in cs)
+       + ") SELECT feature, n_values, CAST(len(list_intersect(string_split(lower(feature), '_'), ['" + "','".join(S.IDENTIFIER_TOKENS) + "'])) > 0 AS INT) AS suspect FROM n")
 def identifier_leak(spark, sf_dir):
-    cols = V.table(spark, sf_dir, "events").columns + V.table(spark, sf_dir, "lineitem").columns
-    return clean.identifier_leaks(spark.createDataFrame([(c,) for c in cols], "feature string"))
+    parts = [clean.identifier_leaks(V.table(spark, sf_dir, t).select(*cs)) for t, cs in _LEAK_COLUMNS.items()]
+    return parts[0].unionByName(parts[1])

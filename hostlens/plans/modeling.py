@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hostlens import schemas as S
 from hostlens.functions.columns import hash_fraction
-from hostlens.operators import cascade, errors, evaluate, metrics, models, summaries
+from hostlens.operators import cascade, clean, errors, evaluate, metrics, models, summaries
 from hostlens.operators.models import Detector
 from hostlens.plans import views as V
 from hostlens.plans.catalogue import query
@@ -214,6 +214,42 @@ def _facts(spark, sf_dir, detector, repeats, k):
     return evaluate.fold_facts(ready, repeats, k).join(seen, ["repeat", "fold"])
 
 
+_SIDES = """, s AS (SELECT host IN ('h0', 'h1', 'h2') AS near, label FROM features), n AS (SELECT count(*) FILTER (near) AS n_source, count(*) FILTER (NOT near) AS n_target,
+  sum(label) FILTER (near)::BIGINT AS source_pos, sum(label) FILTER (NOT near)::BIGINT AS target_pos FROM s)"""
+
+
+def missingness_arms(spark, sf_dir):
+    """Two datasets, the second without the partial features: shared features only, and all with a flag for real values."""
+    rows = prepared(spark, sf_dir).drop("vector")
+    near = F.col("host").isin("h0", "h1", "h2")
+    shared = [f for f in FEATS if f not in S.PARTIAL_FEATURES]
+    keyed = models.vector_key(rows, shared)  # groups follow the real features in both arms
+    has, lacks = keyed.filter(near), keyed.filter(~near).drop(*S.PARTIAL_FEATURES)
+    flagged = {"a": clean.with_availability(has, FEATS, True), "b": clean.with_availability(lacks, FEATS, False)}
+    return {"shared": ({"a": has, "b": lacks}, shared), "unified": (flagged, [*FEATS, "features_available"])}
+
+
+@query("missingness_transfer")
+def missingness_transfer(spark, sf_dir):
+    """Does a flag for missing features transfer better than the shared features? Both ways, with a recalibrated cutoff."""
+    outs = [evaluate.cross_dataset(data, cols, RF, 1, recalibrate=0.1).withColumn("arm", F.lit(arm)) for arm, (data, cols) in missingness_arms(spark, sf_dir).items()]
+    return evaluate.union(outs)
+
+
+@query("missingness_rows", V.sql(V.FEATURES + _SIDES, """SELECT arm, n_source, n_target, source_pos, target_pos, CASE arm WHEN 'shared' THEN 0 ELSE n_source END AS source_flagged, 0::BIGINT AS target_flagged
+FROM n, (VALUES ('shared'), ('unified')) t(arm)"""))
+def missingness_rows(spark, sf_dir):
+    """What the two arms are made of: rows and positives of both sides, and rows flagged as having all features."""
+    outs = []
+    for arm, (data, cols) in missingness_arms(spark, sf_dir).items():
+        flagged = F.sum("features_available").cast("bigint") if "features_available" in cols else F.lit(0).cast("bigint")
+        side = {k: d.agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("p"), flagged.alias("f")).select(F.struct("n", "p", "f")).scalar() for k, d in data.items()}
+        outs.append(spark.range(1).select(
+            F.lit(arm).alias("arm"), side["a"]["n"].alias("n_source"), side["b"]["n"].alias("n_target"), side["a"]["p"].alias("source_pos"), side["b"]["p"].alias("target_pos"),
+            side["a"]["f"].alias("source_flagged"), side["b"]["f"].alias("target_flagged")))
+    return evaluate.union(outs)
+
+
 @query("rf_cv_facts", _facts_sql(2, FOLDS, S.CV_SEED))
 def rf_cv_facts(spark, sf_dir):
     """Every row of every fold is scored exactly once, by a model that saw both classes."""

@@ -187,6 +187,13 @@ _MISSES = """, misses AS (SELECT row_id, fold, proc_name FROM oof WHERE true_lab
   support AS (SELECT t.fold, proc_name, count(*) AS train_support, avg(true_label) AS rate FROM oof JOIN (SELECT DISTINCT fold FROM oof) t ON t.fold <> oof.fold GROUP BY t.fold, proc_name)"""
 
 
+@query("oof_scan", V.sql(V.OOF, """SELECT row_id, quantity, price, discount, tax, fold, true_label, technique, pred_xgb, proba_xgb, pred_cnn, proba_cnn FROM oof"""))
+def oof_scan(spark, sf_dir):
+    """The out-of-fold table read from its files with its declared types."""
+    oof(spark, sf_dir)
+    return spark.read.schema(S.oof_schema(FEATS, ["xgb", "cnn"])).parquet(V.stored_path(spark, sf_dir, "oof"))
+
+
 @query("new_misses", V.sql(V.OOF, _MISSES + " SELECT row_id, fold, proc_name, coalesce(train_support, 0) AS train_support, round(rate, 6) AS train_attack_rate FROM misses LEFT JOIN support USING (fold, proc_name)"))
 def new_misses(spark, sf_dir):
     rows = oof(spark, sf_dir)

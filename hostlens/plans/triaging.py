@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
+from hostlens import schemas as S
 from hostlens.functions.columns import hash_fraction, melt
 from hostlens.operators import metrics, summaries, triage
 from hostlens.plans import views as V
@@ -188,6 +188,13 @@ def arbitration_table(spark, sf_dir):
     return build_arbitration(spark, sf_dir)
 
 
+@query("arbitration_scan", V.sql(REPLIES, "SELECT * FROM arb"))
+def arbitration_scan(spark, sf_dir):
+    """The arbitration table read from its files with its declared types."""
+    arbitration(spark, sf_dir)
+    return spark.read.schema(S.arbitration_schema()).parquet(V.stored_path(spark, sf_dir, "arbitration"))
+
+
 @query("resume_antijoin", V.sql(CONTRA, f"SELECT row_id FROM contra WHERE NOT {V.hash_fraction_sql(14, 'row_id')} < 0.6"))
 def resume_antijoin(spark, sf_dir):
     todo = triage.contradictions(oof(spark, sf_dir)).select("row_id")

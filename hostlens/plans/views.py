@@ -24,9 +24,11 @@ DAY_US = 86_400_000_000
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """An intermediate of the pipeline, written once per application to the shared folder and read by every later job."""
-    key = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
-    path = f"{application_dir(spark)}/{key}-{name}"
-    return reuse_or_build(spark, path, lambda: build(spark, sf_dir))
+    return reuse_or_build(spark, stored_path(spark, sf_dir, name), lambda: build(spark, sf_dir))
+
+
+def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    return f"{application_dir(spark)}/{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}-{name}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -107,14 +107,14 @@ def feature_schema(features: list[str] = FEATURES, label: str = "label") -> T.St
 
 
 def oof_schema(features: list[str], models: list[str]) -> T.StructType:
-    cols = ["row_id bigint", *[f"{f} double" for f in features], "fold int", "true_label int", "technique string"]
+    cols = ["row_id string", *[f"{f} double" for f in features], "fold int", "true_label int", "technique string"]
     for m in models:
         cols += [f"pred_{m} int", f"proba_{m} double"]
     return T.StructType.fromDDL(", ".join(cols))
 
 
 ARBITRATION = (
-    "row_id bigint, fold int, true_label int, technique string, pred_xgb int, pred_cnn int, proba_xgb double, "
+    "row_id string, fold int, true_label int, technique string, pred_xgb int, pred_cnn int, proba_xgb double, "
     "proba_cnn double, disagreement_direction string, llm_verdict string, llm_pred int, llm_confidence double, "
     "llm_agrees_with string, parse_status string, rationale_steps string, key_features string, raw string"
 )
