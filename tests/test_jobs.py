@@ -124,4 +124,4 @@ def test_rows_only_queries_are_registered():
     import __spark_entry__ as entry
 
     plain = set(entry.queries()) - set(entry.oracle_sql())
-    assert {"rf_cv", "gbt_cv", "mlp_cv", "iforest_scores", "cross_dataset", "cascade_models", "model_roundtrip"} <= plain
+    assert {"rf_cv", "gbt_cv", "mlp_cv", "iforest_scores", "cross_dataset", "cascade_models"} <= plain
