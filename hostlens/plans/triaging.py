@@ -114,6 +114,10 @@ def context_text(spark, sf_dir):
 
 
 def raw_replies(spark, sf_dir):
+    return V.stored(spark, sf_dir, "replies", build_replies)
+
+
+def build_replies(spark, sf_dir):
     """Two attempts per contradicting row as text, some broken on purpose; a tenth of the rows has none."""
     rows = triage.contradictions(oof(spark, sf_dir))
     kind = F.floor(hash_fraction(11, "row_id") * 10).cast("int")
