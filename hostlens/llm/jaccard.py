@@ -221,3 +221,23 @@ def keep_one(docs: DataFrame, result: DataFrame) -> DataFrame:
     single = kept.filter(F.col("_rows") == 1)
     repeated = kept.filter(F.col("_rows") > 1).dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated).select(*docs.columns)
+
+
+ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS h FROM w WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (h) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE k >= 0.8::DOUBLE * (nx.c + ny.c - k) - 1e-9
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.node
+)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM (SELECT node AS doc_id, min(root) AS class_id FROM reach GROUP BY node)
+LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x) USING (doc_id)"""

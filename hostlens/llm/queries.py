@@ -59,4 +59,4 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_bpe, op4_token_counts, op5_chat_format, op6_decontaminate, op7_language_id, op8_license_scan, op9_graph_search, op10_sharding, pipeline)}
-ORACLES = {"op5_chat_format": chat.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op10_sharding": sharding.oracle()}
+ORACLES = {"op2_jaccard_join": jaccard.ORACLE, "op5_chat_format": chat.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op10_sharding": sharding.oracle()}

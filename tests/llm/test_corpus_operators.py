@@ -366,7 +366,7 @@ def test_op10_odd_rows(odd_docs, no_docs):
 # --- queries and the pipeline ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["op5_chat_format", "op6_decontaminate", "op10_sharding"])
+@pytest.mark.parametrize("name", ["op2_jaccard_join", "op5_chat_format", "op6_decontaminate", "op10_sharding"])
 def test_twins(spark, sf, name):
     err = compare(entry.queries()[name](spark, sf), connect(sf), entry.oracle_sql()[name])
     assert err is None, err
