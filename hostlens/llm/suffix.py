@@ -13,8 +13,8 @@ half windows (h, h at offset h): the threshold is reached, and what is not uniqu
 fingerprints.
 
 Copies inside one slice of a task are recognised there, and only one of them is sent to the sort, so a passage that a
-third of all documents share is no hot key. A rank with more than `HOT` contexts is not gathered: its positions are
-counted as rows with map-side combining. Everything else that one task holds is bounded by a document or by `HOT`.
+third of all documents share is no hot key. A rank with more than `HOT` contexts is not gathered: its positions become
+rows, one per name and slice, that are counted. Everything else that one task holds is bounded by a document or by `HOT`.
 
 Defined cases: null text counts as empty; texts shorter than `length` keep everything; repeated rows cover each other
 and lose all bytes if they are long enough; matches never cross documents, overlapping ones count; very long texts are
@@ -41,7 +41,7 @@ from hostlens.session import remove_dir, store
 LENGTH = 200
 GRAM = 16  # bytes of the fingerprints that choose anchors
 SLICE = 2 << 20
-HOT = 2048  # contexts of one rank that a task may gather
+HOT = 8192  # contexts of one rank that a task may gather: 4 MB at most
 TASK_BYTES = 8 << 20
 NO_ID = -(2**63)
 
@@ -187,17 +187,29 @@ def repeated_positions(contexts: DataFrame, length: int) -> DataFrame:
     gathered = cold.groupBy(F.pmod("rank", F.lit(bins)).alias("bin")).applyInPandas(meet, SPAN)
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each name of a slice, and the runs of positions whose name the slice repeats."""
         for batch in slices(batches, "bytes", SLICE):
             names, number, offset = window_names(batch.column("bytes").to_pylist(), length)
-            begin, _, _, check, _ = unpack(batch.column("place").to_numpy()[number])
-            columns = [names.view(np.int64), batch.column("doc").to_numpy()[number], check, begin + offset]
-            single = pa.array(batch.column("single").to_numpy(zero_copy_only=False)[number])
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], single], names=["name", "doc", "check", "first", "single"])
-
-    rows = contexts.filter("hot").mapInArrow(spread, "name bigint, doc bigint, check bigint, first bigint, single boolean")
-    again = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
-    counted = rows.filter("single").join(again, "name").select("doc", "check", "first", F.col("first").alias("last"))
-    return gathered.unionByName(counted)
+            begin, _, _, check, _ = unpack(batch.column("place").to_numpy())
+            doc, single = batch.column("doc").to_numpy(), batch.column("single").to_numpy(zero_copy_only=False)
+            _, one, back, often = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+            of, at, repeated = number[one], offset[one], often > 1
+            keep = repeated[back] & single[number]
+            run, first, last = runs(number[keep], offset[keep])
+            none = np.zeros(len(run), bool)
+            longs = [
+                pa.concat_arrays([pa.array(names[one].view(np.int64)), pa.nulls(len(run), pa.int64())]),
+                *[pa.array(np.concatenate([a, b]), pa.int64()) for a, b in (
+                    (doc[of], doc[run]), (check[of], check[run]), (begin[of] + at, begin[run] + first), (begin[of] + at, begin[run] + last))],
+            ]
+            flags = [pa.array(np.concatenate([single[of] & ~repeated, ~none])), pa.array(np.concatenate([repeated, none]))]
+            yield pa.RecordBatch.from_arrays([*longs, *flags], names=["name", "doc", "check", "first", "last", "open", "known"])
+
+    rows, _ = store(contexts.filter("hot").mapInArrow(spread, f"name bigint, {SPAN}, open boolean, known boolean"))
+    named = rows.filter("name is not null")
+    again = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("known").alias("known")).filter("known or n > 1").select("name")
+    counted = named.filter("open").join(again, "name").select("doc", "check", "first", "last")
+    return gathered.unionByName(counted).unionByName(rows.filter("name is null").select("doc", "check", "first", "last"))
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
