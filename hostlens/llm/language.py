@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from hostlens.llm.common import slices, utf8
 
 SAMPLE_ROWS = 1_000  # per language
+BUCKETS = 64
 MAX_GRAMS = 16_384  # per language
 MIN_SHARE = 0.02  # of a language's sampled documents that must have an n-gram
 RELATIVE = 0.3  # of the highest such share among the languages
@@ -81,8 +82,11 @@ def places(codes: np.ndarray) -> Iterator[np.ndarray]:
 def sample(docs: DataFrame, rows: int) -> DataFrame:
     """The first `rows` documents of each language by a hash of the id; only ids and languages are sorted."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labelled.select("lang", "doc_id").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    spread = Window.partitionBy("lang", "_bucket").orderBy(*order)  # so that no task sees more than BUCKETS * rows of a language
+    ids = labelled.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(BUCKETS)).alias("_bucket"))
+    few = ids.withColumn("_r", F.row_number().over(spread)).filter(F.col("_r") <= rows).select("lang", "doc_id")
+    picked = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("_r") <= rows)
     keys = picked.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id")).distinct()  # `rows` per language at most
     return labelled.join(F.broadcast(keys), (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
