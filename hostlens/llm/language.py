@@ -37,6 +37,7 @@ FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)  # one hash
 SLICE = 1 << 20
 UNKNOWN = "und"
 MIN_SCORE = 0.1  # a text below is rejected
+MIN_CHARS = 200  # if it has as many characters
 
 SEPARATOR = 0x20
 CLASSES = np.array([c if 0x61 <= c <= 0x7A or c >= 0x80 else SEPARATOR for c in range(256)], np.uint8)
@@ -182,6 +183,7 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return predict(docs, fit(docs.filter(~held_out())), keep)
 
 
-def rejected(lang_pred: str = "lang_pred", score: str = "score") -> Column:
-    """Texts in no learned language: nothing to read, or hardly an n-gram that any language contains."""
-    return (F.col(lang_pred) == UNKNOWN) | (F.col(score) < MIN_SCORE)
+def rejected(lang_pred: str = "lang_pred", score: str = "score", text: str = "text") -> Column:
+    """Texts in no learned language: nothing to read, or hardly an n-gram that any language contains although the text is
+    long enough to tell."""
+    return (F.col(lang_pred) == UNKNOWN) | ((F.col(score) < MIN_SCORE) & (F.length(text) >= MIN_CHARS))

@@ -386,7 +386,7 @@ def test_native_plans_run_no_python(spark, sf):
 def test_pipeline_equals_brute_force(spark, sf):
     docs = table(spark, sf, "documents")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    known = {r["doc_id"] for r in language.identify(docs).filter(~language.rejected()).collect()}
+    known = {r["doc_id"] for r in language.identify(docs, ["doc_id", "text"]).filter(~language.rejected()).collect()}
     texts = {i: t for i, t in rows.items() if i in known}
     assert len(texts) > 0.95 * len(rows)  # clean documents stay
     texts = {i: texts[i] for i in sorted({c for _, c, _ in joined(list(texts.items()))})}
