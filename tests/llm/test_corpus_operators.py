@@ -262,6 +262,26 @@ def test_op6_blocks_of_the_benchmark(spark, monkeypatch):
     assert [(a, b) for a, b, *_ in leak_rows(docs, items)] == [(k, k) for k in range(4)]
 
 
+def test_op6_repeated_shingles(spark):
+    """Alternating words, refrains and documents shorter than an item: every window that reaches the threshold counts."""
+    rnd = random.Random(61)
+    turns = [("yes", "no"), ("la", "da"), ("tick", "tock"), ("a", "b"), ("left", "right"), ("on", "off")]
+    items = [(k, " ".join([*pair * 6, pair[0]])) for k, pair in enumerate(turns)]
+    docs = [(k, " ".join([*pair[::-1] * 6, pair[1]])) for k, pair in enumerate(turns)]
+    docs += [(10 + k, " ".join(pair * 15)) for k, pair in enumerate(turns)]
+    refrain = "sing the old song again my friend".split()
+    for k in range(6):
+        verse = [f"v{k}x{i}" for i in range(3)]
+        items.append((20 + k, " ".join(refrain * 4 + verse + refrain * 2)))
+        docs.append((20 + k, " ".join(refrain * 5 + verse + refrain * 3)))
+    for k in range(40):
+        words = [f"s{k}x{i}" for i in range(9 + 5 * (k % 4))]
+        items.append((100 + k, " ".join(words)))
+        docs.append((100 + k, " ".join(words[1:] if rnd.random() < 0.5 else words[:-1])))
+    got = leak_rows(spark.createDataFrame(docs, SMALL), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert got == leaks(docs, items) and {(k, k) for k in range(6)} <= {g[:2] for g in got}
+
+
 def test_multi_index_holds_the_radius():
     """Some block of two fingerprints within the radius differs in few bits."""
     rnd = random.Random(7)
