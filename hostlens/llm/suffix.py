@@ -13,11 +13,11 @@ half windows (h, h at offset h): the threshold is reached, and what is not uniqu
 fingerprints.
 
 Copies inside one slice of a task are recognised there, and only one of them is sent to the sort, so a passage that a
-third of all documents share is no hot key. A rank with more than `HOT` contexts is not gathered: its positions become
+third of all documents share is no hot key. A text is told apart by its id and 64 bits of its hash. A rank with more than `HOT` contexts is not gathered: its positions become
 rows, one per name and slice, that are counted. Everything else that one task holds is bounded by a document or by `HOT`.
 
 Defined cases: null text counts as empty; texts shorter than `length` keep everything; repeated rows cover each other
-and lose all bytes if they are long enough; matches never cross documents, overlapping ones count; very long texts are
+and lose all bytes if they are long enough; texts without an id, or with the same one, are texts of their own; matches never cross documents, overlapping ones count; very long texts are
 read in overlapping parts; an empty table gives an empty result. Columns of the input that are not asked for are not
 read. Where a cut goes through a character, `remaining` drops its other bytes.
 """
@@ -45,16 +45,16 @@ HOT = 8192  # contexts of one rank that a task may gather: 4 MB at most
 TASK_BYTES = 8 << 20
 NO_ID = -(2**63)
 
-# A place in one long: first position (31 bits), anchor distance (8), positions (8), text check (15), known (1)
+# A place in one long: first position (31 bits), anchor distance (8), positions (8), known (1)
 MAX_LENGTH = 500
 
 
-def pack(first, distance, count, check, known):
-    return (((first << 8 | distance) << 8 | count) << 15 | check) << 1 | known
+def pack(first, distance, count, known):
+    return ((first << 8 | distance) << 8 | count) << 1 | known
 
 
 def unpack(place: np.ndarray):
-    return place >> 32, place >> 24 & 255, place >> 16 & 255, place >> 1 & 0x7FFF, place & 1
+    return place >> 17, place >> 9 & 255, place >> 1 & 255, place & 1
 
 
 def anchors(data: np.ndarray, text_end: np.ndarray, length: int):
@@ -87,7 +87,7 @@ def anchors(data: np.ndarray, text_end: np.ndarray, length: int):
 
 
 def first_ranks(docs: DataFrame, length: int) -> DataFrame:
-    """key, rank, context, doc, place of every anchor; `key` equals `rank` but for copies known from their own slice."""
+    """key, rank, context, doc, check, place of every anchor; `key` equals `rank` but for copies known from their own slice."""
     quarter, half = length // 4, length // 2
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,41 +110,41 @@ def first_ranks(docs: DataFrame, length: int) -> DataFrame:
                 extra[one] = False
                 mine = row[first]
                 inside = first + start - begin[mine]
-                place = pack(inside, anchor - first, count, check[mine], known.astype(np.int64))
-                key = np.where(extra, mix(context ^ mix(place.astype(np.uint64) ^ doc[mine].view(np.uint64))), pair)
-                columns = [key.view(np.int64), pair.view(np.int64), context.view(np.int64), doc[mine], place]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "rank", "context", "doc", "place"])
+                place = pack(inside, anchor - first, count, known.astype(np.int64))
+                key = np.where(extra, mix(context ^ mix(place.astype(np.uint64) ^ mix(doc[mine].view(np.uint64) ^ mix(check[mine].view(np.uint64))))), pair)
+                columns = [key.view(np.int64), pair.view(np.int64), context.view(np.int64), doc[mine], check[mine], place]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "rank", "context", "doc", "check", "place"])
 
-    return docs.mapInArrow(run, "key bigint, rank bigint, context bigint, doc bigint, place bigint")
+    return docs.mapInArrow(run, "key bigint, rank bigint, context bigint, doc bigint, check bigint, place bigint")
 
 
 def repeated_ranks(docs: DataFrame, length: int) -> DataFrame:
     """The anchors whose half window occurs more than once."""
     ranked = first_ranks(docs, length).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    return ranked.filter((F.col("n") > 1) | (F.col("place") % 2 == 1)).select("rank", "context", "doc", "place")
+    return ranked.filter((F.col("n") > 1) | (F.col("place") % 2 == 1)).select("rank", "context", "doc", "check", "place")
 
 
 def cut_contexts(dense: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """rank, hot, single, doc, place, bytes: the text that the positions of an anchor need."""
+    """rank, hot, single, doc, check, place, bytes: the text that the positions of an anchor need."""
     entry = F.struct("rank", "hot", "single", "place")
-    wanted = dense.groupBy("doc").agg(F.collect_list(entry).alias("entries"))  # bounded by a document's anchors
+    wanted = dense.groupBy("doc", "check").agg(F.collect_list(entry).alias("entries"))  # bounded by a text's anchors
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
-            out = {c: [] for c in ("rank", "hot", "single", "doc", "place", "bytes")}
+            out = {c: [] for c in ("rank", "hot", "single", "doc", "check", "place", "bytes")}
             for text, doc, check, entries in zip(utf8(batch.column("text")), *[batch.column(c).to_pylist() for c in ("doc", "check", "entries")]):
                 for e in entries:
-                    first, _, count, of, _ = unpack(e["place"])
-                    if of == check:
-                        for c in ("rank", "hot", "single", "place"):
-                            out[c].append(e[c])
-                        out["doc"].append(doc)
-                        out["bytes"].append(text[first : first + count - 1 + length])
-            kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+                    first, _, count, _ = unpack(e["place"])
+                    for c in ("rank", "hot", "single", "place"):
+                        out[c].append(e[c])
+                    out["doc"].append(doc)
+                    out["check"].append(check)
+                    out["bytes"].append(text[first : first + count - 1 + length])
+            kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
-    ddl = "rank bigint, hot boolean, single boolean, doc bigint, place bigint, bytes binary"
-    return docs.join(wanted, "doc").mapInArrow(run, ddl)
+    ddl = "rank bigint, hot boolean, single boolean, doc bigint, check bigint, place bigint, bytes binary"
+    return docs.join(wanted, ["doc", "check"]).mapInArrow(run, ddl)
 
 
 def window_names(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,8 +181,8 @@ def repeated_positions(contexts: DataFrame, length: int) -> DataFrame:
         _, back, often = np.unique(names, return_inverse=True, return_counts=True)
         keep = (often[back] > 1) & frame["single"].to_numpy()[number]
         number, first, last = runs(number[keep], offset[keep])
-        begin, _, _, check, _ = unpack(frame["place"].to_numpy()[number])
-        return pd.DataFrame({"doc": frame["doc"].to_numpy()[number], "check": check, "first": begin + first, "last": begin + last})
+        begin, _, _, _ = unpack(frame["place"].to_numpy()[number])
+        return pd.DataFrame({"doc": frame["doc"].to_numpy()[number], "check": frame["check"].to_numpy()[number], "first": begin + first, "last": begin + last})
 
     gathered = cold.groupBy(F.pmod("rank", F.lit(bins)).alias("bin")).applyInPandas(meet, SPAN)
 
@@ -190,8 +190,8 @@ def repeated_positions(contexts: DataFrame, length: int) -> DataFrame:
         """One row for each name of a slice, and the runs of positions whose name the slice repeats."""
         for batch in slices(batches, "bytes", SLICE):
             names, number, offset = window_names(batch.column("bytes").to_pylist(), length)
-            begin, _, _, check, _ = unpack(batch.column("place").to_numpy())
-            doc, single = batch.column("doc").to_numpy(), batch.column("single").to_numpy(zero_copy_only=False)
+            begin, _, _, _ = unpack(batch.column("place").to_numpy())
+            doc, check, single = batch.column("doc").to_numpy(), batch.column("check").to_numpy(), batch.column("single").to_numpy(zero_copy_only=False)
             _, one, back, often = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
             of, at, repeated = number[one], offset[one], often > 1
             keep = repeated[back] & single[number]
@@ -223,20 +223,20 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return out
 
     found, found_path = keep(repeated_ranks(docs, length))
-    place = F.struct("doc", "place")
+    place = F.struct("doc", "check", "place")
     alike = found.groupBy("rank", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
     alike, alike_path = keep(alike)
     mixed = alike.groupBy("rank").agg(F.count_if(F.col("n") == 1).alias("alone"), F.count(F.lit(1)).alias("members")).filter("alone > 0")
     dense = alike.join(mixed, "rank").filter("members > 1").select(
-        "rank", (F.col("members") > HOT).alias("hot"), (F.col("n") == 1).alias("single"), "one.doc", "one.place"
+        "rank", (F.col("members") > HOT).alias("hot"), (F.col("n") == 1).alias("single"), "one.doc", "one.check", "one.place"
     )
     contexts, context_path = keep(cut_contexts(dense, docs, length))
     part, _ = keep(repeated_positions(contexts, length))
     again = alike.filter("n > 1").select("rank", "context")
     code = F.col("place")
-    first = F.shiftright(code, 32)
+    first = F.shiftright(code, 17)
     whole = found.join(again, ["rank", "context"]).select(
-        "doc", F.shiftright(code, 1).bitwiseAND(0x7FFF).alias("check"), first.alias("first"), (first + F.shiftright(code, 16).bitwiseAND(255) - 1).alias("last")
+        "doc", "check", first.alias("first"), (first + F.shiftright(code, 1).bitwiseAND(255) - 1).alias("last")
     )
     out, _ = keep(whole.unionByName(part).groupBy("doc", "check").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
     for path in (found_path, alike_path, context_path):
@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None
     if not 2 * GRAM <= length <= MAX_LENGTH:
         raise ValueError(f"length must be {2 * GRAM} to {MAX_LENGTH}")
     keep = ["doc_id"] if keep is None else keep
-    ident = [F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(0x8000)).alias("check")]
+    ident = [F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("check")]
     found = spans(docs.select(*ident, "text"), length)
     hidden = {c: f"_k{i}" for i, c in enumerate(keep)}
     rows = docs.select(*ident, *[F.col(c).alias(hidden[c]) for c in keep if c != "text"], "text")

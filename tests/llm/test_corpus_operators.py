@@ -99,6 +99,18 @@ def test_op1_odd_rows(odd_docs, no_docs):
     assert texts["remaining"] == texts["text"]
 
 
+def test_op1_many_texts_of_one_id(spark):
+    """Hundreds of texts without an id, and hundreds with the same one, each with its own repeated part."""
+    rnd = random.Random(15)
+    passages = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(32, 80))) for _ in range(300)]
+    rows = []
+    for i in range(1400):
+        own = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(60))) for _ in range(2)]
+        rows.append((None if i % 2 else 7, own[0] + passages[i % 300] + own[1]))
+    df = spark.createDataFrame(rows, SMALL).repartition(5)
+    assert suffix_rows(df, length=32) == suffix_want(df, 32)
+
+
 # --- Jaccard join ---------------------------------------------------------------------------------------
 
 
