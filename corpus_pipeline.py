@@ -33,7 +33,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join; of each connected group the document with the smallest id stays."""
+    """N-gram Jaccard join; of each connected group the document with the smallest id and hash stays."""
     return jaccard.keep_one(docs, jaccard.join(docs))
 
 

@@ -10,7 +10,8 @@ pair of blocks is a task of bounded size; only link counts and a spanning forest
 
 Defined cases: a null or empty text, or one without words, has no links and is its own class; a text of fewer than five
 words is one shingle; repeated rows and copies are links of each other, and a class that holds several of them has the
-smallest id of its component; a null id is the smallest of all; very long texts count with all their shingles; an empty
+smallest id of its component; a null id is the smallest of all; different texts of one id, or without an id, are
+documents of their own, told apart by their hashes; very long texts count with all their shingles; an empty
 table gives an empty result. Other columns of the input are not read.
 """
 
@@ -144,7 +145,7 @@ def compare_task(frame: pd.DataFrame, threshold: float, tolerance: float) -> pd.
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, hash, hash2 (of the word sequence; null without words), bands."""
+    """doc_id, mark (hash of the text), hash, hash2 (of the word sequence; null without words), bands."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -160,29 +161,35 @@ def classes(docs: DataFrame) -> DataFrame:
             null = pa.scalar(None, pa.int64())
             hashes = [pc.if_else(none, null, pa.array(x.view(np.int64))) for x in (whole, second)]
             flat = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *hashes, flat], names=["doc_id", "hash", "hash2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *hashes, flat], names=["doc_id", "mark", "hash", "hash2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, hash bigint, hash2 bigint, bands array<bigint>")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return marked.mapInArrow(run, "doc_id bigint, mark bigint, hash bigint, hash2 bigint, bands array<bigint>")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its connected group of links), n_links (documents, copies
-    included, whose similarity reaches the threshold)."""
+    included, whose similarity reaches the threshold); and, for `keep_one`, mark, hash, hash2 of its text and whether that
+    is the text its class is named by."""
     rows = cut_lineage(classes(docs).withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))))
     worded = rows.filter(F.col("hash").isNotNull())
-    nodes = worded.groupBy("hash", "hash2").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    nodes = cut_lineage(nodes)
+    least = F.min(F.struct("doc", "mark")).alias("least")
+    nodes = worded.groupBy("hash", "hash2").agg(least, F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    nodes = cut_lineage(nodes.select("hash", "hash2", "least.doc", "least.mark", "copies", "bands"))
     node = F.struct("doc", "hash").alias("node")
 
     placed = nodes.select(node, F.explode("bands").alias("band"))
     buckets = placed.groupBy("band").agg(F.min("node").alias("root"), F.max("node").alias("far")).filter("root <> far").drop("far")
     grouped = components(placed.join(buckets, "band").select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").distinct())
     members = grouped.select(F.col("node.doc").alias("doc"), F.col("node.hash").alias("hash"), F.xxhash64("label").alias("grp"))
-    members = members.join(nodes.select("doc", "hash", "copies"), ["doc", "hash"])
-
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    found = members.join(texts, "doc").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
-    found = cut_lineage(found)
+    members = members.join(nodes.select("doc", "hash", "mark", "copies"), ["doc", "hash"])
+    often = worded.groupBy("doc", "mark").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    members = members.join(often, ["doc", "mark"], "left").withColumn("repeated", F.col("rows").isNotNull()).drop("rows")
+
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("mark"), "text")
+    met = members.join(texts, ["doc", "mark"])
+    met = met.filter(~F.col("repeated")).unionByName(met.filter("repeated").dropDuplicates(["doc", "hash"])).drop("mark", "repeated")
+    found = cut_lineage(met.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))))
     sizes = found.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     blocks = F.ceil(F.greatest(F.col("bytes") / TASK_BYTES, F.col("rows") / TASK_ROWS)).cast("int")
     sizes = sizes.select("grp", F.greatest(blocks, F.lit(1)).alias("blocks"))
@@ -203,21 +210,27 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
     root = F.struct(F.col("root_doc").alias("doc"), F.col("root_hash").alias("hash"))
     split = components(linked.filter("not whole").select(node.alias("a"), root.alias("b")))
-    label = linked.filter("whole").select("doc", "hash", F.col("root_doc").alias("label"))
-    label = label.unionByName(split.select(F.col("node.doc").alias("doc"), F.col("node.hash").alias("hash"), F.col("label.doc").alias("label")))
+    label = linked.filter("whole").select("doc", "hash", root.alias("label"))
+    label = label.unionByName(split.select(F.col("node.doc").alias("doc"), F.col("node.hash").alias("hash"), "label"))
     counts = linked.groupBy("doc", "hash").agg(F.sum("links").alias("links"))
     known = nodes.select("hash", "hash2", "doc", "copies").join(counts, ["doc", "hash"], "left").join(label, ["doc", "hash"], "left")
     known = known.select(
-        "hash", "hash2", F.coalesce("label", "doc").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"),
+        "hash", "hash2", F.coalesce("label", F.struct("doc", "hash")).alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"),
     )
-    out = rows.select("doc_id", "doc", "hash", "hash2").join(known, ["hash", "hash2"], "left")
-    return out.select("doc_id", F.nullif(F.coalesce("label", "doc"), F.lit(NO_ID)).alias("class_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"))
+    out = rows.select("doc_id", "doc", "mark", "hash", "hash2").join(known, ["hash", "hash2"], "left")
+    own = F.col("label").isNull() | (F.col("label") == F.struct("doc", "hash"))
+    class_id = F.nullif(F.coalesce("label.doc", "doc"), F.lit(NO_ID)).alias("class_id")
+    return out.select("doc_id", class_id, F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), "mark", "hash", "hash2", own.alias("own"))
 
 
 def keep_one(docs: DataFrame, result: DataFrame) -> DataFrame:
-    """The documents that carry the id of their own class; of repeated rows (same id and text) one stays."""
-    own = result.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")), "inner")
+    """Of each class the one document with the smallest id and hash; each text without words is its own class. Of repeated
+    rows (same id and text) one stays."""
+    wordless = F.when(F.col("hash").isNull(), F.col("mark")).alias("_wordless")
+    texts = result.filter("own").groupBy("doc_id", "hash", "hash2", "mark").agg(F.count(F.lit(1)).alias("_rows"))
+    one = texts.groupBy("doc_id", "hash", "hash2", wordless).agg(F.min(F.struct("mark", "_rows")).alias("_one"))
+    own = one.select(F.col("doc_id").alias("_id"), F.col("_one.mark").alias("_mark"), "_one._rows")
+    kept = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "inner")
     single = kept.filter(F.col("_rows") == 1)
     repeated = kept.filter(F.col("_rows") > 1).dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated).select(*docs.columns)

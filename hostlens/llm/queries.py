@@ -17,7 +17,7 @@ def op1_suffix_dedup(spark, sf_dir):
 
 
 def op2_jaccard_join(spark, sf_dir):
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op3_bpe(spark, sf_dir):

@@ -178,6 +178,21 @@ def test_repeated_rows_keep_one(spark):
     assert [r["doc_id"] for r in jaccard.keep_one(df, jaccard.join(df)).collect()] == [1]
 
 
+def test_one_document_of_each_class_stays(spark):
+    """Near copies without an id, with repeated ids, and texts of one id in several classes."""
+    base = lambda k: [f"b{k}x{i}" for i in range(120)]
+    near = lambda k, at: " ".join(base(k)[:at] + ["new"] + base(k)[at + 1 :])
+    rows = [(None, near(k, at)) for k in range(12) for at in (10, 30, 50)]  # classes whose smallest id is null
+    rows += [(3, near(20, 5)), (5, near(20, 25)), (5, near(21, 5)), (5, near(21, 45)), (5, near(21, 45)), (5, near(21, 45).upper())]
+    rows += [(None, "single text"), (None, "other text"), (5, ""), (5, " "), (None, None), (None, None), (6, "single, text")]
+    df = spark.createDataFrame(rows, SMALL).repartition(5)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(df, jaccard.join(df)).collect()]
+    class_of = lambda text: (shingle_set(text) and min(w.split("x")[0] for w in words_of(text) if w != "new")) or repr(text)
+    assert sorted(class_of(t) for _, t in kept) == sorted({class_of(t) for _, t in rows})
+    assert {(d, class_of(t)) for d, t in kept} >= {(3, "b20"), (5, "b21"), (5, "''"), (5, "' '"), (None, "None")}
+    assert (5, near(20, 25)) not in kept and (6, "single, text") not in kept
+
+
 def test_posterior_bound():
     """Dropped matches are really negligible: compare with the integral of the binomial likelihood."""
     t = np.linspace(0, 1, 200_001)[1:-1]
