@@ -22,6 +22,7 @@ MLP = Detector("mlp", {"hidden": [16, 8], "maxIter": 15})
 FOREST = Detector("iforest", {"trees": 60, "sample": 128})
 FEATS = S.FEATURES
 FOLDS = 3
+ABLATION_FOLDS = 5
 
 
 def prepared(spark, sf_dir):
@@ -96,14 +97,14 @@ def head_to_head(spark, sf_dir):
 
 @query("feature_ablation")
 def feature_ablation(spark, sf_dir):
-    return evaluate.feature_ablation(prepared(spark, sf_dir), FEATS[:5], RF, 1, 2)
+    return evaluate.feature_ablation(prepared(spark, sf_dir), FEATS, RF, 1, ABLATION_FOLDS)
 
 
 @query("reduced_features")
 def reduced_features(spark, sf_dir):
     rows = prepared(spark, sf_dir)
-    tags = evaluate.feature_ablation(rows, FEATS[:4], RF, 1, 2)
-    return evaluate.reduced_comparison(rows, FEATS[:4], tags, RF, 1, 2)
+    tags = evaluate.feature_ablation(rows, FEATS, RF, 1, ABLATION_FOLDS)
+    return evaluate.reduced_comparison(rows, FEATS, tags, RF, 1, ABLATION_FOLDS)
 
 
 @query("importance")

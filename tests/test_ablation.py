@@ -1,0 +1,15 @@
+"""The ablation queries cover every feature in five folds."""
+
+import __spark_entry__ as entry
+from hostlens import schemas as S
+from hostlens.plans import modeling
+
+
+def test_ablation_queries_use_all_features(monkeypatch):
+    calls = []
+    monkeypatch.setattr(modeling, "prepared", lambda spark, sf_dir: None)
+    monkeypatch.setattr(modeling.evaluate, "feature_ablation", lambda df, features, det, repeats, k, drop=None: calls.append((list(features), k, drop)))
+    monkeypatch.setattr(modeling.evaluate, "reduced_comparison", lambda df, features, tags, det, repeats, k: calls.append((list(features), k, None)))
+    for name in ("feature_ablation", "reduced_features"):
+        entry.queries()[name](None, "")
+    assert calls == [(list(S.FEATURES), 5, None)] * 3
