@@ -18,7 +18,7 @@ documents hold is spread like them.
 
 Defined cases: null texts and texts without words are clean; a text or item of fewer than five words is one shingle; a
 document shorter than an item is compared whole; rows of one id are reported once per item with their best window;
-ties go to the first window; items without words match nothing; empty tables give an empty result. Other columns are
+ties go to the first window; items without words match nothing; a null item id is an id like others; empty tables give an empty result. Other columns are
 not read.
 """
 
@@ -82,8 +82,8 @@ def item_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items with size, shingles, their set and its fingerprint; index rows: size, block, value, item_id)."""
     clean = items.select("item_id", shingle_list(words_of(F.col("text"))).alias("shingles")).distinct()
     clean = clean.withColumn("size", F.size("shingles")).filter("size > 0").withColumn("wanted", tagged(F.col("shingles")))
-    prints = simhash(clean.withColumn("_k", F.xxhash64("shingles")), ["item_id", "size", "_k"], "wanted")
-    full = clean.withColumn("_k", F.xxhash64("shingles")).join(prints, ["item_id", "size", "_k"]).drop("_k")
+    clean = clean.withColumn("_k", F.xxhash64(F.col("item_id").isNull(), "item_id", "shingles"))
+    full = clean.join(simhash(clean, ["size", "_k"], "wanted"), ["size", "_k"]).drop("_k")
     near = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda m: F.bit_count(m) <= RADIUS // BLOCKS)
     blocks = F.array(*[F.struct(F.lit(i).alias("block"), block(F.col("print"), i).alias("value")) for i in range(BLOCKS)])
     index = full.select("size", "item_id", "print", F.inline(blocks)).withColumn("mask", F.explode(near))
@@ -151,8 +151,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     met = probes.join(F.broadcast(index) if small else index, ["size", "block", "value"])
     close = met.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     pairs = close.select(*keys, "held", "item_id").unionByName(short_pairs(cut, full, keys, threshold, small)).distinct()
-    texts = full.select("item_id", F.col("size").alias("item_size"), "wanted")
-    sized = pairs.join(F.broadcast(texts) if small else texts, "item_id").filter("size = item_size")
+    texts = full.select(F.col("item_id").alias("_item"), F.col("size").alias("item_size"), "wanted")
+    sized = pairs.join(F.broadcast(texts) if small else texts, F.col("item_id").eqNullSafe(F.col("_item"))).filter("size = item_size")
     common = F.size(F.array_intersect("held", "wanted"))
     similarity = common / (F.size("held") + F.size("wanted") - common)
     sure = sized.withColumn("similarity", similarity).filter(F.col("similarity") >= F.lit(threshold))

@@ -309,6 +309,13 @@ def test_op6_repeated_shingles(spark):
     assert got == leaks(docs, items) and {(k, k) for k in range(6)} <= {g[:2] for g in got}
 
 
+def test_op6_null_item(spark):
+    items = [(None, " ".join(f"n{i}" for i in range(20))), (1, " ".join(f"m{i}" for i in range(20)))]
+    docs = [(k, f"start {text} end") for k, (_, text) in enumerate(items)]
+    got = leak_rows(spark.createDataFrame(docs, SMALL), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert got == leaks(docs, items) and [g[:2] for g in got] == [(0, None), (1, 1)]
+
+
 def test_multi_index_holds_the_radius():
     """Some block of two fingerprints within the radius differs in few bits."""
     rnd = random.Random(7)
