@@ -30,6 +30,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostlens.llm.common import unused
+from hostlens.session import cut_lineage
+
 WORDS = 5
 THRESHOLD = 0.8
 RADIUS = 24
@@ -64,14 +67,10 @@ def simhash(windows: DataFrame, keys: list[str], shingles: str) -> DataFrame:
     sums = []
     for i in range(0, 64, LANES):
         lanes = [F.shiftleft(F.shiftrightunsigned("_h", i + j).bitwiseAND(1), 16 * j) for j in range(LANES)]
-        sums.append(F.sum(reduce(lambda a, b: a.bitwiseOR(b), lanes)).alias(f"_s{i}"))
-    counted = each.groupBy(*keys).agg(F.first("_n").alias("_n"), *sums)
-    bits = []
-    for i in range(0, 64, LANES):
-        for j in range(LANES):
-            on = F.shiftrightunsigned(f"_s{i}", 16 * j).bitwiseAND(0xFFFF) * 2 > F.col("_n")
-            bits.append(F.when(on, F.shiftleft(F.lit(1).cast("bigint"), i + j)).otherwise(F.lit(0).cast("bigint")))
-    return counted.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("print"))
+        sums.append(F.sum(reduce(lambda a, b: a.bitwiseOR(b), lanes)))
+    counted = each.groupBy(*keys).agg(F.first("_n").alias("_n"), F.array(*sums).alias("_s"))
+    on = f"(shiftrightunsigned(_s[int(b div {LANES})], 16 * (b % {LANES})) & 65535L) * 2 > _n"  # a lambda keeps the plan small
+    return counted.select(*keys, F.expr(f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if({on}, shiftleft(1L, b), 0L))").alias("print"))
 
 
 def block(value: Column, i: int) -> Column:
@@ -83,11 +82,12 @@ def item_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     clean = items.select("item_id", shingle_list(words_of(F.col("text"))).alias("shingles")).distinct()
     clean = clean.withColumn("size", F.size("shingles")).filter("size > 0").withColumn("wanted", tagged(F.col("shingles")))
     clean = clean.withColumn("_k", F.xxhash64(F.col("item_id").isNull(), "item_id", "shingles"))
-    full = clean.join(simhash(clean, ["size", "_k"], "wanted"), ["size", "_k"]).drop("_k")
+    full = cut_lineage(clean.join(simhash(clean, ["size", "_k"], "wanted"), ["size", "_k"]).drop("_k"))
     near = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda m: F.bit_count(m) <= RADIUS // BLOCKS)
     blocks = F.array(*[F.struct(F.lit(i).alias("block"), block(F.col("print"), i).alias("value")) for i in range(BLOCKS)])
     index = full.select("size", "item_id", "print", F.inline(blocks)).withColumn("mask", F.explode(near))
-    return full, index.select("size", "item_id", F.col("print").alias("item_print"), "block", F.col("value").bitwiseXOR(F.col("mask").cast("bigint")).alias("value"))
+    value = F.col("value").bitwiseXOR(F.col("mask").cast("bigint")).alias("value")
+    return full, cut_lineage(index.select("size", "item_id", F.col("print").alias("item_print"), "block", value))
 
 
 def hits(docs: DataFrame, known: DataFrame, rows: int) -> DataFrame:
@@ -137,20 +137,24 @@ def short_pairs(short: DataFrame, full: DataFrame, keys: list[str], threshold: f
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, similarity (of the best window), first_word (where it starts), n_windows (that reach the threshold)."""
+    """doc_id, item_id, similarity (of the best window), first_word (where it starts), n_windows (that reach the threshold).
+
+    Items, their index, the windows and their fingerprints are written between the steps, so that each has a small plan
+    and windows are cut once.
+    """
     full, index = item_index(items.select("item_id", "text"))
     known = full.select("size", F.explode("shingles").alias("shingle")).distinct()
     rows = known.count()
     keys = ["doc_id", "mark", "size", "start"]
     cut = windows(hits(docs.select("doc_id", "text"), known, rows))
-    cut = cut.withColumn("held", tagged(F.col("shingles"))).drop("shingles")
-    prints = simhash(cut.filter(F.size("held") == F.col("size")), [*keys, "held"], "held")
+    cut = cut_lineage(cut.withColumn("held", tagged(F.col("shingles"))).drop("shingles"))
+    prints = cut_lineage(simhash(cut.filter(F.size("held") == F.col("size")), [*keys, "held"], "held"))
     split = F.array(*[F.struct(F.lit(i).alias("block"), block(F.col("print"), i).alias("value")) for i in range(BLOCKS)])
     probes = prints.select(*keys, "held", "print", F.inline(split))
     small = rows <= BROADCAST_ROWS // 1000
     met = probes.join(F.broadcast(index) if small else index, ["size", "block", "value"])
     close = met.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    pairs = close.select(*keys, "held", "item_id").unionByName(short_pairs(cut, full, keys, threshold, small)).distinct()
+    pairs = cut_lineage(close.select(*keys, "held", "item_id").unionByName(short_pairs(cut, full, keys, threshold, small)).distinct())
     texts = full.select(F.col("item_id").alias("_item"), F.col("size").alias("item_size"), "wanted")
     sized = pairs.join(F.broadcast(texts) if small else texts, F.col("item_id").eqNullSafe(F.col("_item"))).filter("size = item_size")
     common = F.size(F.array_intersect("held", "wanted"))
@@ -162,9 +166,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    ids = found.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """The documents that hold no benchmark item, with all their columns."""
+    key = unused("_id", docs)
+    ids = found.select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
 
 
 ORACLE = f"""

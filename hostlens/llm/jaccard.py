@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import mix, slices
+from hostlens.llm.common import columns, mix, slices, unused
 from hostlens.llm.components import components
 from hostlens.llm.shingles import THRESHOLD, minhashes, shingles
 from hostlens.session import cut_lineage
@@ -225,15 +225,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
 def keep_one(docs: DataFrame, result: DataFrame) -> DataFrame:
     """Of each class the one document with the smallest id and hash; each text without words is its own class. Of repeated
-    rows (same id and text) one stays."""
-    wordless = F.when(F.col("hash").isNull(), F.col("mark")).alias("_wordless")
-    texts = result.filter("own").groupBy("doc_id", "hash", "hash2", "mark").agg(F.count(F.lit(1)).alias("_rows"))
-    one = texts.groupBy("doc_id", "hash", "hash2", wordless).agg(F.min(F.struct("mark", "_rows")).alias("_one"))
-    own = one.select(F.col("doc_id").alias("_id"), F.col("_one.mark").alias("_mark"), "_one._rows")
-    kept = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "inner")
-    single = kept.filter(F.col("_rows") == 1)
-    repeated = kept.filter(F.col("_rows") > 1).dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated).select(*docs.columns)
+    rows (same id and text) one stays. Other columns of `docs` are carried, whatever their names."""
+    id_, mark, rows = (unused(n, docs) for n in ("_id", "_mark", "_rows"))
+    wordless = F.when(F.col("hash").isNull(), F.col("mark")).alias("wordless")
+    texts = result.filter("own").groupBy("doc_id", "hash", "hash2", "mark").agg(F.count(F.lit(1)).alias("rows"))
+    one = texts.groupBy("doc_id", "hash", "hash2", wordless).agg(F.min(F.struct("mark", "rows")).alias("one"))
+    own = one.select(F.col("doc_id").alias(id_), F.col("one.mark").alias(mark), F.col("one.rows").alias(rows))
+    kept = docs.join(own, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(mark)), "inner")
+    single = kept.filter(F.col(rows) == 1)
+    repeated = kept.filter(F.col(rows) > 1).dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated).select(*columns(docs))
 
 
 ORACLE = """
