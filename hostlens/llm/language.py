@@ -1,22 +1,24 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
-Each slot of the filter holds a bitmask with one bit per language. A text is lower-cased, and each of its n-grams
+Each slot of the filter holds a bitmask with one bit per language, in as many words as the languages need. A text is lower-cased, and each of its n-grams
 (byte windows of UTF-8, over letters and blanks) reads its slots; the AND of their masks is the set of all languages
 that contain the n-gram. Per language, the share of n-grams it contains is corrected for the filter's false positives,
 `(share - f) / (1 - f)` with f the language's fill to the power of the number of hashes; the largest one decides.
 
-The filters are fitted on at most `SAMPLE_ROWS` documents per language (a documented bound; the rows are the first by a
-hash of the id and the text) and hold at most `MAX_GRAMS` n-grams per language, so the model has a fixed size and is
-broadcast. An n-gram belongs to a language if enough of its documents have it, and not far fewer than of any other
+The filters are fitted on at most `SAMPLE_ROWS` documents of at most `SAMPLE_BYTES` bytes per language (a documented
+bound; the rows are the first by a hash of the id and the text, a repeated row counts once) in the `MAX_LANGUAGES` most
+frequent languages, and hold at most `MAX_GRAMS` n-grams per language and `ALL_GRAMS` in all, so the model has a fixed
+size and is broadcast. An n-gram belongs to a language if enough of its documents have it, and not far fewer than of any other
 language, which keeps passages in a foreign language and mislabelled rows out.
 
 Defined cases: a null text or one without any letter is `und` with score 0; a text without a single known n-gram gets
 the most frequent language with score 0; ties go to the language that comes first in the order of names; very long
-texts are read in slices; without any labelled row all texts are `und`; an empty table gives an empty result.
+texts are read in pieces that share no n-gram and lose none; without any labelled row all texts are `und`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,15 +31,18 @@ from hostlens.llm.common import slices, utf8
 
 SAMPLE_ROWS = 1_000  # per language
 BUCKETS = 64
+SAMPLE_BYTES = 1 << 20  # of one sampled text
+MAX_LANGUAGES = 1_024
 MAX_GRAMS = 16_384  # per language
+ALL_GRAMS = 1 << 19
 MIN_SHARE = 0.02  # of a language's sampled documents that must have an n-gram
 RELATIVE = 0.3  # of the highest such share among the languages
 SLOT_BITS = 19
 FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)  # one hash function each
 SLICE = 1 << 20
 UNKNOWN = "und"
-MIN_SCORE = 0.1  # a text below is rejected
-MIN_CHARS = 200  # if it has as many characters
+MIN_SCORE = 0.1  # a text is rejected if its share of known n-grams is surely below
+DOUBT = 1e-3  # the chance, by Hoeffding's bound, that it is not
 
 SEPARATOR = 0x20
 CLASSES = np.array([c if 0x61 <= c <= 0x7A or c >= 0x80 else SEPARATOR for c in range(256)], np.uint8)
@@ -46,7 +51,7 @@ CLASSES = np.array([c if 0x61 <= c <= 0x7A or c >= 0x80 else SEPARATOR for c in
 @dataclass
 class Model:
     languages: list[str]
-    slots: np.ndarray  # bitmask per slot, as wide as needed
+    slots: np.ndarray  # bitmask per slot, in as many words as needed
     false_rate: np.ndarray  # per language
 
 
@@ -74,6 +79,21 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[np.arange(begin[-1]) + np.repeat(first - begin[:-1], count)], begin
 
 
+def long_grams(text: bytes) -> Iterator[np.ndarray]:
+    """The n-grams of one text, as `grams` gives them, piece by piece: three bytes are kept for the next one."""
+    kept = np.array([SEPARATOR], np.uint8)  # the blank before the text
+    for start in range(0, len(text), SLICE):
+        piece = text[start : start + SLICE] + (b"\0" if start + SLICE >= len(text) else b"")
+        data = np.concatenate([kept[-1:], CLASSES[np.frombuffer(piece, np.uint8)]])
+        blank = data == SEPARATOR
+        kept = np.concatenate([kept, data[1:][~(blank[1:] & blank[:-1])]])
+        code = kept[: max(0, len(kept) - 3)].astype(np.uint32)
+        for i in (1, 2, 3):
+            code |= kept[i : len(code) + i].astype(np.uint32) << np.uint32(8 * i)
+        yield code
+        kept = kept[-3:]
+
+
 def places(codes: np.ndarray) -> Iterator[np.ndarray]:
     spread = codes ^ (codes >> np.uint32(15))
     for factor in FACTORS:
@@ -81,15 +101,21 @@ def places(codes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def sample(docs: DataFrame, rows: int) -> DataFrame:
-    """The first `rows` documents of each language by a hash of the id; only ids and languages are sorted."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    """text, lang of the first `rows` different documents of each language by a hash of id and text, for the most
+    frequent languages; only ids, hashes and languages are sorted."""
+    labelled = docs.filter(F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    mark = F.xxhash64("text").alias("_mark")
+    ids = labelled.select("lang", "doc_id", mark).distinct()
+    top = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).sort(F.desc("_n"), "lang").limit(MAX_LANGUAGES).select("lang")
+    order = [F.xxhash64("doc_id", "_mark"), F.col("doc_id"), F.col("_mark")]
     spread = Window.partitionBy("lang", "_bucket").orderBy(*order)  # so that no task sees more than BUCKETS * rows of a language
-    ids = labelled.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(BUCKETS)).alias("_bucket"))
-    few = ids.withColumn("_r", F.row_number().over(spread)).filter(F.col("_r") <= rows).select("lang", "doc_id")
+    dealt = ids.join(F.broadcast(top), "lang").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_mark", F.lit("bucket")), F.lit(BUCKETS)))
+    few = dealt.withColumn("_r", F.row_number().over(spread)).filter(F.col("_r") <= rows).drop("_r", "_bucket")
     picked = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("_r") <= rows)
-    keys = picked.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id")).distinct()  # `rows` per language at most
-    return labelled.join(F.broadcast(keys), (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keys = picked.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.col("_mark").alias("_key"))  # `rows` per language at most
+    same = (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_key"))
+    texts = labelled.select("lang", "doc_id", mark, "text").join(F.broadcast(keys), same, "left_semi")
+    return texts.groupBy("lang", "doc_id", "_mark").agg(F.min("text").alias("text")).select("text", "lang")  # repeated rows count once
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -107,51 +133,69 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     picked = sample(labelled.select("doc_id", "text", "lang"), rows)
     sizes = {r["lang"]: r["n"] for r in picked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
-    if len(languages) > 64:
-        raise ValueError("a mask holds at most 64 languages")
-    width = next(np.dtype(f"u{n}") for n in (1, 2, 4, 8) if 8 * n >= len(languages))
-    slots, false_rate = np.zeros(1 << SLOT_BITS, width), np.zeros(len(languages))
+    width = next((np.dtype(f"u{n}") for n in (1, 2, 4, 8) if 8 * n >= len(languages)), np.dtype("u8"))
+    bits = 8 * width.itemsize
+    slots, false_rate = np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // bits))), width), np.zeros(len(languages))
     if languages:
+        each = min(MAX_GRAMS, ALL_GRAMS // len(languages))
         found = picked.select("text", F.lower("text").alias("_l"), "lang").select(F.col("_l").alias("text"), "lang").mapInArrow(count, "lang string, gram bigint, n bigint")
-        size = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, float(n))])
-        share = found.groupBy("gram", "lang").agg((F.sum("n") / F.element_at(size, F.col("lang"))).alias("share")).filter(F.col("share") >= MIN_SHARE)
+        size = picked.sparkSession.createDataFrame(list(sizes.items()), "lang string, _size long")  # a row per language
+        share = found.groupBy("gram", "lang").agg(F.sum("n").alias("n")).join(F.broadcast(size), "lang")
+        share = share.select("gram", "lang", (F.col("n") / F.col("_size")).alias("share")).filter(F.col("share") >= MIN_SHARE)
         per_gram = share.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("s"))  # a row per language
         kept = per_gram.select("gram", "top", F.inline("s")).filter(F.col("share") >= RELATIVE * F.col("top"))
         best = Window.partitionBy("lang").orderBy(F.desc("share"), "gram")
-        kept = kept.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= MAX_GRAMS)
-        held = kept.select("lang", "gram").collect()  # at most MAX_GRAMS rows per language
+        kept = kept.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= each)
+        held = kept.select("lang", "gram").toArrow()  # at most ALL_GRAMS rows
+        names, gram = np.array(held.column("lang").to_pylist(), object), held.column("gram").to_numpy()
         for i, lang in enumerate(languages):
-            mine = np.array([r["gram"] for r in held if r["lang"] == lang], np.uint32)
-            for at in places(mine):
-                slots[np.unique(at)] |= width.type(1 << i)
-        fill = np.array([np.mean(slots >> width.type(i) & width.type(1)) for i in range(len(languages))])
+            for at in places(gram[names == lang].astype(np.uint32)):
+                slots[np.unique(at), i // bits] |= width.type(1 << i % bits)
+        fill = np.array([np.mean(slots[:, i // bits] >> width.type(i % bits) & width.type(1)) for i in range(len(languages))])
         false_rate = fill ** len(FACTORS)
     return Model(languages, slots, false_rate)
 
 
-def shares(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Per text and language, the corrected share of n-grams that the language contains."""
+def masks(model: Model, codes: np.ndarray) -> np.ndarray:
+    """Per n-gram, the set of all languages that contain it."""
+    out = model.slots[next(at := places(codes))]
+    for more in at:
+        out &= model.slots[more]
+    return out
+
+
+def shares(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Per text and language, the corrected share of n-grams that the language contains; and the number of n-grams."""
     hits, total = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
-    one = model.slots.dtype.type(1)
-    for start in range(0, max([len(t) for t in texts], default=0) or 1, SLICE):  # a longer text is read in pieces
-        codes, begin = grams([t[start : start + SLICE] for t in texts])
-        if not len(codes):
-            continue
-        masks = model.slots[next(at := places(codes))]
-        for more in at:
-            masks &= model.slots[more]
-        total += np.diff(begin)
-        some = np.flatnonzero(np.diff(begin))
+    bits, one = 8 * model.slots.dtype.itemsize, model.slots.dtype.type(1)
+
+    def add(codes: np.ndarray, rows: np.ndarray, begin: np.ndarray) -> None:
+        found = masks(model, codes)
         for i in range(len(model.languages)):
-            hits[some, i] += np.add.reduceat((masks >> model.slots.dtype.type(i)) & one, begin[some], dtype=np.int64)
+            hits[rows, i] += np.add.reduceat((found[:, i // bits] >> model.slots.dtype.type(i % bits)) & one, begin, dtype=np.int64)
+
+    short = [t if len(t) <= SLICE else b"" for t in texts]
+    codes, begin = grams(short)
+    number = np.diff(begin)
+    total += number
+    some = np.flatnonzero(number)
+    if len(some):
+        add(codes, some, begin[some])
+    for i in np.flatnonzero([len(t) > SLICE for t in texts]):
+        total[i] = 0
+        for codes in long_grams(texts[i]):
+            if len(codes):
+                total[i] += len(codes)
+                add(codes, np.array([i]), np.array([0]))
     rate = hits / np.maximum(total, 1)[:, None]
-    return np.clip((rate - model.false_rate) / np.maximum(1 - model.false_rate, 1e-9), 0, 1)
+    return np.clip((rate - model.false_rate) / np.maximum(1 - model.false_rate, 1e-9), 0, 1), total
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (default: doc_id) with lang_pred and score; only the text decides."""
+    """`keep` columns (default: doc_id) with lang_pred, score and n_grams; only the text decides. `keep` must not hold a
+    column of these names."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # 4 MB at most
+    shared = spark.sparkContext.broadcast(model)  # of a fixed size
     keep = ["doc_id"] if keep is None else keep
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(*keep, F.when(has_letter, F.lower("text")).alias("_lower"))
@@ -161,15 +205,15 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
         m = shared.value
         for batch in slices(batches, "_lower", SLICE):
             known = np.array(batch.column("_lower").is_valid()) & bool(m.languages)
-            lang, score = np.full(len(known), UNKNOWN, object), np.zeros(len(known))
+            lang, score, number = np.full(len(known), UNKNOWN, object), np.zeros(len(known)), np.zeros(len(known), np.int64)
             if known.any():
-                found = shares(m, utf8(batch.column("_lower").filter(pa.array(known))))
+                found, number[known] = shares(m, utf8(batch.column("_lower").filter(pa.array(known))))
                 lang[known] = np.array(m.languages, object)[found.argmax(axis=1)]
                 score[known] = found.max(axis=1)
-            out = [batch.column(c) for c in keep] + [pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(out, names=[*keep, "lang_pred", "score"])
+            out = [batch.column(c) for c in keep] + [pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(number, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, names=[*keep, "lang_pred", "score", "n_grams"])
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept_schema] + ["lang_pred string", "score double"])
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept_schema] + ["lang_pred string", "score double", "n_grams bigint"])
     return rows.mapInArrow(run, ddl)
 
 
@@ -183,7 +227,8 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return predict(docs, fit(docs.filter(~held_out())), keep)
 
 
-def rejected(lang_pred: str = "lang_pred", score: str = "score", text: str = "text") -> Column:
-    """Texts in no learned language: nothing to read, or hardly an n-gram that any language contains although the text is
-    long enough to tell."""
-    return (F.col(lang_pred) == UNKNOWN) | ((F.col(score) < MIN_SCORE) & (F.length(text) >= MIN_CHARS))
+def rejected(lang_pred: str = "lang_pred", score: str = "score", n_grams: str = "n_grams") -> Column:
+    """Texts in no learned language: nothing to read, or so few n-grams that any language contains among so many that the
+    share of these is below `MIN_SCORE` beyond doubt. The fewer n-grams a text has, the less it can show."""
+    surely = F.col(score) + F.sqrt(F.lit(math.log(1 / DOUBT) / 2) / F.greatest(F.col(n_grams), F.lit(1)))
+    return (F.col(lang_pred) == UNKNOWN) | (surely < MIN_SCORE)

@@ -428,7 +428,7 @@ def test_twins(spark, sf, name):
 
 def test_all_operators_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def test_native_plans_run_no_python(spark, sf):
@@ -477,3 +477,19 @@ def test_stages_keep_columns_and_odd_rows(spark, sf, odd_docs, no_docs):
             assert out.count() <= docs.count()
             if name != "tokens":
                 assert out.columns == docs.columns and out.dtypes == docs.dtypes
+
+
+def test_stages_carry_columns_of_any_name(spark, sf):
+    """Columns called like the operators' own, or with dots, come out as they went in, for each row that stays."""
+    docs = table(spark, sf, "documents").limit(60)
+    extra = {"_id": F.lit("i"), "_mark": F.lit("m"), "_rows": F.lit(7), "a.b": F.lit("dot"), "n_grams": F.lit(1), "lang_pred": F.lit("l"), "n_removed": F.lit(2), "kept_sha256": F.lit("k"), "_c0": F.lit(0), "hash": F.lit(9)}
+    wide = docs.select("*", *[c.alias(n) for n, c in extra.items()])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = {r["doc_id"]: tuple(r) for r in stage(spark, docs, sf).collect()}
+        out = stage(spark, wide, sf)
+        assert out.columns == wide.columns
+        got = {r["doc_id"]: (tuple(r)[: len(docs.columns)], tuple(r)[len(docs.columns) :]) for r in out.collect()}
+        assert {k: v[0] for k, v in got.items()} == plain, name
+        assert {v[1] for v in got.values()} == {("i", "m", 7, "dot", 1, "l", 2, "k", 0, 9)}, name
+    tokens = corpus_pipeline.STAGES[-1][1](spark, wide, sf)
+    assert sorted(map(tuple, tokens.collect())) == sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()))

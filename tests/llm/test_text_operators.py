@@ -1,5 +1,6 @@
 """Tokens, BPE, licenses and language identification against libraries, brute force and held-out labels."""
 
+import collections
 import hashlib
 import random
 import re
@@ -223,12 +224,12 @@ def test_filter_masks_equal_sets():
     codes, begin = language.grams([b"", b"the cat", b"12 die, katze!", b"", b"x"])
     assert list(np.diff(begin)) == [0, 9 - 3, 11 - 3, 0, 0] and len(codes) == 14
     assert (language.grams([b"die  katze"])[0] == codes[6:]).all()
-    model = language.Model(["de", "en"], np.zeros(1 << language.SLOT_BITS, np.uint8), np.zeros(2))
+    model = language.Model(["de", "en"], np.zeros((1 << language.SLOT_BITS, 1), np.uint8), np.zeros(2))
     for i, text in enumerate([b"die katze", b"the cat"]):
         for at in language.places(language.grams([text])[0]):
             model.slots[at] |= np.uint8(1 << i)
-    found = language.shares(model, [b"the cat", b"die katze", b"zzzzzzz"])
-    assert found[0, 1] == 1 and found[1, 0] == 1 and found[2].max() < 0.5
+    found, number = language.shares(model, [b"the cat", b"die katze", b"zzzzzzz"])
+    assert list(number) == [6, 8, 6] and found[0, 1] == 1 and found[1, 0] == 1 and found[2].max() < 0.5
 
 
 def test_op7_odd_rows(odd_docs, no_docs, spark):
@@ -239,3 +240,76 @@ def test_op7_odd_rows(odd_docs, no_docs, spark):
     assert {r["lang_pred"] for r in language.identify(unlabelled).collect()} == {"und"}
     assert language.identify(no_docs).collect() == []
     assert all(0 <= r["score"] <= 1 for r in language.identify(odd_docs).collect())
+
+
+@pytest.mark.parametrize("size", [7, 64])
+def test_long_texts_lose_no_ngram_between_pieces(monkeypatch, size):
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        text = bytes(rng.choice(np.frombuffer(b"abc  1\xc3\xa9", np.uint8), int(rng.integers(1, 300))))
+        monkeypatch.setattr(language, "SLICE", size)
+        parts = np.concatenate([*language.long_grams(text), np.zeros(0, np.uint32)])
+        assert (parts == language.grams([text])[0]).all()
+
+
+def sets_of(texts, lang_of):
+    """The n-grams of each language by the rules of the docstring, with plain sets."""
+    grams = lambda t: set(plain_grams(t))
+    langs = sorted(set(lang_of))
+    n = {x: lang_of.count(x) for x in langs}
+    count = {x: collections.Counter(g for t, y in zip(texts, lang_of) if y == x for g in grams(t)) for x in langs}
+    share = {x: {g: c / n[x] for g, c in count[x].items() if c / n[x] >= language.MIN_SHARE} for x in langs}
+    top = collections.defaultdict(float)
+    for x in langs:
+        for g, v in share[x].items():
+            top[g] = max(top[g], v)
+    return {x: set(sorted((g for g, v in share[x].items() if v >= language.RELATIVE * top[g]), key=lambda g: (-share[x][g], g))[: language.MAX_GRAMS]) for x in langs}
+
+
+def plain_grams(text):
+    clean = re.sub(rb"[\x00-\x60\x7b-\x7f]+", b" ", b" " + text.lower().encode() + b" ")
+    return [int.from_bytes(clean[i : i + 4], "little") for i in range(len(clean) - 3)]
+
+
+def test_op7_equals_plain_sets(spark, sf):
+    """The predictions are those of plain sets of n-grams; scores differ by the filters' false positives only."""
+    docs = table(spark, sf, "documents")
+    rows = docs.select("doc_id", "text", "lang", language.held_out().alias("held")).collect()
+    seen = {(r["doc_id"], r["text"], r["lang"]) for r in rows if not r["held"] and r["lang"] and r["text"] is not None}
+    assert max(collections.Counter(x[2] for x in seen).values()) <= language.SAMPLE_ROWS  # so that the sample is all of them
+    known = sets_of([x[1] for x in seen], [x[2] for x in seen])
+    got = {(r["doc_id"], r["text"]): r for r in language.identify(docs, ["doc_id", "text"]).collect()}
+    for r in rows:
+        found, text = got[r["doc_id"], r["text"]], r["text"]
+        if text is None or not re.search(r"[^\W\d_]", text):
+            assert (found["lang_pred"], found["score"]) == ("und", 0)
+            continue
+        mine = plain_grams(text)
+        want = {x: sum(g in s for g in mine) / max(len(mine), 1) for x, s in known.items()}
+        best = max(want.values())
+        assert found["n_grams"] == len(mine) and abs(found["score"] - best) < 0.05
+        assert want[found["lang_pred"]] > best - 0.05
+
+
+def test_op7_many_languages_and_null_ids(spark):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = {f"l{i:03d}": ["".join(rng.choice(letters, 6)) for _ in range(30)] for i in range(100)}
+    rows = [(None if i % 2 else i, " ".join(rng.choice(w, 40)), lang) for lang, w in words.items() for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.languages) == 100 and model.slots.shape[1] == 2
+    out = language.predict(docs, model, ["doc_id", "lang"]).collect()
+    assert len(out) == len(rows) and all(r["lang"] == r["lang_pred"] and r["score"] > 0.5 for r in out)
+
+
+def test_op7_sample_is_bounded_for_null_and_repeated_rows(spark):
+    same = spark.range(5_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("one text").alias("text"), F.lit("en").alias("lang"))
+    other = spark.range(5_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    assert language.sample(same.unionByName(other), 100).count() == 100 and language.sample(same, 100).count() == 1
+
+
+def test_short_texts_are_rejected_only_beyond_doubt(spark):
+    rows = [("en", 0.0, 10), ("en", 0.0, 300), ("en", 0.0, 400), ("en", 0.09, 10_000), ("en", 0.09, 100_000), ("en", 0.2, 10**6), ("und", 0.0, 0)]
+    df = spark.createDataFrame(rows, "lang_pred string, score double, n_grams bigint").withColumn("r", language.rejected())
+    assert [r["r"] for r in df.collect()] == [False, False, True, False, True, False, True]
