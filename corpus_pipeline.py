@@ -25,7 +25,12 @@ def _carried(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language identification; documents in no learned language go."""
+    """Language identification; documents in no learned language go.
+
+    Null texts and texts without letters are in no language and go. Empty and short texts of letters have too few n-grams
+    to tell and stay; long texts are read whole. Repeated rows and rows without an id are judged one by one. Ties go to
+    the first language by name, which changes nothing here. Other columns are carried under any name.
+    """
     model = language.fit(docs.filter(~language.held_out()).select("doc_id", "text", "lang"))
     rows, names = _carried(docs)
     found = language.predict(rows, model, rows.columns).filter(~language.rejected())
@@ -33,12 +38,22 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join; of each connected group the document with the smallest id and hash stays."""
-    return jaccard.keep_one(docs, jaccard.join(docs))
+    """N-gram Jaccard join; of each connected group the document with the smallest id and hash stays.
+
+    A null id is the smallest. Texts without words (null, empty) are only copies of themselves; of repeated rows one
+    stays; texts of fewer than five words are one shingle; long texts count whole. Other columns are carried.
+    """
+    rows, names = _carried(docs)
+    kept = jaccard.keep_one(rows, jaccard.join(rows))
+    return kept.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix-array dedup; bytes of strings that occur elsewhere go, `n_chars` follows the text."""
+    """Suffix-array dedup; bytes of strings that occur elsewhere go, `n_chars` follows the text.
+
+    A null text stays null; texts shorter than a passage stay as they are, even empty; a repeated row that is long enough
+    is a repetition and is emptied, no row goes. Long texts are treated whole. Other columns are carried.
+    """
     rows, names = _carried(docs)
     found = suffix.remove_repeats(rows, keep=rows.columns, with_text=True)
     text = F.when(F.col("text").isNotNull(), F.col("remaining"))
@@ -49,13 +64,20 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination; documents that hold an item go."""
-    return decontaminate.remove(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    """Benchmark decontamination; documents that hold an item go.
+
+    Texts without words (null, empty) are clean; of several rows of one id all go if one holds an item; an item without
+    words matches nothing; long texts are searched whole. Other columns are carried.
+    """
+    return decontaminate.remove(docs, decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding and decoding of what is left."""
-    return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY))
+    """BPE encoding and decoding of what is left, a row per row.
+
+    A null text counts as empty and has no tokens; long texts are encoded whole. Other columns are left out.
+    """
+    return bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [
