@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20  # text handled at once inside a task, however large an Arrow batch is
+SLICE_BYTES = 1 << 20  # text handled at once inside a task, however large an Arrow batch is
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,7 @@ class RollingHash:
         n = len(data)
         cls = RollingHash
         if cls._powers is None or len(cls._powers) < n:
-            size = 1 << max(22, n.bit_length())
+            size = 1 << max(20, n.bit_length())
             for name, base in (("_powers", BASE), ("_inverses", pow(BASE, -1, 1 << 64))):
                 p = np.full(size, np.uint64(base))
                 p[0] = 1

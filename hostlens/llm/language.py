@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import slices, utf8
+from hostlens.llm.common import slices
 
 SAMPLE_ROWS = 1_000  # per language
 BUCKETS = 64
@@ -79,6 +79,10 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[np.arange(begin[-1]) + np.repeat(first - begin[:-1], count)], begin
 
 
+def lowered(column: pa.Array) -> list[bytes]:
+    return [t.lower().encode() for t in column.to_pylist()]
+
+
 def long_grams(text: bytes) -> Iterator[np.ndarray]:
     """The n-grams of one text, as `grams` gives them, piece by piece: three bytes are kept for the next one."""
     kept = np.array([SEPARATOR], np.uint8)  # the blank before the text
@@ -123,7 +127,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
-            codes, begin = grams(utf8(batch.column("text")))
+            codes, begin = grams(lowered(batch.column("text")))
             names = np.array(batch.column("lang").to_pylist(), object)
             for lang in dict.fromkeys(names):
                 once = [np.unique(codes[begin[i] : begin[i + 1]]) for i in np.flatnonzero(names == lang)]
@@ -138,7 +142,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     slots, false_rate = np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // bits))), width), np.zeros(len(languages))
     if languages:
         each = min(MAX_GRAMS, ALL_GRAMS // len(languages))
-        found = picked.select("text", F.lower("text").alias("_l"), "lang").select(F.col("_l").alias("text"), "lang").mapInArrow(count, "lang string, gram bigint, n bigint")
+        found = picked.select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint")
         size = picked.sparkSession.createDataFrame(list(sizes.items()), "lang string, _size long")  # a row per language
         share = found.groupBy("gram", "lang").agg(F.sum("n").alias("n")).join(F.broadcast(size), "lang")
         share = share.select("gram", "lang", (F.col("n") / F.col("_size")).alias("share")).filter(F.col("share") >= MIN_SHARE)
@@ -198,16 +202,16 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     shared = spark.sparkContext.broadcast(model)  # of a fixed size
     keep = ["doc_id"] if keep is None else keep
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*keep, F.when(has_letter, F.lower("text")).alias("_lower"))
+    rows = docs.select(*keep, *([] if "text" in keep else ["text"]), has_letter.alias("_read"))
     kept_schema = rows.select(*keep).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, "_lower", SLICE):
-            known = np.array(batch.column("_lower").is_valid()) & bool(m.languages)
+        for batch in slices(batches, limit=SLICE):
+            known = batch.column("_read").to_numpy(zero_copy_only=False) & bool(m.languages)
             lang, score, number = np.full(len(known), UNKNOWN, object), np.zeros(len(known)), np.zeros(len(known), np.int64)
             if known.any():
-                found, number[known] = shares(m, utf8(batch.column("_lower").filter(pa.array(known))))
+                found, number[known] = shares(m, lowered(batch.column("text").filter(pa.array(known))))
                 lang[known] = np.array(m.languages, object)[found.argmax(axis=1)]
                 score[known] = found.max(axis=1)
             out = [batch.column(c) for c in keep] + [pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(number, pa.int64())]
