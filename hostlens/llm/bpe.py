@@ -34,7 +34,7 @@ from hostlens.llm.common import slices
 # Fixed value: the word pattern of the byte-level tokenizer; \s means Unicode white space there. Runs of letters come
 # first, since no other branch can match what they match, and runs never give characters back.
 PATTERN = r" ?\p{L}++|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}++"
-MEMORY_WORDS = 1 << 19  # about 100 MB
+MEMORY_WORDS = 1 << 17  # about 30 MB
 SHORT = 64  # bytes of a word that is worth remembering
 NEVER = 1 << 60
 
@@ -314,6 +314,7 @@ def round_trip(docs: DataFrame, path: str, keep: list[str] | None = None, with_v
             if with_values:
                 out |= {"ids": pa.array(values, pa.list_(pa.int64())), "decoded": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+        encoder.memory.clear()  # the worker goes on to other tasks
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
     more = ["ids array<bigint>", "decoded string"] if with_values else []

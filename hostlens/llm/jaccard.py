@@ -35,7 +35,7 @@ from hostlens.session import cut_lineage
 BANDS, ROWS = 32, 4
 STEP = 16  # MinHash values compared at a time
 TOLERANCE = 1e-7
-TASK_BYTES = 4 << 20  # text of a block
+TASK_BYTES = 2 << 20  # text of a block
 TASK_ROWS = 1024
 NO_ID = -(2**63)
 

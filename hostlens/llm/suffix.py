@@ -40,9 +40,9 @@ from hostlens.session import remove_dir, store
 
 LENGTH = 200
 GRAM = 16  # bytes of the fingerprints that choose anchors
-SLICE = 2 << 20
+SLICE = 1 << 20
 HOT = 8192  # contexts of one rank that a task may gather: 4 MB at most
-TASK_BYTES = 8 << 20
+TASK_BYTES = 2 << 20  # a task needs about a hundred times as much
 NO_ID = -(2**63)
 
 # A place in one long: first position (31 bits), anchor distance (8), positions (8), known (1)
