@@ -65,26 +65,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, np.uint64(base))
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
 class RollingHash:
     """Fingerprints of any byte ranges of one buffer, each in constant time (arithmetic modulo 2**64)."""
 
-    _powers = _inverses = None
+    KEPT = 1 << 20  # powers that a worker keeps for its next buffers; larger buffers make their own
+    _kept = None
 
     def __init__(self, data: np.ndarray, values: np.ndarray | None = None):
         n = len(data)
         cls = RollingHash
-        if cls._powers is None or len(cls._powers) < n:
-            size = 1 << max(20, n.bit_length())
-            for name, base in (("_powers", BASE), ("_inverses", pow(BASE, -1, 1 << 64))):
-                p = np.full(size, np.uint64(base))
-                p[0] = 1
-                setattr(cls, name, np.multiply.accumulate(p))
+        bases = BASE, pow(BASE, -1, 1 << 64)
+        if cls._kept is None:
+            cls._kept = [_powers(b, cls.KEPT) for b in bases]
+        powers, self.inverses = cls._kept if n <= cls.KEPT else [_powers(b, n) for b in bases]
         self.sums = np.zeros(n + 1, np.uint64)
         # bytes are spread over 64 bits first, else ranges with equal sums of neighbours would meet
-        np.cumsum((BYTE_VALUES[data] if values is None else values) * cls._powers[:n], out=self.sums[1:])
+        np.cumsum((BYTE_VALUES[data] if values is None else values) * powers[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * RollingHash._inverses[start])
+        return mix((self.sums[end] - self.sums[start]) * self.inverses[start])
 
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))

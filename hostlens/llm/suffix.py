@@ -68,7 +68,7 @@ def anchors(data: np.ndarray, text_end: np.ndarray, length: int):
     if n < length:
         none = np.zeros(0, np.int64)
         return hashed, none, none, none
-    short = mix((hashed.sums[GRAM:] - hashed.sums[:-GRAM]) * RollingHash._inverses[: n - GRAM + 1])
+    short = mix((hashed.sums[GRAM:] - hashed.sums[:-GRAM]) * hashed.inverses[: n - GRAM + 1])
     low = np.uint64(0xFFFFFFFF)
     best = (short & ~low) | np.arange(len(short), dtype=np.uint64)
     width = 1
