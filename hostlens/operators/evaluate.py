@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostlens import schemas as S
-from hostlens.operators import cascade, clean, metrics, summaries
+from hostlens.operators import cascade, clean, metrics, summaries, trees
 from hostlens.operators.joins import KEY, join_lookup, together
 from hostlens.operators.models import GRIDS, Detector, Fitted
 from hostlens.operators.splits import group_split, row_budget_split, stratified_folds
@@ -176,30 +176,48 @@ def compare_configs(df: DataFrame, features: list[str], arms: dict[str, Detector
     return union(outs)
 
 
-def feature_ablation(df: DataFrame, features: list[str], detector: Detector, repeats: int, k: int, drop: list[str] | None = None) -> DataFrame:
-    """Scores without each feature in turn, against all of them, on the same folds."""
-    ready = assign_folds(df, k, S.CV_SEED, repeats)
+def grown_together(df: DataFrame, sets: dict[int, list[str]], features: list[str], growth: trees.Growth, repeats: int, k: int, seed: int = S.CV_SEED) -> DataFrame:
+    """Held-out scores (config, repeat, fold, row_id, label, proba) of one model for each feature set and usable fold; all
+    are grown together over one binned table."""
+    ready = assign_folds(df, k, seed, repeats)
+    usable = [(x["repeat"], x["fold"]) for x in fold_facts(ready, repeats, k).filter("degenerate = 0 and n > 0").sort("repeat", "fold").collect()]
+    if not usable:
+        raise ValueError("every training fold has one class only")
+    table = trees.bin_table(ready, features, ["row_id", *[f"fold_{r}" for r in range(repeats)]])
+    place = {f: i for i, f in enumerate(features)}
+    members = [trees.Member(c, tuple(place[f] for f in cols), r, f) for c, cols in sets.items() for r, f in usable]
+    return cut_lineage(trees.held_out_scores(table, members, trees.grow(table, members, growth), growth, ["row_id"]))
+
 
-    def run(cols: list[str]) -> DataFrame:
-        tests, cutoffs, _ = cross_validate(ready, cols, detector, repeats, k, folds_ready=True)
-        return metrics.summarize(scores(decide(tests, cutoffs), ["repeat"]), [], ["f1", "auroc"])
+def set_scores(tests: DataFrame, cut: float = 0.5) -> DataFrame:
+    """Mean and deviation over the repeats of each config's pooled scores at a fixed cutoff."""
+    per = scores(tests.withColumn("pred", (F.col("proba") >= cut).cast("int")), ["config", "repeat"])
+    return metrics.summarize(per, ["config"], ["f1", "auroc"])
 
-    base = run(features).first()
-    rows = union([run([c for c in features if c != f]).select(
-        F.lit(f).alias("feature"), F.col("f1_mean").alias("f1_without"), F.col("auroc_mean").alias("auc_without")) for f in drop or features])
-    out = rows.withColumns({"delta_f1": F.col("f1_without") - F.lit(base["f1_mean"]), "delta_auc": F.col("auc_without") - F.lit(base["auroc_mean"])})
+
+def ablation_sets(features: list[str], drop: list[str] | None = None) -> dict[int, list[str]]:
+    """Config 0 has all features, config i + 1 lacks the i-th of them."""
+    return {0: list(features)} | {i + 1: [f for f in features if f != out] for i, out in enumerate(features) if out in (drop or features)}
+
+
+def feature_ablation(summary: DataFrame, features: list[str]) -> DataFrame:
+    """Scores without each feature in turn, against all of them: a report over `set_scores` of `ablation_sets`."""
+    names = summary.sparkSession.createDataFrame([(i + 1, f) for i, f in enumerate(features)], "config int, feature string")
+    base = summary.filter("config = 0").select(F.struct("f1_mean", "auroc_mean")).scalar()
+    out = summary.join(F.broadcast(names), "config").select(
+        "feature", F.col("f1_mean").alias("f1_without"), F.col("auroc_mean").alias("auc_without"),
+        (F.col("f1_mean") - base["f1_mean"]).alias("delta_f1"), (F.col("auroc_mean") - base["auroc_mean"]).alias("delta_auc"))
     return summaries.ablation_tags(out).orderBy("delta_f1", "feature")
 
 
-def reduced_comparison(df: DataFrame, features: list[str], ablation: DataFrame, detector: Detector, repeats: int, k: int) -> DataFrame:
-    """All features against only those the ablation found important (all if it found none)."""
-    important = [r["feature"] for r in ablation.filter("tag = 'important'").collect()]
-    kept = [f for f in features if f in set(important)] or list(features)
-    outs = []
-    for name, cols in (("full", list(features)), ("reduced", kept)):
-        row = metrics.summarize(repeated_cv(df, cols, detector, repeats, k), [], ["f1", "auroc"])
-        outs.append(row.select(F.lit(name).alias("feature_set"), F.lit(len(cols)).alias("n_features"), "f1_mean", "f1_std", "auroc_mean", "auroc_std"))
-    return union(outs)
+def reduced_comparison(df: DataFrame, features: list[str], summary: DataFrame, growth: trees.Growth, repeats: int, k: int) -> DataFrame:
+    """All features against only those that the ablation found important (all if it found none)."""
+    important = {r["feature"] for r in feature_ablation(summary, features).filter("tag = 'important'").collect()}  # a row per feature
+    kept = [f for f in features if f in important] or list(features)
+    full = summary.filter("config = 0")
+    reduced = full if len(kept) == len(features) else set_scores(grown_together(df, {0: kept}, features, growth, repeats, k))
+    cols = ["f1_mean", "f1_std", "auroc_mean", "auroc_std"]
+    return union([t.select(F.lit(name).alias("feature_set"), F.lit(n).alias("n_features"), *cols) for name, n, t in (("full", len(features), full), ("reduced", len(kept), reduced))])
 
 
 def importances(df: DataFrame, features: list[str], detector: Detector, repeats: int, k: int) -> DataFrame:

@@ -12,6 +12,7 @@ from hostlens import schemas as S
 from hostlens.functions.columns import hash_fraction
 from hostlens.operators import cascade, clean, errors, evaluate, metrics, models, summaries
 from hostlens.operators.models import Detector
+from hostlens.operators.trees import Growth
 from hostlens.plans import views as V
 from hostlens.plans.catalogue import query
 from hostlens.session import application_dir, cut_lineage
@@ -21,6 +22,8 @@ GBT = Detector("gbt", {"maxIter": 6, "maxDepth": 4, "stepSize": 0.3})
 MLP = Detector("mlp", {"hidden": [16, 8], "maxIter": 15})
 FOREST = Detector("iforest", {"trees": 60, "sample": 128})
 FEATS = S.FEATURES
+ABLATION = Growth(trees=12, depth=6)
+BOOSTED = Growth(trees=30, depth=6, boosted=True, rate=0.2, row_share=0.8, node_features=0.8, min_child_weight=5.0)
 FOLDS = 3
 ABLATION_FOLDS = 5
 
@@ -95,16 +98,27 @@ def head_to_head(spark, sf_dir):
     return evaluate.compare_configs(prepared(spark, sf_dir), FEATS, {"gbt": GBT, "mlp": MLP}, 1, 2)
 
 
+def ablation_scores(spark, sf_dir):
+    """Held-out scores of all feature sets, written once for every report over them."""
+    build = lambda spark, sf_dir: evaluate.grown_together(prepared(spark, sf_dir), evaluate.ablation_sets(FEATS), FEATS, ABLATION, 1, ABLATION_FOLDS)
+    return V.stored(spark, sf_dir, "ablation", build)
+
+
 @query("feature_ablation")
 def feature_ablation(spark, sf_dir):
-    return evaluate.feature_ablation(prepared(spark, sf_dir), FEATS, RF, 1, ABLATION_FOLDS)
+    return evaluate.feature_ablation(evaluate.set_scores(ablation_scores(spark, sf_dir)), FEATS)
+
+
+def _scored_facts(tests):
+    return tests.groupBy("config", "repeat", "fold").agg(
+        F.count(F.lit(1)).alias("n_scored"), F.count_distinct("row_id").alias("n_rows"), F.sum(F.col("label").cast("bigint")).alias("n_scored_pos"),
+        F.min(F.col("proba").between(0, 1).cast("int")).alias("in_range"))
 
 
 @query("reduced_features")
 def reduced_features(spark, sf_dir):
-    rows = prepared(spark, sf_dir)
-    tags = evaluate.feature_ablation(rows, FEATS, RF, 1, ABLATION_FOLDS)
-    return evaluate.reduced_comparison(rows, FEATS, tags, RF, 1, ABLATION_FOLDS)
+    summary = cut_lineage(evaluate.set_scores(ablation_scores(spark, sf_dir)))
+    return evaluate.reduced_comparison(prepared(spark, sf_dir), FEATS, summary, ABLATION, 1, ABLATION_FOLDS)
 
 
 @query("importance")
@@ -262,6 +276,33 @@ def gbt_cv_facts(spark, sf_dir):
     return _facts(spark, sf_dir, GBT, 1, FOLDS)
 
 
+def _set_facts_sql(configs: int) -> str:
+    facts = _facts_sql(1, ABLATION_FOLDS, S.CV_SEED)
+    return f"SELECT config::INT AS config, repeat, fold, n_scored, n_rows, n_scored_pos, in_range FROM ({facts}) f, range({configs}) c(config)"
+
+
+@query("ablation_facts", _set_facts_sql(len(FEATS) + 1))
+def ablation_facts(spark, sf_dir):
+    """Every row of every fold is scored exactly once by the model of each feature set."""
+    return _scored_facts(ablation_scores(spark, sf_dir))
+
+
+def boosted_scores(spark, sf_dir):
+    build = lambda spark, sf_dir: evaluate.grown_together(prepared(spark, sf_dir), {0: FEATS}, FEATS, BOOSTED, 1, ABLATION_FOLDS)
+    return V.stored(spark, sf_dir, "boosted", build)
+
+
+@query("second_order_cv")
+def second_order_cv(spark, sf_dir):
+    """Boosting with second-order gain, L2, minimum child weight, row and column sampling and weighted positives."""
+    return evaluate.set_scores(boosted_scores(spark, sf_dir))
+
+
+@query("second_order_facts", _set_facts_sql(1))
+def second_order_facts(spark, sf_dir):
+    return _scored_facts(boosted_scores(spark, sf_dir))
+
+
 @query("model_roundtrip", V.sql(V.FEATURES, "SELECT model, count(*) AS n_rows, 0.0::DOUBLE AS max_difference FROM features, (VALUES ('rf'), ('gbt'), ('mlp'), ('iforest')) m(model) GROUP BY model"))
 def model_roundtrip(spark, sf_dir):
     """Models fitted on everything, saved, loaded and compared with the ones in memory."""
