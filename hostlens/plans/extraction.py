@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from hostlens.functions.columns import hash_fraction
 from hostlens.operators import clean, cumulative, process, sequence
 from hostlens.plans import views as V
 from hostlens.plans.catalogue import query
-from hostlens.session import cut_lineage
+from hostlens.session import application_dir, cut_lineage
 from hostlens.sources import audit
 from hostlens.sources.tables import read_events, write_table
+from hostlens.streaming.rollup import run_sessions
 
 # --- audit text, written from the events table and parsed back -----------------------------------------
 
@@ -111,6 +114,51 @@ def audit_parse(spark, sf_dir):
     return parsed(spark, sf_dir)
 
 
+def scanned(spark, sf_dir) -> DataFrame:
+    """The same lines written as a tree of audit.log files, scanned and parsed."""
+    root = f"{application_dir(spark)}/tree-{uuid.uuid4().hex}"
+    audit.write_audit_tree(audit_lines(spark, sf_dir), root)
+    lines = audit.numbered_lines(spark, root).withColumn("file", F.substring_index("file", root.rsplit("/", 1)[-1], -1))
+    return audit.tag_origin(audit.parse_lines(lines), "feed")
+
+
+@query("audit_scan", V.sql(LINES + """, numbers AS (SELECT file, line_no, row_number() OVER (PARTITION BY file ORDER BY line_no) AS number FROM lines)""", """SELECT p.* REPLACE (n.number AS line_no), 'feed' AS source FROM parsed p JOIN numbers n USING (file, line_no)"""))
+def audit_scan(spark, sf_dir):
+    return scanned(spark, sf_dir)
+
+
+SESSION_GAP_HOURS = 6
+SESSION_FILES = 6
+_SESSIONS = V.FEATURES.replace("), grouped AS (", f"""), starts AS (
+  SELECT *, coalesce("timestamp" - lag("timestamp") OVER w > {SESSION_GAP_HOURS * 3600}, true)::INT AS is_start FROM clean WINDOW w AS (PARTITION BY source, scenario, host, pid ORDER BY "timestamp")
+), sess AS (
+  SELECT *, sum(is_start) OVER (PARTITION BY source, scenario, host, pid ORDER BY "timestamp") AS session FROM starts
+), grouped AS (""").replace("FROM clean GROUP BY source, scenario, host, pid HAVING", "FROM sess GROUP BY source, scenario, host, pid, session HAVING").replace(
+    "SELECT source, scenario, host, pid, greatest(", "SELECT source, scenario, host, pid, min(us) AS session_us, g.greatest(").replace("g.greatest(", "greatest(").replace(
+    "SELECT g.source, g.scenario,", "SELECT g.session_us, g.ppid, g.source, g.scenario,")
+
+
+@query("session_features", V.sql(_SESSIONS, "SELECT * EXCLUDE (parent_child_rarity) FROM features"))
+def session_features(spark, sf_dir):
+    """The roll-up on a stream: files that arrive in order, several micro-batches, a stop and a restart from the checkpoint."""
+    folder = f"{application_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = cut_lineage(V.labeled_events(spark, sf_dir).drop("us", "user_id", "k", "event_type", "value"))
+    low, high = events.agg(F.min("timestamp"), F.max("timestamp")).first()
+    if low is None:
+        low = high = 0.0
+    width = (high - low) / SESSION_FILES + 1e-3
+    for half in (range(SESSION_FILES // 2), range(SESSION_FILES // 2, SESSION_FILES)):
+        for i in half:
+            part = events.filter((F.col("timestamp") >= low + i * width) & (F.col("timestamp") < low + (i + 1) * width))
+            part.coalesce(1).write.mode("append").parquet(f"{folder}/in")  # what arrived in one interval
+        if half.stop == SESSION_FILES:  # an event far ahead closes the last sessions; its own stays open
+            last = events.limit(1).withColumns({"timestamp": F.lit(high + 100 * 3600 * SESSION_GAP_HOURS), "pid": F.lit(-1).cast("bigint")})
+            last.write.mode("append").parquet(f"{folder}/in")
+        run_sessions(spark, events.schema, f"{folder}/in", f"{folder}/out", f"{folder}/state", f"{SESSION_GAP_HOURS} hours")
+    found = spark.read.parquet(f"{folder}/out")
+    return found.select(F.unix_micros("session_start").alias("session_us"), *[c for c in found.columns if c != "session_start"])
+
+
 @query("scenario_family", V.sql(LINES, r"""SELECT regexp_replace(scenario, '-[\d_]+$', '') AS family, count(DISTINCT scenario) AS n_trials,
   count(*) AS n_records FROM parsed GROUP BY 1"""))
 def scenario_families(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hostlens import schemas as S
@@ -12,6 +14,8 @@ from hostlens.plans.catalogue import query
 from hostlens.plans.profiling import features, melted
 from hostlens.plans.scoring import oof, ratio
 from hostlens.plans.splitting import rounded
+from hostlens.session import application_dir, cut_lineage
+from hostlens.sources.batches import read_batches, write_batches
 from hostlens.sources.tables import pending, resolve_alias
 
 FEATS = V.WIDE_FEATURES
@@ -205,6 +209,31 @@ def resume_antijoin(spark, sf_dir):
     return pending(todo, todo.filter(hash_fraction(14, "row_id") < 0.6), ["row_id"])
 
 
+class Stopped(Exception):
+    """A run that ends early."""
+
+
+@query("resumable_batches", V.sql(CONTRA, "SELECT row_id, label, proba_xgb FROM (SELECT row_id, true_label AS label, proba_xgb FROM contra)"))
+def resumable_batches(spark, sf_dir):
+    """The contradictions written in batches by three runs: one stops before a commit, one behind a commit, one ends."""
+    todo = cut_lineage(triage.contradictions(oof(spark, sf_dir)).select("row_id", F.col("true_label").alias("label"), "proba_xgb"))
+    path = f"{application_dir(spark)}/batches-{uuid.uuid4().hex}"
+
+    def stop_at(where):
+        def stop(step, batch):
+            if (step, batch) == where:
+                raise Stopped(where)
+
+        return stop
+
+    for where in (("staged", 1), ("committed", 2), None):
+        try:
+            write_batches(todo, path, ["row_id"], 4, stop=stop_at(where))
+        except Stopped:
+            continue
+    return read_batches(spark, path)
+
+
 def _strategy(name, vote):
     tp, hit = f"count(*) FILTER (true_label = 1 AND v = 1)", "count(*) FILTER (true_label = v)"
     return f"""SELECT '{name}' AS strategy, count(*) AS n, {ratio(hit, 'count(*)')} AS accuracy, {ratio(tp, 'count(*) FILTER (v = 1)')} AS "precision",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostlens import schemas as S
@@ -30,13 +30,50 @@ def scan_audit_logs(spark: SparkSession, folder: str) -> DataFrame:
     `line_no` rises with the position in a file whatever the split size: block start, then the running id
     of the scan task. It is a property of the scan, so write it out before any shuffle relies on it twice.
     """
-    raw = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "audit.log").text(folder)
-        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
-    )
-    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     # the id restarts per task at a multiple of 2^33; blocks of one file are ordered by their byte offset
-    return raw.select("value", "file", (F.col("_block") * 2 + within).alias("line_no"))
+    return _scan(spark, folder).select("value", "file", (F.col("_block") * 2 + F.col("_within")).alias("line_no"))
+
+
+def _scan(spark: SparkSession, folder: str) -> DataFrame:
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_within")
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "audit.log").text(folder)
+    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), within)
+
+
+def numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """All `audit.log` lines under `folder` as (value, file, line_no) with line_no the line's number in its file, from 1.
+
+    A file may be cut into blocks that different tasks read: the lines of each block are counted, and a running sum over
+    the blocks of a file, of which there are few, says how many lines stand before each.
+    """
+    lines = cut_lineage(_scan(spark, folder))
+    blocks = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_within").alias("_first"))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    placed = join_groups(lines, starts, ["file", "_block"], "_n", ["_within"])
+    return placed.select("value", "file", (F.col("_before") + F.col("_within") - F.col("_first") + 1).alias("line_no"))
+
+
+def write_audit_tree(lines: DataFrame, root: str) -> None:
+    """Write (value, file, line_no) as text files at `root` + file, in the order of line_no.
+
+    Spark writes a folder per file, and each is then renamed to its place: one metadata operation a file.
+    """
+    spark = lines.sparkSession
+    names = [r["file"] for r in lines.select("file").distinct().sort("file").collect()]  # a row per file
+    slots = spark.createDataFrame(list(enumerate(names)), "slot int, file string")
+    staged = f"{root.rstrip('/')}/_staged"
+    dealt = lines.join(F.broadcast(slots), "file").repartition("slot").sortWithinPartitions("slot", "line_no")
+    dealt.select("value", "slot").write.partitionBy("slot").mode("overwrite").text(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for slot, name in enumerate(names):
+        (part,) = [f.getPath() for f in fs.listStatus(path(f"{staged}/slot={slot}")) if f.getPath().getName().startswith("part-")]
+        target = path(f"{root.rstrip('/')}{name}")
+        fs.mkdirs(target.getParent())
+        if not fs.rename(part, target):
+            raise OSError(f"{target} could not be written")
+    fs.delete(path(staged), True)
 
 
 def scan_sources(spark: SparkSession, root: str, scenario_globs: list[str], selected: list[str] | None = None) -> DataFrame:

@@ -5,8 +5,9 @@ A session closes after `gap` without events, so a reused pid starts a new proces
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hostlens import schemas as S
 from hostlens.operators.process import PROCESS_KEY, rollup_aggregates, rollup_projection
@@ -25,3 +26,14 @@ def stream_process_features(events: DataFrame, gap: str = "10 minutes", late: st
     grouped = timed.groupBy(session, *PROCESS_KEY).agg(*rollup_aggregates(list(order)), calls)
     return grouped.filter(F.col("n") >= min_events).select(
         F.col("session.start").alias("session_start"), *PROCESS_KEY, *rollup_projection(F.col("n_calls")))
+
+
+def run_sessions(spark: SparkSession, schema: StructType, source: str, sink: str, checkpoint: str, gap: str = "10 minutes", late: str = "5 minutes",
+                 files_a_batch: int = 1, min_events: int = S.MIN_EVENTS) -> None:
+    """Process all files that `source` holds by now, in micro-batches, and stop; the next run goes on from the checkpoint.
+
+    The file sink records each batch once, so a batch that is repeated after a failure does not appear twice.
+    """
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+    done = stream_process_features(events, gap, late, min_events).writeStream.format("parquet").outputMode("append")
+    done.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink).awaitTermination()
