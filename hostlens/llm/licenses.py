@@ -13,11 +13,13 @@ result. Other columns of the input are not read.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -69,22 +71,33 @@ class Notice:
         return cls(label, raw, k, seeds, grams, regex.compile(rb"(?b)(?:%s){e<=%d}" % (regex.escape(raw), k)))
 
     def find(self, words: bytes, spots: Iterable[int]) -> list[tuple[int, int, int]]:
-        """(start, end, edits) of the matches near the places where a seed says that the notice begins."""
-        regions: list[list[int]] = []
+        """(start, end, edits) of the matches near the places where a seed says that the notice begins.
+
+        Places that lie closer than the allowed edits share a window, whose best match is one candidate; a window is
+        hardly longer than the notice, so the work is linear in the places. Of overlapping candidates the one with the
+        fewest edits stays, then the first.
+        """
+        windows: list[list[int]] = []
         for at in sorted(set(spots)):
-            a, b = max(0, at - self.edits), min(len(words), at + len(self.text) + self.edits)
-            if regions and a <= regions[-1][1]:
-                regions[-1][1] = max(b, regions[-1][1])
+            if windows and at - windows[-1][0] <= self.edits:
+                windows[-1][1] = at
             else:
-                regions.append([a, b])
-        found = []
-        for a, b in regions:
+                windows.append([at, at])
+        found = set()
+        for first, last in windows:
+            a, b = max(0, first - self.edits), min(len(words), last + len(self.text) + self.edits)
             region = words[a:b]
             if sum(map(region.__contains__, self.grams)) < len(self.grams) - GRAM * self.edits:
                 continue
-            for m in self.pattern.finditer(words, a, b):
-                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-        return found
+            m = self.pattern.search(words, a, b)
+            if m:
+                found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        kept: list[tuple[int, int, int]] = []  # by start, never overlapping
+        for edits, start, end in sorted(found):
+            i = bisect.bisect(kept, (start, end, edits))
+            if (i == 0 or kept[i - 1][1] <= start) and (i == len(kept) or end <= kept[i][0]):
+                kept.insert(i, (start, end, edits))
+        return kept
 
 
 class Scanner:
@@ -140,11 +153,12 @@ def base_places(words: bytes, phrases: list[tuple[str, str]] = PHRASES) -> list[
 def scan_text(text: bytes, ready: Scanner) -> tuple:
     words = normalise(text)
     n_words = words.count(b" ") + 1 if words else 0
-    word_at = lambda at: words.count(b" ", 0, at)
-    base = base_places(words)
-    starts = [word_at(at) for at, _ in base]
+    base, near = base_places(words), list(ready.find(words))
+    blanks = np.flatnonzero(np.frombuffer(words, np.uint8) == 0x20) if base or near else ()
+    word_at = lambda at: int(np.searchsorted(blanks, at))
+    starts = [word_at(at) for at in {min(base)[0], max(base)[0]}] if base else []
     spans, score = [], 1.0 if base else 0.0
-    for notice, a, b, edits in ready.find(words):
+    for notice, a, b, edits in near:
         piece = words[a:b]
         lead = len(piece) - len(piece.lstrip())
         spans.append({"label": notice.label, "first_word": word_at(a + lead), "n_words": piece.strip().count(b" ") + 1, "edits": edits})

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -197,6 +198,36 @@ def test_fuzzy_search_misses_nothing():
         assert found == (edits_within(words, notice.text, notice.edits) <= notice.edits)
 
 
+def test_repeated_notices_are_all_reported():
+    ready = licenses.scanner(tuple(licenses.NOTICES), licenses.ERROR_RATE)
+    both = licenses.normalise(b"relesed under the mit license released under the mit license")
+    assert [x[1:] for x in ready.find(both)] == [(0, 29, 1), (30, 60, 0)]
+    rnd = random.Random(6)
+    for _ in range(30):
+        notice = rnd.choice(ready.notices)
+        texts = []
+        for _ in range(rnd.randrange(2, 6)):
+            text = bytearray(notice.text)
+            for _ in range(rnd.randrange(notice.edits + 1)):
+                text[rnd.randrange(len(text))] = ord("q")
+            texts.append(bytes(text))
+        words = b" ".join(texts)
+        found = [(a, b) for n, a, b, _ in ready.find(words) if n is notice]
+        assert len(found) == len(texts) and all(abs(a - i * (len(notice.text) + 1)) <= notice.edits for i, (a, _) in enumerate(found))
+
+
+@pytest.mark.parametrize("phrase", [b"mit license ", b"released under the mit license ", b"the gnu general public "])
+def test_scan_is_linear_in_the_text(phrase):
+    ready = licenses.scanner(tuple(licenses.NOTICES), licenses.ERROR_RATE)
+    times = []
+    for n in (5_000, 40_000):
+        start = time.process_time()
+        out = licenses.scan_text(phrase * n, ready)
+        times.append(time.process_time() - start)
+        assert out[0] == n * len(phrase.split())
+    assert times[1] < 20 * times[0] + 0.5  # eight times the text
+
+
 def test_op8_odd_rows(odd_docs, no_docs):
     assert licenses.scan(no_docs).collect() == []
     r = {x["doc_id"]: x for x in licenses.scan(odd_docs).collect()}[4]
