@@ -55,19 +55,17 @@ def false_alarm_effect(df: DataFrame, features: list[str], model: str, label: st
 
 
 def disagreement(df: DataFrame, features: list[str], pairs: list[tuple[str, str]], label: str = "true_label") -> DataFrame:
-    """For each pair of models, the rows only one of them gets right: counts and feature means both ways."""
-    out = None
+    """For each pair of models, the rows only one of them gets right: counts and feature means both ways; one scan for all pairs."""
+    each = []
     for a, b in pairs:
         ok_a, ok_b = F.col(f"pred_{a}") == F.col(label), F.col(f"pred_{b}") == F.col(label)
         tag = F.when(~ok_a & ok_b, "b_only").when(ok_a & ~ok_b, "a_only")
-        m = _by_feature(df, features, tag)
-        only_a, only_b = F.col("_tag") == "a_only", F.col("_tag") == "b_only"
-        part = m.groupBy("feature").agg(
-            F.count_if(only_b).alias("n_a_wrong_b_right"), F.count_if(only_a).alias("n_a_right_b_wrong"),
-            F.avg(F.when(only_b, F.col("value"))).alias("a_wrong_b_right_mean"), F.avg(F.when(only_a, F.col("value"))).alias("a_right_b_wrong_mean"),
-        ).select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+        each.append(F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), tag.alias("_tag")))
+    tagged = df.select(*features, F.inline(F.array(*each))).filter(F.col("_tag").isNotNull())
+    only_a, only_b = F.col("_tag") == "a_only", F.col("_tag") == "b_only"
+    return melt(tagged, ["model_a", "model_b", "_tag"], features).groupBy("model_a", "model_b", "feature").agg(
+        F.count_if(only_b).alias("n_a_wrong_b_right"), F.count_if(only_a).alias("n_a_right_b_wrong"),
+        F.avg(F.when(only_b, F.col("value"))).alias("a_wrong_b_right_mean"), F.avg(F.when(only_a, F.col("value"))).alias("a_right_b_wrong_mean"))
 
 
 def newly_missed(df: DataFrame, baseline: str, augmented: str, label: str = "true_label") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostlens import schemas as S
-from hostlens.operators import cascade, clean, metrics, summaries, trees
+from hostlens.operators import cascade, clean, metrics, network, summaries, trees
 from hostlens.operators.joins import KEY, join_lookup, together
 from hostlens.operators.models import GRIDS, Detector, Fitted
 from hostlens.operators.splits import group_split, row_budget_split, stratified_folds
@@ -189,6 +189,19 @@ def grown_together(df: DataFrame, sets: dict[int, list[str]], features: list[str
     return cut_lineage(trees.held_out_scores(table, members, trees.grow(table, members, growth), growth, ["row_id"]))
 
 
+def trained_together(df: DataFrame, features: list[str], spec: network.Spec, repeats: int, k: int, seed: int = S.CV_SEED) -> tuple[DataFrame, DataFrame]:
+    """(test scores, cutoff scores) of the weighted networks of all usable folds; cutoffs are chosen on the held-out groups."""
+    ready = assign_folds(df, k, seed, repeats)
+    usable = [(x["repeat"], x["fold"]) for x in fold_facts(ready, repeats, k).filter("degenerate = 0 and n > 0").sort("repeat", "fold").collect()]
+    if not usable:
+        raise ValueError("every training fold has one class only")
+    table = network.lay_out(ready, features, ["row_id", *[f"fold_{r}" for r in range(repeats)]], spec)
+    members = [trees.Member(0, tuple(range(len(features))), r, f) for r, f in usable]
+    nets = network.fit(table, members, len(features), spec)
+    tests, cutoffs = (cut_lineage(network.member_scores(table, members, nets, spec, ["row_id"], held)) for held in (False, True))
+    return tests, cutoffs
+
+
 def set_scores(tests: DataFrame, cut: float = 0.5) -> DataFrame:
     """Mean and deviation over the repeats of each config's pooled scores at a fixed cutoff."""
     per = scores(tests.withColumn("pred", (F.col("proba") >= cut).cast("int")), ["config", "repeat"])

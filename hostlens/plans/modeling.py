@@ -12,6 +12,7 @@ from hostlens import schemas as S
 from hostlens.functions.columns import hash_fraction
 from hostlens.operators import cascade, clean, errors, evaluate, metrics, models, summaries
 from hostlens.operators.models import Detector
+from hostlens.operators.network import Spec
 from hostlens.operators.trees import Growth
 from hostlens.plans import views as V
 from hostlens.plans.catalogue import query
@@ -24,6 +25,7 @@ FOREST = Detector("iforest", {"trees": 60, "sample": 128})
 FEATS = S.FEATURES
 ABLATION = Growth(trees=12, depth=6)
 BOOSTED = Growth(trees=30, depth=6, boosted=True, rate=0.2, row_share=0.8, node_features=0.8, min_child_weight=5.0)
+NETWORK = Spec(epochs=12, steps=4, rate=0.01)
 FOLDS = 3
 ABLATION_FOLDS = 5
 
@@ -303,6 +305,27 @@ def second_order_facts(spark, sf_dir):
     return _scored_facts(boosted_scores(spark, sf_dir))
 
 
+def network_scores(spark, sf_dir, part):
+    """Test scores and cutoff scores of the weighted networks; both are written by one training."""
+    def build(spark, sf_dir):
+        tests, cutoffs = evaluate.trained_together(prepared(spark, sf_dir), FEATS, NETWORK, 1, ABLATION_FOLDS)
+        return tests.withColumn("part", F.lit("test")).unionByName(cutoffs.withColumn("part", F.lit("cutoff")))
+
+    return V.stored(spark, sf_dir, "network", build).filter(F.col("part") == part).drop("part")
+
+
+@query("weighted_network_cv")
+def weighted_network_cv(spark, sf_dir):
+    """Dense networks with class weights, batch norm, dropout and early stopping, cutoffs from held-out groups."""
+    decided = evaluate.decide(network_scores(spark, sf_dir, "test"), network_scores(spark, sf_dir, "cutoff"))
+    return evaluate.scores(decided, ["repeat"])
+
+
+@query("weighted_network_facts", _set_facts_sql(1))
+def weighted_network_facts(spark, sf_dir):
+    return _scored_facts(network_scores(spark, sf_dir, "test"))
+
+
 @query("model_roundtrip", V.sql(V.FEATURES, "SELECT model, count(*) AS n_rows, 0.0::DOUBLE AS max_difference FROM features, (VALUES ('rf'), ('gbt'), ('mlp'), ('iforest')) m(model) GROUP BY model"))
 def model_roundtrip(spark, sf_dir):
     """Models fitted on everything, saved, loaded and compared with the ones in memory."""
