@@ -5,7 +5,8 @@ A message is (turn, role, text); a side is the ordered bag of its messages. The
 message, in the order (turn, role, text), that the two sides do not hold equally often. Where turn numbers are unique
 in a conversation this is the longest common prefix of turns. It needs two aggregations with map-side combining and
 one join that spreads a pair over its messages, so neither a very long conversation nor one with very many copies is
-gathered in one task; `assemble`, which builds whole strings, is for conversations that fit in a row.
+gathered in one task. `place` orders the segments of each part and tells where they stand in its text; `assemble`, which
+builds whole strings, is for conversations that fit in a row.
 
 Defined cases: a null role or text counts as empty, a null turn comes before all others; a message that is repeated
 counts as often as it stands there; a pair with only one side has an empty prompt; pairs whose sides are equal have
@@ -14,9 +15,11 @@ empty completions; an empty table gives an empty result. Only the named columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostlens.session import cut_lineage
+
 TRAINED_ROLE = "assistant"
 KEY = ["turn", "role", "text"]
 
@@ -68,19 +71,31 @@ def neighbours(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.floor(F.col("conv_id") / 2).cast("bigint").alias("pair_id"), F.coalesce(even, F.lit(True)).alias("chosen"), "turn", "role", "text")
 
 
-def digest(segments: DataFrame) -> DataFrame:
-    """One row per pair: counts, lengths, and an order-free sum of the fingerprints of all segments."""
-    mark = F.concat_ws("|", "part", F.coalesce(F.col("turn").cast("string"), F.lit("")), F.when(F.col("trained"), "1").otherwise("0"), "rendered")
-    print_ = F.conv(F.substring(F.md5(mark), 1, 8), 16, 10).cast("bigint") * F.col("copies")
-    n = lambda part: F.coalesce(F.sum(F.when(F.col("part") == part, F.col("copies"))), F.lit(0)).alias(f"n_{part}")
-    size = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.length("rendered") * F.col("copies"))), F.lit(0)).alias(name)
-    part = F.col("part")
-    return segments.groupBy("pair_id").agg(
-        n("prompt"), n("chosen"), n("rejected"),
-        size(part == "prompt", "prompt_chars"), size(part == "chosen", "chosen_chars"), size(part == "rejected", "rejected_chars"),
-        size(F.col("trained") & (part == "chosen"), "chosen_trained_chars"), size(F.col("trained") & (part == "rejected"), "rejected_trained_chars"),
-        F.sum(print_).alias("fingerprint_sum"),
-    )
+def place(segments: DataFrame) -> DataFrame:
+    """`segments` with `place`, how many messages of its part stand before it, and `start`, how many characters; the
+    `copies` of a segment follow one another from there. So the part's text and the mask spans (start, copies * n_chars of
+    trained segments) can be read off without building it.
+
+    Rows are sorted into ranges by (pair, part, turn, role, text), so a pair of any size is cut into many tasks. At most
+    one part lies across the border between two ranges: what it needs from earlier ranges, at most two rows a border, is
+    broadcast.
+    """
+    spark = segments.sparkSession
+    sized = segments.withColumn("n_chars", F.length("rendered").cast("bigint"))
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut_lineage(sized.repartitionByRange(n, "pair_id", "part", *KEY).withColumn("_range", F.spark_partition_id()))
+    group = ["pair_id", "part"]
+    measures = {"place": F.col("copies"), "start": F.col("copies") * F.col("n_chars")}
+    totals = ranged.groupBy(*group, "_range").agg(*[F.sum(c).alias(f"_{m}") for m, c in measures.items()])
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    across = totals.withColumn("_n", F.count(F.lit(1)).over(whole)).filter("_n > 1").select(
+        F.col("pair_id").alias("_pair"), F.col("part").alias("_of"), F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_{m}").over(earlier), F.lit(0)).alias(f"_{m}") for m in measures])
+    same = F.col("pair_id").eqNullSafe(F.col("_pair")) & (F.col("part") == F.col("_of")) & (F.col("_range") == F.col("_at"))
+    inside = Window.partitionBy(*group, "_range").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    counted = ranged.withColumns({m: F.coalesce(F.sum(c).over(inside), F.lit(0)) for m, c in measures.items()})
+    out = counted.join(F.broadcast(across), same, "left")
+    return out.select(*group, *[(F.col(m) + F.coalesce(f"_{m}", F.lit(0))).alias(m) for m in measures], "copies", "n_chars", "turn", "role", "trained", "rendered")
 
 
 ORACLE = """
@@ -98,13 +113,6 @@ WITH m AS (
 ), r AS (
   SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered, part <> 'prompt' AND role = 'assistant' AS trained FROM g
 )
-SELECT pair_id,
-  coalesce(sum(copies) FILTER (part = 'prompt'), 0)::BIGINT AS n_prompt, coalesce(sum(copies) FILTER (part = 'chosen'), 0)::BIGINT AS n_chosen,
-  coalesce(sum(copies) FILTER (part = 'rejected'), 0)::BIGINT AS n_rejected,
-  coalesce(sum(length(rendered) * copies) FILTER (part = 'prompt'), 0)::BIGINT AS prompt_chars,
-  coalesce(sum(length(rendered) * copies) FILTER (part = 'chosen'), 0)::BIGINT AS chosen_chars,
-  coalesce(sum(length(rendered) * copies) FILTER (part = 'rejected'), 0)::BIGINT AS rejected_chars,
-  coalesce(sum(length(rendered) * copies) FILTER (trained AND part = 'chosen'), 0)::BIGINT AS chosen_trained_chars,
-  coalesce(sum(length(rendered) * copies) FILTER (trained AND part = 'rejected'), 0)::BIGINT AS rejected_trained_chars,
-  sum(('0x' || substr(md5(concat_ws('|', part, coalesce(turn::VARCHAR, ''), CASE WHEN trained THEN '1' ELSE '0' END, rendered)), 1, 8))::BIGINT * copies)::BIGINT AS fingerprint_sum
-FROM r GROUP BY pair_id"""
+SELECT pair_id, part, coalesce(sum(copies) OVER w, 0)::BIGINT AS place, coalesce(sum(copies * length(rendered)) OVER w, 0)::BIGINT AS start,
+  copies, length(rendered)::BIGINT AS n_chars, turn, role, trained, rendered
+FROM r WINDOW w AS (PARTITION BY pair_id, part ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""

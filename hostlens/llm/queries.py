@@ -29,7 +29,7 @@ def op4_token_counts(spark, sf_dir):
 
 
 def op5_chat_format(spark, sf_dir):
-    return chat.digest(chat.format_pairs(chat.neighbours(table(spark, sf_dir, "conversations"))))
+    return chat.place(chat.format_pairs(chat.neighbours(table(spark, sf_dir, "conversations"))))
 
 
 def op6_decontaminate(spark, sf_dir):

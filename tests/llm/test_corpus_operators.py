@@ -342,7 +342,33 @@ def test_op5_prefix_and_masks(spark):
     assert (got[2]["prompt"], got[2]["rejected"]) == ("", "") and got[2]["chosen"] and got[2]["chosen_spans"] == []
     assert got[3]["chosen"] == got[3]["rejected"] == "" and got[3]["prompt"]
     assert got[4]["prompt"] == "" and got[5]["chosen"].count("r<") == 2 and got[5]["rejected"].count("r<") == 1
-    assert chat.digest(chat.format_pairs(df.limit(0))).collect() == []
+    assert chat.place(chat.format_pairs(df.limit(0))).collect() == []
+
+
+def test_op5_places_give_the_assembled_texts(spark):
+    """Repeated rows, null turns and roles, ties in a turn, a very long turn, clashing columns, a pair across all ranges."""
+    rng = random.Random(4)
+    rows = [(p, side, rng.choice([None, 0, 1, 2, 3]), rng.choice(["user", "assistant", None]), rng.choice(["a", "b b", "", None, "\u00e9\n"]))
+            for p in (1, 2, None) for side in (True, False) for _ in range(14)]
+    rows += [(7, side, t, "assistant" if t % 2 else "user", f"m{t}" if t < 300 else f"m{t} {side}") for side in (True, False) for t in range(600)]
+    rows += [(8, True, 0, "assistant", "x" * 2_000_000), (8, False, 0, "assistant", "y"), (9, True, 0, "assistant", "only")]
+    df = spark.createDataFrame([(*r, 0, 0, 0, 0) for r in rows], "pair_id long, chosen boolean, turn int, role string, text string, start int, _range int, _first int, `a.b` int")
+    segments = chat.format_pairs(df.repartition(7))
+    placed = chat.place(segments).collect()
+    texts, spans = {}, {}
+    for r in sorted(placed, key=lambda r: (str(r["pair_id"]), r["part"], r["start"], r["place"])):
+        key = r["pair_id"], r["part"]
+        text = texts.get(key, "")
+        assert r["start"] == len(text) and r["n_chars"] == len(r["rendered"])
+        texts[key] = text + r["rendered"] * r["copies"]
+        if r["trained"]:
+            spans.setdefault(key, []).append((r["start"], r["copies"] * r["n_chars"]))
+    assert len({r["place"] for r in placed if r["pair_id"] == 7 and r["part"] == "chosen"}) == 300
+    for r in chat.assemble(segments).collect():
+        for part in ("prompt", "chosen", "rejected"):
+            assert r[part] == texts.get((r["pair_id"], part), "")
+            if part != "prompt":
+                assert [tuple(s) for s in r[f"{part}_spans"] or []] == spans.get((r["pair_id"], part), [])
 
 
 # --- search ---------------------------------------------------------------------------------------------
