@@ -58,6 +58,21 @@ def prefix_sums(counts: DataFrame, by: list[str], order: str, measures: list[str
     return out.select(*names, *[(F.col(f"_i_{m}") + F.col(f"_o_{m}")).alias(f"{m}_below") for m in measures])
 
 
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add `name`, the row's place (from 1) in the order of the whole table; `order` tells all rows apart.
+
+    Rows are sorted into ranges of the full order, so equal first keys, however many, are cut as well. A range is numbered
+    on its own; the rows before it are a broadcast of one number per range.
+    """
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut_lineage(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    inside = placed.withColumn("_inside", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return inside.join(F.broadcast(offsets), "_range").select(*df.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias(name))
+
+
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """One row per distinct value with its multiplicity `n`; partial counts absorb hot values."""
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hostlens import schemas as S
 from hostlens.functions.columns import flag
 from hostlens.operators.clean import call_flags, uid_class
-from hostlens.operators.cumulative import prefix_sums
+from hostlens.operators.cumulative import ranked
 from hostlens.operators.joins import KEY, join_lookup, together
 from hostlens.operators.process import PROCESS_KEY
 
@@ -16,25 +16,10 @@ PAD, UNK, FIRST_ID = 0, 1, 2
 
 
 def build_vocabulary(events: DataFrame, name: str = "syscall_name") -> DataFrame:
-    """(name, n, id): ids from 2 by falling frequency, ties by name.
-
-    The rank is the number of names with a higher count, plus the names of equal count in earlier
-    two-letter groups, plus the rank in the own group, so no task ever holds the whole vocabulary.
-    """
+    """(name, n, id): ids from 2 by falling frequency, ties by name; no task ever holds all names, or all of one count."""
     counts = events.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("_letters", F.substring(name, 1, 2))
-    per_group = counts.groupBy("n", "_letters").agg(F.count(F.lit(1)).alias("_names"))
-    within_count = Window.partitionBy("n").orderBy("_letters").rowsBetween(Window.unboundedPreceding, -1)
-    per_group = per_group.withColumn("_before", F.coalesce(F.sum("_names").over(within_count), F.lit(0)))
-    per_count = per_group.groupBy("n").agg(F.sum("_names").alias("_at")).withColumn("_neg", -F.col("n"))
-    above = prefix_sums(per_count, [], "_neg", ["_at"]).select("n", F.col("_at_below").alias("_above"))
-    rank = F.row_number().over(Window.partitionBy("n", "_letters").orderBy(name))
-    return (
-        counts.withColumn("_rank", rank)
-        .join(per_group.select("n", "_letters", "_before"), ["n", "_letters"])
-        .join(above, "n")
-        .select(name, "n", (F.col("_above") + F.col("_before") + F.col("_rank") + (FIRST_ID - 1)).cast("bigint").alias("id"))
-    )
+    places = ranked(counts, [F.col("n").desc(), F.col(name)], "id")
+    return places.withColumn("id", F.col("id") + (FIRST_ID - 1))
 
 
 def encode_sequences(events: DataFrame, vocabulary: DataFrame, max_len: int = S.MAX_SEQUENCE, min_events: int = S.MIN_EVENTS,

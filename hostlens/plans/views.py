@@ -23,8 +23,8 @@ DAY_US = 86_400_000_000
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """An intermediate of the pipeline, written once per application to the shared folder and read by every later job."""
-    return reuse_or_build(spark, stored_path(spark, sf_dir, name), lambda: build(spark, sf_dir))
+    """An intermediate of the pipeline, written to the shared folder and read by every later job until an input file changes."""
+    return reuse_or_build(spark, stored_path(spark, sf_dir, name), lambda: build(spark, sf_dir), [f"{sf_dir}/*.parquet"])
 
 
 def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:

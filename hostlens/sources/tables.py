@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,6 +15,8 @@ from hostlens import schemas as S
 from hostlens.functions.columns import blank_to_null
 from hostlens.operators.clean import exclude_techniques, present
 
+VERSION = "3"  # of the code that writes intermediates; a change of their contents raises it
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str | None = None) -> DataFrame:
     """CSV (with header), JSON, ORC or parquet by suffix; CSV and JSON need a schema, nothing is inferred."""
@@ -122,8 +126,38 @@ def append_new(spark: SparkSession, todo: DataFrame, path: str, key: list[str])
     todo.write.mode("append").parquet(path)
 
 
-def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read an intermediate if it was completed before, else build and write it."""
-    if not _exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+def fingerprint(spark: SparkSession, inputs: list[str], parameters: dict | None = None) -> str:
+    """What a result depends on: names, sizes and times of all files under `inputs` (paths or patterns), the package's
+    version and `parameters`. Files are listed by Spark and none is opened; the digest does not depend on their order."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(inputs).select("path", "length", F.unix_micros("modificationTime").alias("at"))
+    mark = F.md5(F.concat_ws("|", "path", "length", "at"))
+    half = lambda start: F.sum(F.conv(F.substring(mark, start, 15), 16, 10).cast("decimal(38,0)"))
+    files = listed.agg(F.count(F.lit(1)), half(1), half(16)).first()
+    said = json.dumps([VERSION, [str(x) for x in files], parameters or {}], sort_keys=True, default=str)
+    return hashlib.sha256(said.encode()).hexdigest()
+
+
+def _built_from(spark: SparkSession, path: str) -> str | None:
+    """The fingerprint beside a finished result; None where nothing was finished."""
+    if not _exists(spark, f"{path}/_fingerprint/_SUCCESS"):
+        return None
+    rows = spark.read.text(f"{path}/_fingerprint").collect()  # one line
+    return rows[0]["value"] if len(rows) == 1 else None
+
+
+def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], inputs: list[str] | None = None, parameters: dict | None = None) -> DataFrame:
+    """Read an intermediate if it was completed before, else build and write it.
+
+    With `inputs` it is reused only while their files, the package's version and `parameters` are what it was built from;
+    the fingerprint is written last, so a build that was stopped is done again.
+    """
+    path = path.rstrip("/")
+    if inputs is None:
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            build().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    now = fingerprint(spark, inputs, parameters)
+    if _built_from(spark, path) != now:
+        build().write.mode("overwrite").parquet(path)  # removes the old fingerprint with the old files
+        spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_fingerprint")
     return spark.read.parquet(path)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostlens import schemas as S
-from hostlens.operators import clean, evaluate, models, triage
+from hostlens.operators import clean, cumulative, evaluate, models, sequence, triage
 from hostlens.operators.models import Detector
 from hostlens.session import cut_lineage, ensure_checkpoint_dir
 from hostlens.sources import tables
@@ -57,6 +57,40 @@ def test_sinks(spark, tmp_path):
     assert sorted(map(tuple, s.collect())) == [("m", "f1", 1.0), ("m", "fpr", 2.0)]
 
 
+def test_results_are_built_anew_when_an_input_changes(spark, tmp_path):
+    """One changed file among others, another parameter, a build that was stopped; nothing else leads to a rebuild."""
+    source, cache, calls = str(tmp_path / "source"), str(tmp_path / "cache"), []
+    spark.range(10).repartition(3).write.parquet(source)
+
+    def run(parameters=None, fail=False):
+        def build():
+            calls.append(1)
+            df = spark.read.parquet(source).selectExpr("sum(id) AS total")
+            return df.select(F.raise_error(F.lit("stopped")).cast("bigint").alias("total")) if fail else df
+
+        return tables.reuse_or_build(spark, cache, build, [source], parameters).first()["total"]
+
+    assert (run(), run(), len(calls)) == (45, 45, 1)
+    spark.range(10, 11).write.mode("append").parquet(source)
+    assert (run(), run(), len(calls)) == (55, 55, 2)
+    assert (run({"k": 1}), run({"k": 1}), len(calls)) == (55, 55, 3)
+    with pytest.raises(Exception, match="stopped"):
+        run({"k": 2}, fail=True)
+    assert (run({"k": 1}), len(calls)) == (55, 5)
+
+
+def test_names_of_one_count_are_ranked_in_many_tasks(spark):
+    """100,000 names seen once that share their first letters, and some frequent ones: same ids as a plain sort, no task with all."""
+    rare = spark.range(100_000).select(F.format_string("aa%06d", "id").alias("syscall_name"))
+    often = spark.createDataFrame([("zz",)] * 3 + [("b",)] * 3 + [("c",)] * 2 + [(None,)] * 5, "syscall_name string")
+    got = sequence.build_vocabulary(rare.unionByName(often).repartition(6))
+    ids = {r["syscall_name"]: r["id"] for r in got.collect()}
+    assert ids == {n: i + 2 for i, n in enumerate(["b", "zz", "c", *[f"aa{i:06d}" for i in range(100_000)]])}
+    placed = cumulative.ranked(rare, [F.col("syscall_name")], "place").groupBy(F.floor((F.col("place") - 1) / 25_000)).count()
+    assert placed.count() == 4
+    assert sequence.build_vocabulary(often.limit(0)).collect() == []
+
+
 def test_sweep_files(spark, tmp_path):
     for m in ("rf", "gbt"):
         (tmp_path / f"wide_{m}_operating_curve.csv").write_text("max_fpr_cap,f1_mean\n0.05,0.8\n")
