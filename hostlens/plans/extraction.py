@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens import schemas as S
@@ -15,6 +15,7 @@ from hostlens.plans.catalogue import query
 from hostlens.session import application_dir, cut_lineage
 from hostlens.sources import audit
 from hostlens.sources.tables import read_events, write_table
+from hostlens.sources.tensors import read_tensors, write_tensors
 from hostlens.streaming.rollup import run_sessions
 
 # --- audit text, written from the events table and parsed back -----------------------------------------
@@ -283,7 +284,7 @@ _HALF = """, half_vocab AS (
 )"""
 
 
-@query("sequence_tokens", V.sql(V.CLEAN + _HALF, """, ranked AS (
+_TOKENS = V.CLEAN + _HALF + """, ranked AS (
   SELECT c.*, v.id, row_number() OVER (PARTITION BY source, scenario, host, pid ORDER BY "timestamp" DESC, seq_id DESC, line_no DESC) AS pos,
     count(*) OVER (PARTITION BY source, scenario, host, pid) AS n_events
   FROM clean c LEFT JOIN half_vocab v USING (syscall_name)
@@ -291,16 +292,41 @@ _HALF = """, half_vocab AS (
   SELECT *, concat_ws(',', coalesce(id, 1), CASE WHEN uid = 0 THEN 0 WHEN uid < 1000 THEN 1 ELSE 2 END, failed,
     CAST(syscall_name = 'setuid' AS INT), CAST(syscall_name = 'execve' AS INT), CAST(syscall_name = 'openat' AS INT),
     CAST(syscall_name = 'connect' AS INT)) AS tok FROM ranked WHERE n_events >= 2
-)
-SELECT source, scenario, host, pid, max(n_events) AS n_events, repeat('0,0,0,0,0,0,0;', (50 - least(max(n_events), 50))::INT)
-  || string_agg(tok, ';' ORDER BY pos DESC) FILTER (pos <= 50) AS tokens FROM toks GROUP BY source, scenario, host, pid"""))
-def sequence_tokens(spark, sf_dir):
-    """Token arrays as text; the vocabulary comes from half of the (process, call) pairs, names outside it are unknown."""
+), sequences AS (
+  SELECT source, scenario, host, pid, max(n_events) AS n_events, repeat('0,0,0,0,0,0,0;', (50 - least(max(n_events), 50))::INT)
+    || string_agg(tok, ';' ORDER BY pos DESC) FILTER (pos <= 50) AS tokens, max(label) AS label FROM toks GROUP BY source, scenario, host, pid
+)"""
+
+
+def half_known(spark, sf_dir) -> DataFrame:
+    """Sequences whose vocabulary comes from half of the (process, call) pairs; names outside it are unknown."""
     events = V.labeled_events(spark, sf_dir)
     vocabulary = sequence.build_vocabulary(events.filter(hash_fraction(5, "pid", "syscall_name") < 0.5))
-    seqs = sequence.encode_sequences(events, vocabulary)
-    text = F.array_join(F.transform("tokens", lambda t: F.array_join(F.transform(t, lambda x: x.cast("string")), ",")), ";")
-    return seqs.select(*process.PROCESS_KEY, "n_events", text.alias("tokens"))
+    return sequence.encode_sequences(events, vocabulary)
+
+
+def token_text() -> Column:
+    return F.array_join(F.transform("tokens", lambda t: F.array_join(F.transform(t, lambda x: x.cast("string")), ",")), ";")
+
+
+@query("sequence_tokens", V.sql(_TOKENS, "SELECT source, scenario, host, pid, n_events, tokens FROM sequences"))
+def sequence_tokens(spark, sf_dir):
+    """Token arrays as text."""
+    return half_known(spark, sf_dir).select(*process.PROCESS_KEY, "n_events", token_text().alias("tokens"))
+
+
+EXPORT_BLOCK = 1024
+
+
+@query("sequence_export", V.sql(_TOKENS, """SELECT source, scenario, host, pid, label, n_events, tokens, 1::BIGINT AS n_same_place, (SELECT count(*) FROM sequences) AS places FROM sequences"""))
+def sequence_export(spark, sf_dir):
+    """Sequences written as tensor blocks with their meta rows and read back; every place in the tensor is taken once."""
+    path = f"{application_dir(spark)}/tensors-{uuid.uuid4().hex}"
+    write_tensors(half_known(spark, sf_dir), path, "tokens", (S.MAX_SEQUENCE, S.TOKEN_WIDTH), EXPORT_BLOCK)
+    rows = read_tensors(spark, path)
+    taken = rows.groupBy("row").agg(F.count(F.lit(1)).alias("n_same_place"))
+    places = rows.agg((F.max("row") - F.min("row") + 1).alias("n")).scalar()
+    return rows.join(taken, "row").select(*process.PROCESS_KEY, "label", "n_events", token_text().alias("tokens"), "n_same_place", places.alias("places"))
 
 
 @query("sequence_labels", V.sql(V.FEATURES, "SELECT source, scenario, host, pid, label, technique, seq_length AS n_events FROM features"))
