@@ -14,7 +14,7 @@ from hostlens.plans import views as V
 from hostlens.plans.catalogue import query
 from hostlens.session import application_dir, cut_lineage
 from hostlens.sources import audit
-from hostlens.sources.tables import read_events, write_table
+from hostlens.sources.tables import Dataset, Registry, read_events, write_table
 from hostlens.sources.tensors import read_tensors, write_tensors
 from hostlens.streaming.rollup import run_sessions
 
@@ -343,6 +343,30 @@ def technique_exclusion(spark, sf_dir):
     return kept.groupBy("technique", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+_FILE_SPELLINGS = {"label": ["is_attack", "class"], "technique": ["attack_technique"], "seq_length": ["n_events"]}
+_FILE_COLUMNS = [*S.FEATURES, "label", "source", "technique", "proc_name"]
+_FILED = ", ".join(
+    f"CASE WHEN pid % 3 <> 2 THEN {c} END AS {c}" if c in S.PARTIAL_FEATURES else f"nullif({c}, '') AS {c}" if c == "proc_name" else c for c in _FILE_COLUMNS)
+
+
+@query("ingest_files", V.sql(V.FEATURES, f"""SELECT {_FILED}, (['plain', 'loud', 'partial'])[(pid % 3)::INT + 1] AS layout FROM features
+  WHERE label = 0 OR technique IS NULL OR technique NOT IN ('T1078')"""))
+def ingest_files(spark, sf_dir):
+    """The feature table in files of three layouts (as declared; other names, case and order; features missing), ingested by name."""
+    root = f"{application_dir(spark)}/registry-{uuid.uuid4().hex}"
+    plain, other, partial = (V.feature_table(spark, sf_dir).filter(F.col("pid") % 3 == i) for i in range(3))
+    loud = {"label": "IS_ATTACK", "technique": "Attack_Technique"}
+    layouts = {
+        "plain": plain.select(*_FILE_COLUMNS),
+        "loud": other.select(*[F.col(c).alias(loud.get(c, c.upper())) for c in reversed(_FILE_COLUMNS)]),
+        "partial": partial.drop(*S.PARTIAL_FEATURES).withColumnsRenamed({"label": "class", "seq_length": "n_events"}),
+    }
+    for name, table in layouts.items():
+        write_table(table, f"{root}/layout_{name}", "csv")
+    registry = Registry({"files": Dataset(root, exclude=("T1078",), spellings=_FILE_SPELLINGS, from_path={"layout": r"/layout_([a-z]+)/"})})
+    return registry.ingest(spark, "files")[0]
+
+
 @query("schema_compat", """WITH n AS (
   SELECT 'l_orderkey' AS feature, (SELECT count(l_orderkey) FROM lineitem) AS n_a, 0::BIGINT AS n_b UNION ALL
   SELECT 'l_quantity', (SELECT count(l_quantity) FROM lineitem), 0 UNION ALL SELECT 'o_totalprice', 0, (SELECT count(o_totalprice) FROM orders) UNION ALL

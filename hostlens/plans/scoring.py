@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hostlens import schemas as S
@@ -10,6 +12,8 @@ from hostlens.operators import cascade, errors, metrics, summaries
 from hostlens.plans import views as V
 from hostlens.plans.catalogue import query
 from hostlens.plans.splitting import rounded
+from hostlens.session import application_dir, cut_lineage
+from hostlens.sources.tables import read_sweeps, write_table
 
 FEATS = V.WIDE_FEATURES
 
@@ -347,15 +351,41 @@ def curves(spark, sf_dir):
         F.avg("f1").alias("f1_mean"), F.avg("fpr").alias("actual_fpr_mean"), F.avg("auroc").alias("auroc_mean"))
 
 
-@query("curve_summary", V.sql(CURVES, """, best AS (SELECT * FROM curves QUALIFY row_number() OVER (PARTITION BY dataset, model ORDER BY round(f1_mean, 9) DESC, max_fpr_cap) = 1
+_CURVE_SUMMARY = V.sql(CURVES, """, best AS (SELECT * FROM curves QUALIFY row_number() OVER (PARTITION BY dataset, model ORDER BY round(f1_mean, 9) DESC, max_fpr_cap) = 1
 ), near AS (SELECT * FROM curves WHERE max_fpr_cap = 0.05)
 SELECT dataset, model, b.max_fpr_cap AS best_cap, round(b.f1_mean, 6) AS best_f1_mean, round(b.actual_fpr_mean, 6) AS best_actual_fpr_mean,
   round(r.f1_mean, 6) AS f1_at_reference, round(b.f1_mean - r.f1_mean, 6) AS gap_vs_best_f1, round(b.auroc_mean, 6) AS auroc_mean,
   CASE WHEN b.auroc_mean < 0.6 THEN 'not discriminative' WHEN b.f1_mean - r.f1_mean < 0.01 THEN 'reference holds' ELSE 'reference suboptimal' END AS verdict
-FROM best b JOIN near r USING (dataset, model)"""))
+FROM best b JOIN near r USING (dataset, model)""")
+
+
+@query("curve_summary", _CURVE_SUMMARY)
 def curve_summary(spark, sf_dir):
-    out = summaries.curve_summary(curves(spark, sf_dir))
-    return rounded(out, "best_f1_mean", "best_actual_fpr_mean", "f1_at_reference", "gap_vs_best_f1", "auroc_mean")
+    return _summed_up(curves(spark, sf_dir))
+
+
+def _summed_up(rows):
+    return rounded(summaries.curve_summary(rows), "best_f1_mean", "best_actual_fpr_mean", "f1_at_reference", "gap_vs_best_f1", "auroc_mean")
+
+
+SWEEP_COLUMNS = "max_fpr_cap double, f1_mean double, actual_fpr_mean double, auroc_mean double"
+SWEEP_SPELLINGS = {"max_fpr_cap": ["max_fpr"], "f1_mean": ["f1"], "actual_fpr_mean": ["fpr_mean", "fpr"], "auroc_mean": ["auroc"]}
+
+
+@query("sweep_files", _CURVE_SUMMARY)
+def sweep_files(spark, sf_dir):
+    """The curves written as sweep files with three spellings of the header, read back and summed up."""
+    rows, root = cut_lineage(curves(spark, sf_dir)), f"{application_dir(spark)}/sweeps-{uuid.uuid4().hex}"
+    names = [f.split()[0] for f in SWEEP_COLUMNS.split(", ")]
+    wide, narrow = F.col("max_fpr_cap") > 0.05, F.col("max_fpr_cap") <= 0.05
+    files = {
+        "wide_cnn_operating_curve.csv": (F.col("model") == "cnn", names, names),
+        "wide_xgb_low_caps.csv": ((F.col("model") == "xgb") & narrow, names[::-1], ["AUROC", "FPR", "F1", "Max_FPR"]),
+        "wide_xgb_high_caps.csv": ((F.col("model") == "xgb") & wide, ["model", *names], ["arm", "max_fpr", " f1_mean ", "fpr_mean", "auroc_mean"]),
+    }
+    for name, (kept, columns, header) in files.items():
+        write_table(rows.filter(kept).select(*columns).toDF(*header), f"{root}/{name}", "csv")
+    return _summed_up(read_sweeps(spark, root, SWEEP_COLUMNS, SWEEP_SPELLINGS))
 
 
 _SIDES = V.OOF + """, sides AS (SELECT 'early' AS train_dataset, 'late' AS test_dataset, fold, "year" < 1998 AS inside, true_label, pred_xgb AS pred FROM oof

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostlens import schemas as S
-from hostlens.functions.columns import blank_to_null
 from hostlens.operators.clean import exclude_techniques, present
+from hostlens.sources.reconcile import read_reconciled
 
 VERSION = "3"  # of the code that writes intermediates; a change of their contents raises it
 
@@ -37,13 +37,19 @@ def read_events(spark: SparkSession, path: str, fmt: str | None = None) -> DataF
 
 @dataclass(frozen=True)
 class Dataset:
-    """Where a feature table lives and how its columns are named."""
+    """Where a feature table lives and how its columns are named.
+
+    With `spellings`, the path is a folder or pattern of delimited files whose headers may differ; `from_path` names parts of
+    their paths.
+    """
 
     path: str
     label: str = "label"
     technique: str = "technique"
     exclude: tuple[str, ...] = ()
     features: tuple[str, ...] = tuple(S.FEATURES)
+    spellings: dict[str, list[str]] | None = None
+    from_path: dict[str, str] | None = None
 
 
 @dataclass
@@ -55,8 +61,11 @@ class Registry:
         if name not in self.datasets:
             raise KeyError(f"unknown dataset {name!r}; known: {sorted(self.datasets)}")
         d = self.datasets[name]
-        df = spark.read.parquet(d.path) if d.path.endswith(".parquet") else read_table(
-            spark, d.path, S.feature_schema(list(d.features), d.label))
+        schema = S.feature_schema(list(d.features), d.label)
+        if d.spellings is not None:
+            df = read_reconciled(spark, d.path, schema, d.spellings, d.from_path)
+        else:
+            df = spark.read.parquet(d.path) if d.path.endswith(".parquet") else read_table(spark, d.path, schema)
         return normalise(df, d)
 
 
@@ -69,14 +78,15 @@ def normalise(df: DataFrame, d: Dataset) -> tuple[DataFrame, list[str]]:
     return df, present(df, S.FEATURES)
 
 
-def read_sweeps(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
-    """Sweep files named `<dataset>_<model>_<what>.csv`, stacked, with both names as columns."""
-    raw = spark.read.schema(schema).option("header", True).csv(pattern)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return raw.withColumns({
-        "dataset": blank_to_null(F.regexp_extract(name, r"^([^_]+)_([^_]+)_", 1)),
-        "model": blank_to_null(F.regexp_extract(name, r"^([^_]+)_([^_]+)_", 2)),
-    })
+_SWEEP = r"/{}_{}_[^/]*\.csv(?:/[^/]*)?$"  # a file, or a folder of parts
+_NAME = "[^/_]+"
+
+
+def read_sweeps(spark: SparkSession, pattern: str, schema: T.StructType | str, spellings: dict[str, list[str]] | None = None) -> DataFrame:
+    """Sweep files named `<dataset>_<model>_<what>.csv`, stacked, with both names as columns; headers may differ."""
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = {"dataset": _SWEEP.format(f"({_NAME})", _NAME), "model": _SWEEP.format(_NAME, f"({_NAME})")}
+    return read_reconciled(spark, pattern, wanted, spellings, names)
 
 
 def resolve_alias(df: DataFrame, candidates: list[str], to: str) -> DataFrame:
