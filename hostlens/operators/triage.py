@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from hostlens import schemas as S
 from hostlens.functions.columns import div
 from hostlens.operators.cumulative import quantile_points, value_counts
 from hostlens.operators.joins import join_lookup
-from hostlens.operators.metrics import confusion_counts, rates, score_counts
+from hostlens.operators.metrics import calibration_error, confusion_counts, rates, score_counts
 from hostlens.operators.sampling import case_cap
+from hostlens.sources.tables import summary_rows
 
 FAILED = ["parse_error", "call_error"]
 
@@ -139,14 +142,13 @@ def context_text(df: DataFrame, features: list[str], tables: DataFrame, notes: s
             F.lit(" "), _padded(rank_text(c["attack"]), 6), F.lit(" "), F.element_at(F.col("_gloss"), c["name"]))
 
     header = F.format_string(
-        "Model votes:  XGBoost -> %s (p_malicious=%s)   |   CNN -> %s (p_malicious=%s)",
+        S.CASE_VOTES,
         vote("xgb"), two_decimals(F.col("proba_xgb")), vote("cnn"), two_decimals(F.col("proba_cnn")))
-    title = F.concat(F.lit("Behavioural features, top "), F.size("_short").cast("string"),
-                     F.lit(" most unusual vs benign (value | pctile vs benign pop | pctile vs attack pop | meaning)"))
+    title = F.format_string(S.CASE_TITLE, F.size("_short"))
     names = F.array_join(F.transform(F.slice("_short", 1, first), lambda c: c["name"]), ", ")
     text = F.concat_ws(
-        "\n", F.lit("=== RECORD UNDER REVIEW ==="), header, F.lit(""), title, F.array_join(F.transform("_short", line), "\n"), F.lit(""),
-        F.lit("Most-deviating features, in order (first = most extreme):"), F.concat(F.lit("  "), names), F.lit(""), F.lit(notes))
+        "\n", F.lit(S.CASE_HEAD), header, F.lit(""), title, F.array_join(F.transform("_short", line), "\n"), F.lit(""),
+        F.lit(S.CASE_ORDER), F.concat(F.lit("  "), names), F.lit(""), F.lit(notes))
     return out.withColumn("context", text).drop("_short", "_gloss", "ranked")
 
 
@@ -292,3 +294,26 @@ def reply_rates(arb: DataFrame, by: list[str]) -> DataFrame:
         F.count_if(ok & (F.col("llm_pred") == 1)).alias("n_malicious"), F.count_if(ok & (F.col("llm_pred") == 0)).alias("n_benign"),
         F.count_if(follows("xgb")).alias("n_with_xgb"), F.count_if(follows("cnn")).alias("n_with_cnn"),
     )
+
+
+def evaluation_report(arb: DataFrame, oof: DataFrame, discriminators: list[str]) -> DataFrame:
+    """section, key, metric, value: the whole evaluation of stored replies as one table, written by one job.
+
+    Sections: accuracy (a key per strategy), effect (per variant and fold), delta (pooled), reasoning. Without replies the
+    accuracy section is empty and the figures of reasoning are null.
+    """
+    judged = valid_replies(arb).withColumn("_correct", (F.col("llm_pred") == F.col("true_label")).cast("int"))
+    effect = override_effect(arb, oof)
+    status = arb.agg(*[
+        F.avg(F.col("parse_status").isin(kinds).cast("int")).alias(name)
+        for name, kinds in (("parse_error_rate", ["parse_error"]), ("call_error_rate", ["call_error"]), ("failure_rate", FAILED))])
+    parts = [
+        ("accuracy", F.col("strategy"), arbitration_accuracy(arb), ["n", "accuracy", "precision", "recall", "f1"]),
+        ("effect", F.concat_ws("/", "variant", "fold"), effect, ["f1", "recall", "fpr"]),
+        ("delta", F.lit("pooled"), override_delta(effect), ["delta_f1", "delta_recall", "delta_fpr"]),
+        ("reasoning", F.lit("all"), calibration_error(judged, [], "llm_confidence", "_correct"), ["ece"]),
+        ("reasoning", F.lit("all"), key_feature_overlap(arb, discriminators).withColumnRenamed("overlap", "key_feature_overlap"), ["key_feature_overlap"]),
+        ("reasoning", F.lit("all"), status, ["parse_error_rate", "call_error_rate", "failure_rate"]),
+    ]
+    long = [summary_rows(df.withColumns({"section": F.lit(section), "key": key}), ["section", "key"], values) for section, key, df, values in parts]
+    return reduce(DataFrame.unionByName, long)

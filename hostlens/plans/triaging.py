@@ -16,7 +16,7 @@ from hostlens.plans.scoring import oof, ratio
 from hostlens.plans.splitting import rounded
 from hostlens.session import application_dir, cut_lineage
 from hostlens.sources.batches import read_batches, write_batches
-from hostlens.sources.tables import pending, resolve_alias
+from hostlens.sources.tables import pending, resolve_alias, write_table
 
 FEATS = V.WIDE_FEATURES
 NOTES = "Known weak spots: none recorded for this dataset."
@@ -297,6 +297,36 @@ def key_feature_overlap(spark, sf_dir):
     return rounded(triage.key_feature_overlap(arbitration(spark, sf_dir), ["price", "quantity"]), "overlap")
 
 
+def _long(section, key, source, values):
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {key} AS \"key\", '{m}' AS metric, round(({e})::DOUBLE, 6) AS value FROM {source}" for m, e in values.items())
+
+
+_STRATEGIES = {
+    "llm": "llm_pred", "always_xgb": "pred_xgb", "always_cnn": "pred_cnn",
+    "trust_more_confident": "CASE WHEN abs(proba_xgb - 0.5) >= abs(proba_cnn - 0.5) THEN pred_xgb ELSE pred_cnn END",
+    "blend_at_0.5": "CAST(0.5 * proba_xgb + 0.5 * proba_cnn >= 0.5 AS INT)", "majority_class": "(SELECT round_even(avg(true_label), 0)::INT FROM usable)"}
+REPORT = EFFECT + BINS.removeprefix(REPLIES) + ", acc AS (" + " UNION ALL ".join(_strategy(n, v) for n, v in _STRATEGIES.items()) + """
+), pooled AS (SELECT """ + ", ".join(f"max({m}) FILTER (variant = 'cascade+llm') - max({m}) FILTER (variant <> 'cascade+llm') AS delta_{m}" for m in ("f1", "recall", "fpr")) + """ FROM effect WHERE fold = 'pooled'
+), named AS (SELECT json_extract_string(key_features, '$[*]') AS f FROM usable)"""
+
+
+@query("triage_report", V.sql(REPORT, " UNION ALL ".join([
+    _long("accuracy", "strategy", "acc", {m: f'"{m}"' for m in ("n", "accuracy", "precision", "recall", "f1")}),
+    _long("effect", "variant || '/' || fold", "effect", {m: m for m in ("f1", "recall", "fpr")}),
+    _long("delta", "'pooled'", "pooled", {f"delta_{m}": f"delta_{m}" for m in ("f1", "recall", "fpr")}),
+    _long("reasoning", "'all'", "bins", {"ece": "sum(n * abs(acc - mc)) / sum(n)"}),
+    _long("reasoning", "'all'", "named WHERE len(f) > 0", {"key_feature_overlap": "avg(CAST(len(list_intersect(f, ['price', 'quantity'])) > 0 AS INT))"}),
+    _long("reasoning", "'all'", "arb", {
+        "parse_error_rate": "avg(CAST(parse_status = 'parse_error' AS INT))", "call_error_rate": "avg(CAST(parse_status = 'call_error' AS INT))",
+        "failure_rate": "avg(CAST(parse_status IN ('parse_error', 'call_error') AS INT))"})])))
+def triage_report(spark, sf_dir):
+    """The evaluation report as one written table, read back."""
+    report = triage.evaluation_report(arbitration(spark, sf_dir), oof(spark, sf_dir), ["price", "quantity"])
+    path = f"{application_dir(spark)}/report-{uuid.uuid4().hex}"
+    write_table(report, path, "parquet")
+    return rounded(spark.read.parquet(path), "value")
+
+
 @query("reply_rates", V.sql(REPLIES, """SELECT disagreement_direction, count(*) AS n, round(avg(CAST(parse_status = 'parse_error' AS INT)), 6) AS parse_failure_rate,
   round(avg(CAST(parse_status = 'call_error' AS INT)), 6) AS call_failure_rate, round(avg(CAST(parse_status IN ('parse_error', 'call_error') AS INT)), 6) AS failure_rate,
   count(*) FILTER (parse_status IN ('ok', 'repaired') AND llm_pred = 1) AS n_malicious, count(*) FILTER (parse_status IN ('ok', 'repaired') AND llm_pred = 0) AS n_benign,

@@ -69,6 +69,12 @@ FEATURE_GLOSS = {
     "parent_child_rarity": "rarity of this parent->child exec pair (1 = never seen before)",
 }
 
+# phrases of a case's description
+CASE_HEAD = "=== RECORD UNDER REVIEW ==="
+CASE_VOTES = "Model votes:  XGBoost -> %s (p_malicious=%s)   |   CNN -> %s (p_malicious=%s)"
+CASE_TITLE = "Behavioural features, top %d most unusual vs benign (value | pctile vs benign pop | pctile vs attack pop | meaning)"
+CASE_ORDER = "Most-deviating features, in order (first = most extreme):"
+
 MAX_SEQUENCE = 50
 TOKEN_WIDTH = 7
 MIN_EVENTS = 2

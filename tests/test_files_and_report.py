@@ -60,3 +60,16 @@ def test_long_header_and_no_files(spark, tmp_path):
     names = [f"column_{i:05d}" for i in range(3000)]  # more than the first block of the file
     (tmp_path / "wide.csv").write_text(",".join([*names, "n"]) + "\n" + ",".join(["0"] * 3000 + ["9"]) + "\n")
     assert rows(read_reconciled(spark, str(tmp_path), T.StructType.fromDDL("n bigint"))) == [(9,)]
+
+
+def test_a_report_without_replies(spark):
+    from hostlens import schemas as S
+    from hostlens.operators import triage
+
+    arb = spark.createDataFrame([], S.arbitration_schema())
+    oof = spark.createDataFrame([("a", 0, 1, 0.9, 0.2), ("b", 0, 0, 0.4, 0.9), ("c", 1, 1, 0.5, 0.6)], "row_id string, fold int, true_label int, proba_xgb double, proba_cnn double")
+    got = {(r["section"], r["key"], r["metric"]): r["value"] for r in triage.evaluation_report(arb, oof, ["x"]).collect()}
+    assert not [k for k in got if k[0] == "accuracy"]
+    assert [got["reasoning", "all", m] for m in ("ece", "key_feature_overlap", "parse_error_rate", "call_error_rate", "failure_rate")] == [None] * 5
+    assert got["delta", "pooled", "delta_f1"] == 0.0 and got["effect", "cascade@0.5thr/pooled", "recall"] == 1.0
+    assert {k[1] for k in got if k[0] == "effect"} == {f"{v}/{f}" for v in ("cascade@0.5thr", "cascade+llm") for f in ("0", "1", "pooled")}
