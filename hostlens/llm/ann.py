@@ -2,7 +2,7 @@
 
 Distinct vectors are dealt by hash into shards of about `SHARD_ROWS`. Each shard gets a graph: greedy searches from the
 medoid propose neighbours for a point, and pruning with a relaxed distance keeps a proposal only if no kept neighbour is
-closer to it by the factor alpha, so the kept edges are diverse. Queries visit every shard in blocks; a beam search
+closer to it by the factor alpha, so the kept edges are diverse. Queries are streamed past every shard; a beam search
 follows the graph, and the best of all shards are merged. Nearness is the inner product: inside a shard all vectors get
 one more component that makes their norms equal, which turns it into a distance; reported scores are inner products of
 the original vectors in double precision.
@@ -18,10 +18,13 @@ than k give fewer rows; an empty table gives an empty result. Other columns of t
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,7 @@ BUILD_BEAM = 40
 QUERY_BEAM = 96
 ALPHA = 1.2
 QUERY_BLOCK = 512
+MAX_TASKS = 1 << 16  # of a search; more shards than that share tasks, one after the other
 
 
 def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int, visited_out: bool = False):
@@ -172,42 +176,72 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Dat
     return cut_lineage(dealt.groupBy("dim", "shard").applyInPandas(build, ddl))
 
 
+@dataclass
+class Shard:
+    """One shard's graph, as a task holds it."""
+
+    vec: np.ndarray
+    points: np.ndarray
+    edges: np.ndarray
+    entry: int
+    ids: np.ndarray
+    held: np.ndarray
+
+    @classmethod
+    def load(cls, row: dict, k: int) -> Shard:
+        vec = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
+        edges = np.frombuffer(row["edges"], np.int32)
+        return cls(vec, equal_norms(vec), edges.reshape(len(vec), -1) if len(edges) else edges, row["entry"],
+                   np.frombuffer(row["ids"], np.int64).reshape(-1, k + 1), np.frombuffer(row["held"], np.int64))
+
+    def search(self, queries: np.ndarray, beam: int) -> np.ndarray:
+        if self.entry < 0:  # no larger than the beam
+            return np.broadcast_to(np.arange(len(self.vec)), (len(queries), len(self.vec)))
+        flat = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+        return beam_search(self.points, self.edges, self.entry, flat, beam)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = QUERY_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest found of each query, without the query's own id.
 
-    `queries`: vec_id, embedding. Blocks of queries meet every shard; nothing else is paired.
+    `queries`: vec_id, embedding. They are sent to every shard; a shard is sent once, however many queries there are.
     """
     asked = queries.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", "embedding").distinct()
     asked = asked.withColumn("dim", F.size("embedding"))
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     shards = index.select(F.col("dim").alias("_d"), F.col("shard").alias("_s")).toDF("dim", "shard")
-    sent = asked.join(shards, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-
-    def visit(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "node": [], "ids": [], "score": []})
-        dim, shard = key[0], right.iloc[0]
-        vec = np.frombuffer(shard["vectors"], np.float64).reshape(-1, dim)
-        held = np.frombuffer(shard["held"], np.int64)
-        ids = np.frombuffer(shard["ids"], np.int64).reshape(-1, k + 1)
-        q = np.stack(left["embedding"].to_numpy()).astype(np.float64)
-        if shard["entry"] < 0:
-            found = np.broadcast_to(np.arange(len(vec)), (len(q), len(vec)))
-        else:
-            edges = np.frombuffer(shard["edges"], np.int32).reshape(len(vec), -1)
-            flat = np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
-            found = beam_search(equal_norms(vec), edges, int(shard["entry"]), flat, beam)
-        score = np.where(found >= 0, np.einsum("qd,qkd->qk", q, vec[np.maximum(found, 0)]), -np.inf)
-        best = np.lexsort((ids[np.maximum(found, 0), 0], -score), axis=1)[:, : k + 1]
+    sent = index.unionByName(asked.join(shards, "dim"), allowMissingColumns=True)
+    parts = min(max(1, shards.count()), MAX_TASKS)
+    names = index.columns
+    # a shard, then its queries: a task holds one shard and reads the queries as a stream
+    sent = sent.repartition(parts, "dim", "shard").sortWithinPartitions("dim", "shard", F.col("entry").isNull(), "vec_id")
+
+    def visit(shard: Shard, asked: pa.RecordBatch) -> pa.RecordBatch:
+        q = asked.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(asked.num_rows, -1)
+        found = shard.search(q, beam)
+        score = np.where(found >= 0, np.einsum("qd,qkd->qk", q, shard.vec[np.maximum(found, 0)]), -np.inf)
+        best = np.lexsort((shard.ids[np.maximum(found, 0), 0], -score), axis=1)[:, : k + 1]
         row = np.repeat(np.arange(len(q)), best.shape[1])
         node = found[row, best.ravel()]
         keep = node >= 0
         row, node, s = row[keep], node[keep], score[row, best.ravel()][keep]
-        return pd.DataFrame({"query_id": left["vec_id"].to_numpy()[row], "node": ids[node, 0], "ids": [ids[i, : held[i]] for i in node], "score": s})
-
-    copies = index.toDF(*index.columns).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ["dim", "shard", "block"]
-    hits = sent.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(visit, "query_id bigint, node bigint, ids array<bigint>, score double")
+        held = shard.held[node]
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.append(0, np.cumsum(held)).astype(np.int32)), pa.array(shard.ids[node][np.arange(k + 1) < held[:, None]]))
+        ids = asked.column("vec_id").to_numpy()[row]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(shard.ids[node, 0]), lists, pa.array(s)], names=["query_id", "node", "ids", "score"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            heads = np.flatnonzero(batch.column("entry").is_valid().to_numpy(zero_copy_only=False))
+            for start, end in pairwise([*([0] if not len(heads) or heads[0] else []), *heads.tolist(), batch.num_rows]):
+                if batch.column("entry")[start].is_valid:
+                    shard = Shard.load({c: batch.column(c)[start].as_py() for c in names}, k)
+                    start += 1
+                for at in range(start, end, QUERY_BLOCK):
+                    yield visit(shard, batch.slice(at, min(QUERY_BLOCK, end - at)))
+
+    hits = sent.mapInArrow(run, "query_id bigint, node bigint, ids array<bigint>, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
     hits = hits.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= k + 1)
     each = hits.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
