@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,20 +69,28 @@ def rank_text(rank: Column) -> Column:
 def attach_ranks(df: DataFrame, features: list[str], tables: DataFrame) -> DataFrame:
     """`ranked`: one struct per feature in feature order (index, name, value, rank vs benign, rank vs attack).
 
-    The table has two arrays of 99 numbers per feature, so it rides along as one scalar value.
+    The table has two arrays of 99 numbers per feature, so it rides along with the tasks; a batch of rows finds its places
+    by binary search.
     """
-    entry = F.struct(F.col("feature").alias("key"), F.struct("benign", "attack").alias("value"))
-    lookup = tables.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("name"), F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias("v"))
-                      for i, f in enumerate(features)])
-    out = df.withColumns({"_tables": lookup, "_cells": cells})
-
-    def ranked(c: Column) -> Column:
-        bp = F.element_at(F.col("_tables"), c["name"])
-        return F.struct(c["i"].alias("i"), c["name"].alias("name"), c["v"].alias("v"), percentile_rank(c["v"], bp["benign"]).alias("benign"),
-                        percentile_rank(c["v"], bp["attack"]).alias("attack"))
-
-    return out.withColumn("ranked", F.transform("_cells", ranked)).drop("_tables", "_cells")
+    points = {r["feature"]: [np.sort(np.array(r[side], float)) for side in ("benign", "attack")] for r in tables.collect()}  # a row per feature
+    sides = [points.get(f) for f in features]
+
+    @F.arrow_udf("array<int>")
+    def ranks(values: pa.Array) -> pa.Array:
+        cells = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), len(sides))
+        out, known = np.zeros((len(values), len(sides), 2), np.int32), np.zeros((len(values), len(sides), 2), bool)
+        for i, breakpoints in enumerate(sides):
+            for j, b in enumerate(breakpoints or []):
+                rank = np.rint((np.searchsorted(b, cells[:, i], "left") + np.searchsorted(b, cells[:, i], "right")) / 2).astype(np.int32)
+                out[:, i, j], known[:, i, j] = np.where(rank >= 99, 100, rank), True
+        ends = np.arange(0, out.size + 1, 2 * len(sides), dtype=np.int32)
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel(), mask=~known.ravel()))
+
+    value = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features}
+    out = df.withColumn("_ranks", ranks(F.array(*value.values())))
+    return out.withColumn("ranked", F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(f).alias("name"), value[f].alias("v"), F.get("_ranks", F.lit(2 * i)).alias("benign"),
+                 F.get("_ranks", F.lit(2 * i + 1)).alias("attack")) for i, f in enumerate(features)])).drop("_ranks")
 
 
 def most_unusual(ranked: Column, k: int) -> Column:
@@ -88,27 +99,41 @@ def most_unusual(ranked: Column, k: int) -> Column:
     return F.slice(F.transform(F.array_sort(keyed), lambda s: s["cell"]), 1, k)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` worked out a single time; within a lambda nothing else is shared."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def four_digits(v: Column) -> Column:
     """Whole numbers plain, others at four significant digits, scientific from 10000 and below 0.0001."""
+    whole = v.cast("decimal(38,0)").cast("string")
+    return F.when(v == F.rint(v), whole).otherwise(_once(F.floor(F.log10(F.abs(v))).cast("int"), lambda exp: _once(_near(v, exp), lambda near: _four_text(near, exp))))
+
+
+def _near(v: Column, exp: Column) -> Column:
+    """`v` at four significant digits."""
     size = F.abs(v)
-    exp = F.floor(F.log10(size)).cast("int")
     unit = F.pow(F.lit(10.0), (exp - 3).cast("double"))
     # dropping the whole part first is exact, so a value just off a tie is not mistaken for one; the last digit decides a tie
     steps = F.pow(F.lit(10.0), (3 - exp).cast("double"))
     split = F.signum(v) * (F.floor(size) + F.rint((size - F.floor(size)) * steps) / steps)
-    near = F.when(exp == 3, F.signum(v) * F.rint(size)).when(exp.between(0, 2), split).otherwise(F.rint(v / unit) * unit)
+    return F.when(exp == 3, F.signum(v) * F.rint(size)).when(exp.between(0, 2), split).otherwise(F.rint(v / unit) * unit)
+
+
+def _four_text(near: Column, exp: Column) -> Column:
     shifted = F.abs(near) >= F.pow(F.lit(10.0), (exp + 1).cast("double"))
-    exp = F.when(shifted, exp + 1).otherwise(exp)
 
     def trimmed(text: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
-    plain = trimmed(near.cast("decimal(30,8)").cast("string"))
-    mantissa = trimmed(F.round(near / F.pow(F.lit(10.0), exp.cast("double")), 3).cast("decimal(10,3)").cast("string"))
-    sign = F.when(exp < 0, "-").otherwise("+")
-    scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exp).cast("string"), 2, "0"))
-    whole = v.cast("decimal(38,0)").cast("string")
-    return F.when(v == F.rint(v), whole).when((exp < -4) | (exp >= 4), scientific).otherwise(plain)
+    def text(exp: Column) -> Column:
+        plain = trimmed(near.cast("decimal(30,8)").cast("string"))
+        mantissa = trimmed(F.round(near / F.pow(F.lit(10.0), exp.cast("double")), 3).cast("decimal(10,3)").cast("string"))
+        sign = F.when(exp < 0, "-").otherwise("+")
+        scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exp).cast("string"), 2, "0"))
+        return F.when((exp < -4) | (exp >= 4), scientific).otherwise(plain)
+
+    return _once(F.when(shifted, exp + 1).otherwise(exp), text)
 
 
 def two_decimals(v: Column) -> Column:
