@@ -123,26 +123,30 @@ def raw_replies(spark, sf_dir):
 
 def build_replies(spark, sf_dir):
     """Two attempts per contradicting row as text, some broken on purpose; a tenth of the rows has none."""
-    rows = triage.contradictions(oof(spark, sf_dir))
-    kind = F.floor(hash_fraction(11, "row_id") * 10).cast("int")
-    verdict = F.when(hash_fraction(12, "row_id") < 0.3 + 0.4 * F.col("true_label"), "MALICIOUS").otherwise("BENIGN")
-    conf = F.concat(F.lit("0."), F.lpad(F.floor(hash_fraction(13, "row_id") * 100).cast("string"), 2, "0"))
-    keys = F.element_at(F.array(F.lit('["price"]'), F.lit('["tax", "discount"]'), F.lit("[]")), (kind % 3 + 1).cast("int"))
-    side = F.when(kind % 2 == 0, "xgb").otherwise("cnn")
+    number = F.floor(hash_fraction(11, "row_id") * 10).cast("int")
+    says = F.when(hash_fraction(12, "row_id") < 0.3 + 0.4 * F.col("true_label"), "MALICIOUS").otherwise("BENIGN")
+    surety = F.concat(F.lit("0."), F.lpad(F.floor(hash_fraction(13, "row_id") * 100).cast("string"), 2, "0"))
+    # each is a column of its own: as expressions they would be worked out again in every branch below
+    rows = triage.contradictions(oof(spark, sf_dir)).select("row_id", number.alias("kind"), says.alias("verdict"), surety.alias("conf")).filter("kind < 9")
+    kind, verdict, conf = F.col("kind"), F.col("verdict"), F.col("conf")
+    names = F.element_at(F.array(F.lit('["price"]'), F.lit('["tax", "discount"]'), F.lit("[]")), (kind % 3 + 1).cast("int"))
+    rows = rows.withColumns({"keys": names, "side": F.when(kind % 2 == 0, "xgb").otherwise("cnn")})
+    keys, side = F.col("keys"), F.col("side")
 
     def reply(v, c, k, steps='["a", "b", "c"]', extra=""):
         return F.concat(F.lit('{"verdict": "'), v, F.lit('", "confidence": '), c, F.lit(f', "rationale_steps": {steps}, "key_features": '), k,
                         F.lit(', "agrees_with": "'), side, F.lit(f'"{extra}}}'))
 
-    good = reply(verdict, conf, keys)
+    good = F.col("good")
     broken = (
         F.when(kind == 0, F.substring(good, 1, 40)).when(kind == 1, reply(F.lit("MAYBE"), conf, keys)).when(kind == 2, reply(verdict, F.lit("1.7"), keys))
         .when(kind == 3, reply(verdict, conf, F.lit('["nowhere"]'))).when(kind == 5, reply(verdict, conf, keys, extra=', "more": 1'))
         .when(kind == 6, reply(verdict, conf, keys, steps='["a", "b"]'))
     )
-    first = F.when(broken.isNotNull(), broken).when(kind == 4, F.concat(F.lit("Sure:\n"), good, F.lit("\nDone."))).otherwise(good)
-    second = F.when(kind.isin(0, 1, 5), good).when(kind.isin(2, 3, 6), broken)
-    both = rows.filter(kind < 9).select("row_id", F.posexplode(F.array(first, second)).alias("_i", "raw"))
+    rows = rows.withColumn("good", reply(verdict, conf, keys)).withColumn("broken", broken)
+    first = F.coalesce("broken", F.when(kind == 4, F.concat(F.lit("Sure:\n"), good, F.lit("\nDone."))).otherwise(good))
+    second = F.when(kind.isin(0, 1, 5), good).when(kind.isin(2, 3, 6), F.col("broken"))
+    both = rows.select("row_id", F.posexplode(F.array(first, second)).alias("_i", "raw"))
     return both.filter(F.col("raw").isNotNull()).select("row_id", (F.col("_i") + 1).alias("attempt"), "raw")
 
 
