@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.functions.columns import hash_fraction
-from hostlens.operators.trees import Member, trained_on
+from hostlens.operators.trees import Member, spread, trained_on
 from hostlens.session import application_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks carry these helpers along, workers need no package
 
 BLOCK = 512  # rows of one batch norm
+ROWS_A_TASK = 50_000  # of all batches together
 BINS = 4096  # of the scores that decide when to stop
 FAN = 64  # vectors of a member that one task adds up without a level between
 EPS = 1e-3
@@ -99,15 +100,21 @@ def forward(parts: list[np.ndarray], x: np.ndarray, spec: Spec, running: list |
     seen = []
     for i in range(len(spec.hidden)):
         w, b, *norm = parts[i * width : (i + 1) * width]
-        out = np.maximum(x @ w + b, 0)
+        out = x @ w  # the arrays of a layer are as large as caches, so each is changed in place where it can be
+        out += b
+        np.maximum(out, 0, out=out)
         layer = {"x": x, "on": out > 0}
         if norm:
-            mean, var = running[i] if running is not None else (out.mean(axis=0), out.var(axis=0))
-            layer |= {"mean": mean, "var": var, "unit": (out - mean) / np.sqrt(var + EPS)}
-            out = layer["unit"] * norm[0] + norm[1]
+            mean = running[i][0] if running is not None else out.mean(axis=0)
+            out -= mean
+            var = running[i][1] if running is not None else (out * out).mean(axis=0)
+            out /= np.sqrt(var + EPS)
+            layer |= {"mean": mean, "var": var, "unit": out}
+            out = out * norm[0]
+            out += norm[1]
         if rng is not None and spec.dropout > 0:
             layer["kept"] = (rng.random(out.shape) >= spec.dropout) / (1 - spec.dropout)
-            out = out * layer["kept"]
+            out *= layer["kept"]
         seen.append(layer)
         x = out
     return (x @ parts[-2] + parts[-1])[:, 0], x, seen
@@ -123,15 +130,19 @@ def gradient(parts: list[np.ndarray], x: np.ndarray, label: np.ndarray, weight:
     width = 4 if spec.batch_norm else 2
     for i, layer in reversed(list(enumerate(seen))):
         if "kept" in layer:
-            back = back * layer["kept"]
+            back *= layer["kept"]
         if spec.batch_norm:
             unit = layer["unit"]
             grads += [back.sum(axis=0), (back * unit).sum(axis=0)]
             to_unit = back * parts[i * width + 2]
-            back = (to_unit - to_unit.mean(axis=0) - unit * (to_unit * unit).mean(axis=0)) / np.sqrt(layer["var"] + EPS)
-        back = back * layer["on"]
+            along = unit * (to_unit * unit).mean(axis=0)
+            back = to_unit - to_unit.mean(axis=0)
+            back -= along
+            back /= np.sqrt(layer["var"] + EPS)
+        back *= layer["on"]
         grads += [back.sum(axis=0), layer["x"].T @ back]
-        back = back @ parts[i * width].T
+        if i:
+            back = back @ parts[i * width].T
     return grads[::-1], loss, [(s["mean"], s["var"]) for s in seen if "mean" in s]
 
 
@@ -143,6 +154,7 @@ def lay_out(df: DataFrame, features: list[str], keep: list[str], spec: Spec) ->
     """`keep` columns, label, row, x (the features, 0 where null or NaN), written once by (held, batch). Whole groups
     (`vector`) are held."""
     spark = df.sparkSession
+    df = spread(df, ROWS_A_TASK)
     number = lambda f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0))
     held = F.coalesce(hash_fraction(spec.seed, "vector") < spec.held, F.lit(False)).cast("int").alias("held")
     row = F.xxhash64("row_id")
@@ -259,7 +271,8 @@ def areas(rows: DataFrame, members: list[Member], nets: dict[int, Net], spec: Sp
 
 def probabilities(x: np.ndarray, member: Member, net: Net, spec: Spec) -> np.ndarray:
     parts = opened(net.weights, shapes(len(member.features), spec))
-    return sigmoid(forward(parts, scaled(x, member, net), spec, running=net.running)[0])
+    blocks = [scaled(x[at : at + BLOCK], member, net) for at in range(0, len(x), BLOCK)]
+    return np.concatenate([np.zeros(0), *[sigmoid(forward(parts, b, spec, running=net.running)[0]) for b in blocks]])
 
 
 def fit(table: DataFrame, members: list[Member], features: int, spec: Spec) -> list[Net]:

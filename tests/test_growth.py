@@ -2,9 +2,12 @@
 
 import math
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
-from hostlens.operators import triage
+from hostlens.operators import network, trees, triage
 from hostlens.plans import triaging
 
 SCORED = "row_id string, proba_xgb double, proba_cnn double, pred_xgb int, pred_cnn int, true_label int, technique string, fold int"
@@ -46,3 +49,35 @@ def test_replies_draw_each_number_once(spark, monkeypatch):
     assert plan(out).count("md5(") <= 4  # three numbers, one of them also as a filter
     got = out.groupBy("row_id").agg(F.max("attempt").alias("n")).collect()
     assert 0 < len(got) < 40 and {r["n"] for r in got} == {1, 2}
+
+
+def test_heavy_rows_are_spread_by_their_number(spark):
+    df = spark.range(1000).selectExpr("cast(id as string) AS row_id").coalesce(1)
+    assert trees.spread(df, 100).rdd.getNumPartitions() == 10
+    assert trees.spread(df, 1000).rdd.getNumPartitions() == 1  # as it was
+
+
+def test_a_boosted_round_walks_no_trees_of_earlier_rounds(spark, monkeypatch):
+    table = spark.createDataFrame([(i % 2, i, bytes([i % 7, i % 2])) for i in range(60)], "label int, row long, bins binary")
+    seen, real = [], trees.pass_over
+
+    def watched(rows, members, growth, grown, nodes, weights, first, level):
+        seen.append({t for _, t, _ in nodes} == {first})
+        return real(rows, members, growth, grown, nodes, weights, first, level)
+
+    monkeypatch.setattr(trees, "pass_over", watched)
+    grown = trees.grow(table, [trees.Member(0, (0, 1))], trees.Growth(trees=3, depth=1, boosted=True, node_features=1.0))
+    assert len(seen) == 3 and all(seen) and len(grown) == 3
+
+
+def test_scores_of_blocks_are_those_of_all_rows():
+    spec, member = network.Spec(hidden=(8, 4)), trees.Member(0, (0, 1, 2))
+    running = [(np.full(u, 0.1), np.full(u, 2.0)) for u in spec.hidden]
+    net = network.Net(network.fresh(3, spec, member), running, np.zeros(3), np.ones(3))
+    x, sizes, real = np.random.default_rng(0).normal(size=(2 * network.BLOCK + 3, 3)), [], network.forward
+    whole = network.sigmoid(real(network.opened(net.weights, network.shapes(3, spec)), x, spec, running=running)[0])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(network, "forward", lambda parts, x, *a, **k: sizes.append(len(x)) or real(parts, x, *a, **k))
+        got = network.probabilities(x, member, net, spec)
+    assert np.allclose(got, whole, rtol=0, atol=1e-12) and max(sizes) == network.BLOCK
+    assert len(network.probabilities(x[:0], member, net, spec)) == 0
