@@ -325,7 +325,7 @@ def sequence_export(spark, sf_dir):
     write_tensors(half_known(spark, sf_dir), path, "tokens", (S.MAX_SEQUENCE, S.TOKEN_WIDTH), EXPORT_BLOCK)
     rows = read_tensors(spark, path)
     taken = rows.groupBy("row").agg(F.count(F.lit(1)).alias("n_same_place"))
-    places = rows.agg((F.max("row") - F.min("row") + 1).alias("n")).scalar()
+    places = taken.agg((F.max("row") - F.min("row") + 1).alias("n")).scalar()
     return rows.join(taken, "row").select(*process.PROCESS_KEY, "label", "n_events", token_text().alias("tokens"), "n_same_place", places.alias("places"))
 
 

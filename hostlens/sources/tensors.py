@@ -4,7 +4,7 @@ A task writes its rows as blocks of `block_rows`: `<block>.npy` holds the tensor
 the same order. Nothing is visible until the job commits: the driver numbers the blocks and renames one index over the old
 one. Blocks of tasks that failed, or ran twice, are named by no index. The index has one small entry a block.
 
-Reading gives a partition per block and a column `row`, the place of the row in the whole tensor, from 0.
+Reading gives a partition per some blocks in a row, up to `PARTITION_ROWS`, and a column `row`, the place of the row in the whole tensor, from 0.
 
 Defined cases: a null tensor or one of another shape fails the write, since blocks have one shape; other columns may be
 null; an empty table gives an index without blocks; `append` goes on behind the rows that are there.
@@ -33,6 +33,7 @@ INDEX = "index.json"
 BLOCK_ROWS = 8192
 ROW = "row"
 READ_ROWS = 1024
+PARTITION_ROWS = 32_768  # a reader is started once for so many rows, however small the blocks
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -56,9 +57,8 @@ class Written(WriterCommitMessage):
 
 
 @dataclass
-class Block(InputPartition):
-    name: str
-    first: int
+class Blocks(InputPartition):
+    parts: list[tuple[str, int]]  # name, first row
 
 
 class TensorWriter(DataSourceArrowWriter):
@@ -141,27 +141,38 @@ class TensorReader(DataSourceReader):
             raise FileNotFoundError(f"nothing is committed at {options['path']}")
         self.path, self.column, self.shape = options["path"], index["tensor"], tuple(index["shape"])
         self.names = [f.name for f in T.StructType.fromJson(json.loads(index["schema"]))]
-        self.blocks = [Block(b["name"], b["first"]) for b in index["blocks"]]
+        self.blocks: list[Blocks] = []
+        room = 0
+        for b in index["blocks"]:
+            if room < b["rows"]:
+                self.blocks.append(Blocks([]))
+                room = PARTITION_ROWS
+            self.blocks[-1].parts.append((b["name"], b["first"]))
+            room -= b["rows"]
 
     def partitions(self) -> list[InputPartition]:
         return self.blocks
 
-    def read(self, partition: Block) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
         if partition is None:  # an index without blocks
             return
+        for name, first in partition.parts:
+            yield from self.read_block(name, first)
+
+    def read_block(self, name: str, first: int) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(self.path)
-        with fs.open_input_stream(posixpath.join(root, f"{partition.name}.npy")) as f:
+        with fs.open_input_stream(posixpath.join(root, f"{name}.npy")) as f:
             np.lib.format.read_magic(f)
             np.lib.format.read_array_header_1_0(f)
             width = int(np.prod(self.shape)) * 4
-            with fs.open_input_file(posixpath.join(root, f"{partition.name}.parquet")) as meta:
+            with fs.open_input_file(posixpath.join(root, f"{name}.parquet")) as meta:
                 for batch in pq.ParquetFile(meta).iter_batches(READ_ROWS):
                     flat = np.frombuffer(f.read(batch.num_rows * width), np.int32)
                     nested = pa.array(flat)
                     for size in reversed(self.shape):
                         nested = pa.ListArray.from_arrays(pa.array(np.arange(0, len(nested) + 1, size, dtype=np.int32)), nested)
                     columns = {c: nested if c == self.column else batch.column(c) for c in self.names}
-                    columns[ROW] = pa.array(batch.column(ROW).to_numpy() + partition.first)
+                    columns[ROW] = pa.array(batch.column(ROW).to_numpy() + first)
                     yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
