@@ -239,12 +239,13 @@ def histogram(melted: DataFrame, by: str, bins: int = 40, clip_percent: int | No
     if clip_percent is not None:
         both = values.groupBy("feature", "value").agg(F.sum("n").alias("n"))
         top = wide_quantiles(both, ["feature"], "value", {"_top": clip_percent})
-        values = values.join(top, "feature").withColumn("value", F.least(F.greatest("value", F.lit(0.0)), "_top")).drop("_top")
+        # a row per feature; in a shuffle all values of one feature would meet in a task
+        values = values.join(F.broadcast(top), "feature").withColumn("value", F.least(F.greatest("value", F.lit(0.0)), "_top")).drop("_top")
     edges = values.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     sides = values.groupBy("feature", by).agg(F.sum("n").alias("side_n"))
     width = (F.col("hi") - F.col("lo")) / bins
     bin_no = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
-    counts = values.join(edges, "feature").groupBy("feature", by, bin_no.cast("int").alias("bin")).agg(F.sum("n").alias("n"), F.max(width).alias("width"))
+    counts = values.join(F.broadcast(edges), "feature").groupBy("feature", by, bin_no.cast("int").alias("bin")).agg(F.sum("n").alias("n"), F.max(width).alias("width"))
     return counts.join(sides, ["feature", by]).withColumn("density", div(F.col("n") / F.col("side_n"), F.col("width"))).drop("side_n")
 
 

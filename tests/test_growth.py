@@ -7,8 +7,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from hostlens.operators import network, trees, triage
+from hostlens.operators import network, profile, trees, triage
 from hostlens.plans import triaging
+from hostlens.sources.tensors import read_tensors, write_tensors
 
 SCORED = "row_id string, proba_xgb double, proba_cnn double, pred_xgb int, pred_cnn int, true_label int, technique string, fold int"
 
@@ -81,3 +82,19 @@ def test_scores_of_blocks_are_those_of_all_rows():
         got = network.probabilities(x, member, net, spec)
     assert np.allclose(got, whole, rtol=0, atol=1e-12) and max(sizes) == network.BLOCK
     assert len(network.probabilities(x[:0], member, net, spec)) == 0
+
+
+def test_small_blocks_share_a_reader(spark, tmp_path):
+    df = spark.range(300).selectExpr("id", "array(cast(id as int), 1) AS t")
+    write_tensors(df.coalesce(1), str(tmp_path / "t"), "t", (2,), 10)
+    back = read_tensors(spark, str(tmp_path / "t"))
+    assert back.rdd.getNumPartitions() == 1  # of 30 blocks
+    assert sorted((r["id"], r["t"][0], r["row"]) for r in back.collect()) == [(i, i, i) for i in range(300)]
+
+
+def test_histogram_never_shuffles_by_feature_alone(spark):
+    df = spark.range(100).selectExpr("'a' AS feature", "cast(id % 2 as int) AS label", "cast(id as double) AS value")
+    out = profile.histogram(df, "label")
+    assert out.agg(F.sum("n")).first()[0] == 100
+    physical = out._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in physical.splitlines() if "SortMergeJoin [feature" in line and "label" not in line]
