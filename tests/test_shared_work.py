@@ -25,6 +25,17 @@ def rows(spark):
     return cut_lineage(models.prepare(table, ["x", "z"]))
 
 
+def test_stages_are_scored_in_one_pass_and_the_second_one_in_its_band(rows, monkeypatch):
+    sizes, real = [], evaluate.union
+    monkeypatch.setattr(evaluate, "union", lambda parts: sizes.append([plan(p).count("Relation [") for p in parts]) or real(parts))
+    stages = evaluate.stage_scores(rows, ["x", "z"], GBT, {"rf": RF, "mlp": MLP}, 1, 2, 0.4, 0.6)
+    assert stages.count() == 240 == stages.select("row_id").distinct().count()
+    assert sizes == [[1, 1], [1, 1]]  # one scan for test rows, one for training rows
+    inside = F.col("proba_1").between(0.4, 0.6)
+    assert 0 < stages.filter(inside).count() < 240
+    assert stages.filter(F.col("proba_rf").isNotNull() != inside).count() == stages.filter(F.col("proba_mlp").isNotNull() != inside).count() == 0
+
+
 def test_inner_split_is_drawn_once(rows):
     ready = evaluate.assign_folds(rows, 2, 42, 1)
     again = splits.group_split(ready, "vector", 0.8, evaluate.INNER_SEED)
