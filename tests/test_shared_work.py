@@ -4,9 +4,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from hostlens.operators import evaluate, models, splits
+from hostlens.operators import clean, evaluate, models, process, splits
 from hostlens.operators.models import Detector
-from hostlens.plans import modeling
+from hostlens.plans import modeling, views
 from hostlens.session import cut_lineage
 
 RF, GBT, MLP = Detector("rf", {"numTrees": 3, "maxDepth": 3}), Detector("gbt", {"maxIter": 2, "maxDepth": 2}), Detector("mlp", {"hidden": [3], "maxIter": 3})
@@ -63,3 +63,56 @@ def test_an_augment_learns_once_a_fold(rows):
 def test_class_weights_come_from_one_count(rows):
     want = {r["label"]: r["weight"] for r in splits.class_weights(rows).collect()}
     assert {r["label"]: r["weight"] for r in splits.weighted(rows).select("label", "weight").distinct().collect()} == want
+
+
+@pytest.mark.parametrize("detector", [RF, GBT, MLP])
+def test_a_stored_vector_is_taken_as_it_is(rows, detector):
+    ready = evaluate.assign_folds(rows, 2, 42, 1, ["x", "z"])
+    plain = ready.drop(models.ASSEMBLED)
+    assert models.has_assembled(ready, ["x", "z"]) and not models.has_assembled(ready, ["z", "x"]) and not models.has_assembled(plain, ["x", "z"])
+    fitted = detector.fit(ready, ["x", "z"])
+    assert "struct(x" in plan(fitted.score(plain)).lower() and "struct(x" not in plan(fitted.score(ready)).lower()
+    scores = [{r["row_id"]: r["proba"] for r in f.score(t).collect()} for f, t in ((fitted, ready), (fitted, plain), (detector.fit(plain, ["x", "z"]), plain))]
+    assert scores[0] == scores[1] and scores[0] == pytest.approx(scores[2], abs=1e-9)
+    assert detector.fit(ready, ["z"]).score(ready).count() == 240  # another set of features puts its own vector together
+
+
+def test_folds_of_all_models_are_scored_without_a_join_by_row(rows, monkeypatch):
+    ready, dets = evaluate.assign_folds(rows, 2, 42, 1, ["x", "z"]), {"xgb": GBT, "cnn": MLP}
+    monkeypatch.setattr(evaluate, "assign_folds", lambda *a: ready)
+    out = evaluate.out_of_fold(rows, ["x", "z"], dets, 2)
+    assert "(row_id" not in plan(out)
+    assert out.columns == ["row_id", "x", "z", "fold", "true_label", "technique", "proc_name", "pred_xgb", "proba_xgb", "pred_cnn", "proba_cnn"]
+    for name, det in dets.items():
+        tests, cutoffs, _ = evaluate.cross_validate(ready, ["x", "z"], det, 1, 2, folds_ready=True)
+        want = {r["row_id"]: (r["pred"], pytest.approx(r["proba"], abs=1e-9)) for r in evaluate.decide(tests, cutoffs).collect()}
+        assert {r["row_id"]: (r[f"pred_{name}"], r[f"proba_{name}"]) for r in out.collect()} == want
+
+
+def test_rows_of_a_fold_without_a_model_have_no_vote(rows):
+    few = cut_lineage(rows.filter("label = 0").unionByName(rows.filter("label = 1").limit(1)))
+    out = evaluate.out_of_fold(few, ["x", "z"], {"xgb": GBT}, 3)
+    got = {r["fold"]: (r["least"], r["most"], r["scored"], r["n"]) for r in out.groupBy("fold").agg(
+        F.min("pred_xgb").alias("least"), F.max("pred_xgb").alias("most"), F.count("proba_xgb").alias("scored"), F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(n for *_, n in got.values()) == few.count() and len(got) == 3
+    assert [v[:3] for v in got.values() if v[0] == -1] == [(-1, -1, 0)]
+    assert all(scored == n for least, _, scored, n in got.values() if least >= 0)
+
+
+def test_pairs_work_a_column_out_once(spark, sf):
+    pairs = process.pair_counts(views.labeled_events(spark, sf))
+    assert plan(pairs).count("get_json_object") == 1
+    assert pairs.filter("child = ''").count() == 0 < pairs.count()
+
+
+def test_call_names_are_counted_in_the_same_shuffle(spark, sf):
+    events = views.labeled_events(spark, sf)
+    assert "Expand" not in plan(process.process_features(events)) and plan(process.process_features(events)).count("count(distinct") == 0
+    assert dict(process.process_features(events).dtypes)["unique_syscalls"] == "bigint"
+
+
+def test_whole_numbers_are_neither_nan_nor_infinite(spark):
+    df = spark.createDataFrame([(1, 5, float("inf")), (None, None, float("nan")), (-3, 2**62, None)], "a int, b bigint, c double")
+    out = clean.impute(df, ["a", "b", "c"])
+    assert plan(out).count("isnan") == 1
+    assert [tuple(r) for r in out.collect()] == [(1.0, 5.0, 1.7976931348623157e308), (0.0, 0.0, 0.0), (-3.0, 2.0**62, 0.0)]
